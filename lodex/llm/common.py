@@ -59,7 +59,7 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size; reads no data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions_for(df: DataFrame, least_bytes: int = 4 << 20, most_bytes: int = 128 << 20) -> int:
