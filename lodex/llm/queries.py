@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bitpack, packing, simhash
 from .common import read
 
 
@@ -12,5 +12,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.round_trip(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op8_simhash": op8_simhash}
 ORACLE_SQL: dict[str, str] = {}
