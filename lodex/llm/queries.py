@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, packing, simhash
+from . import bitpack, packing, simhash, toxicity
 from .common import read
 
 
@@ -12,6 +12,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -20,5 +25,5 @@ def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op8_simhash": op8_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op8_simhash": op8_simhash}
 ORACLE_SQL: dict[str, str] = {}
