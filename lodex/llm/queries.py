@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, packing, simhash, toxicity
+from . import bitpack, language, packing, simhash, toxicity
 from .common import read
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -25,5 +30,5 @@ def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op8_simhash": op8_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op7_language": op7_language, "op8_simhash": op8_simhash}
 ORACLE_SQL: dict[str, str] = {}
