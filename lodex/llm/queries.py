@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, language, packing, simhash, toxicity
+from . import bitpack, html, language, packing, simhash, toxicity
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op7_language": op7_language, "op8_simhash": op8_simhash}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op7_language": op7_language, "op8_simhash": op8_simhash}
 ORACLE_SQL: dict[str, str] = {}
