@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, html, language, packing, simhash, toxicity
+from . import bitpack, html, language, packing, pii, simhash, toxicity
 from .common import read
 
 
@@ -34,5 +34,9 @@ def op9_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op7_language": op7_language, "op8_simhash": op8_simhash}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
