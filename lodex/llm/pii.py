@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind and start."""
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x := x.lstrip("0")) < 4 and int(x or 0) <= 255 for x in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x) < 4 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = NOT_DIGIT.sub("", m[0])
