@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, html, language, packing, pii, simhash, toxicity
+from . import bitpack, decontaminate, html, language, packing, pii, simhash, toxicity
 from .common import read
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -38,5 +42,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op4_decontaminate": op4_decontaminate, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
