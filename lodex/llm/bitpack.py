@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, pieces_of, scratch
-from .tokens import Encoder, vocabulary_path
+from .common import partitions_for, scratch
+from .tokens import Encoder, slices, vocabulary_path
 
 HEAD = struct.Struct("<6sHIQIQ")
 MAGIC = b"LXBP1\0"
@@ -131,7 +131,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
         bits = bits_for(max(end_id, encoder.tokenizer.get_vocab_size() - 1))
-        tail = np.array([end_id], dtype="<u4")
+        tail = np.array([end_id], dtype=np.uint32)
         seq = first = n = 0
         held_docs, held = [], []
 
@@ -141,10 +141,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             seq, first, n, held_docs, held = seq + 1, first + n, 0, [], []
             return row
 
-        for batch in pieces_of(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
-                ids = np.concatenate((np.frombuffer(raw, "<u4"), tail))
+        for batch in slices(batches, 1):
+            flat, bounds = encoder.encode(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids = np.concatenate((flat[a:b], tail))
                 held_docs.append(doc)
                 held.append(ids)
                 n += len(ids)

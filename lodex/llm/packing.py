@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, pieces_of
-from .tokens import Encoder, vocabulary_path
+from .common import partitions_for
+from .tokens import Encoder, slices, vocabulary_path
 
 WINDOW = 2048
 #: Costs in tokens: of a cut inside a document at a sentence end, of one elsewhere, of any window.
@@ -170,11 +170,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
 
         encoder = Encoder.of(tokenizer)
         packer = Packer(TaskContext.get().partitionId(), sentence_ends(encoder.tokenizer), window, chunk)
-        tail = np.array([end_id], dtype="<u4")
-        for batch in pieces_of(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, raw in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
-                yield from packer.add(doc, np.concatenate((np.frombuffer(raw, "<u4"), tail)))
+        tail = np.array([end_id], dtype=np.uint32)
+        for batch in slices(batches, 1):
+            flat, bounds = encoder.encode(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield from packer.add(doc, np.concatenate((flat[a:b], tail)))
         yield from packer.finish()
 
     return ranged.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
