@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, html, language, neighbours, packing, pii, simhash, toxicity
+from . import bitpack, decontaminate, html, language, neighbours, packing, pii, sharding, simhash, toxicity
 from .common import read
 
 
@@ -13,6 +13,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return neighbours.search(vectors, F.col("id") % 100 == 0)
@@ -48,5 +52,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op4_decontaminate": op4_decontaminate, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
