@@ -21,10 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions_for, pieces_of
+from .common import cut, pieces_of
 
 SHINGLE = 4
 SEED = 42
@@ -53,14 +53,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, th, fp): th is a hash of the whole text, fp the fingerprint as a signed integer."""
 
     def run(batches):
         for batch in pieces_of(batches):
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def cuts(segments: int) -> list[tuple[int, int]]:
@@ -198,13 +198,36 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = SHINGLE, segments: int | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits),
-    component_id (smallest doc_id reachable over links of at most ``distance`` bits)."""
+def grouped(docs: DataFrame, distance: int, shingle: int, segments: int | None, block: int) -> DataFrame:
+    """(doc_id, th, fp, component_id) for every row."""
     marked = cut(fingerprints(docs, shingle), "fingerprints")
     lowest = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(lowest.select("fp"), distance, segments, block))
     linked = lowest.join(roots, lowest.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = cut(linked.join(linked.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"), "components")
-    out = marked.join(named, "fp")
+    named = cut(linked.join(linked.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id"), "components")
+    return marked.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = SHINGLE, segments: int | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits),
+    component_id (smallest doc_id reachable over links of at most ``distance`` bits)."""
+    out = grouped(docs, distance, shingle, segments, block)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, root: str = "root") -> DataFrame:
+    """``docs`` with one document of each group: the smallest (doc_id, text hash). ``groups`` has
+    doc_id, th and the group's ``root`` for every row. Rows without doc_id stand after all others."""
+    first = groups.groupBy(root).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.th").alias("kept_th"))
+    first = cut(first.distinct(), "kept")
+    out = docs.join(first, F.col("kept_id").eqNullSafe(F.col("doc_id").cast("long")) & (F.col("kept_th") == F.xxhash64("text")), "left_semi")
+    if groups.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        return out
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    number = "row_number of " + "_".join(docs.columns)
+    return out.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
+
+
+def deduplicated(docs: DataFrame, distance: int = 4, shingle: int = SHINGLE, segments: int | None = None, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each component."""
+    return keep_one(docs, cut(grouped(docs, distance, shingle, segments, block), "groups"))

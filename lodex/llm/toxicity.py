@@ -185,3 +185,14 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return given.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more."""
+    known, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
+
+    def run(batches):
+        for batch in pieces_of(batches):
+            yield batch.filter(pa.array(known.value.scores(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
