@@ -36,6 +36,7 @@ SEED_SHARE = 0.5
 LEAST_WORDS = 6
 THRESHOLD = 0.5
 BLOCK_WORDS = 2_000_000
+SLICE_BYTES = 6 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+").findall
 
@@ -197,15 +198,15 @@ def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     def run(batches):
         own = known.value
         counts = np.zeros(len(own.grams), np.int64)
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE_BYTES):
             text, _, gram = hits(*numbered(batch.column(0), own.number), own)
             counts += np.bincount(np.unique(text * len(own.grams) + gram) % len(own.grams), minlength=len(own.grams))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["gram", "n"])
 
     out = np.zeros(len(items.grams), np.int64)
-    for row in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row.gram] = row.n
+    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("gram").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
@@ -224,7 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
         def run(batches, known=known):
             own = known.value
-            for batch in slices(batches, 1):
+            for batch in slices(batches, 1, SLICE_BYTES):
                 found = leaks(*numbered(batch.column(1), own.number), own, threshold)
                 doc = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, pa.array([own.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())], names=["doc_id", "item_id", "score", "last_word"])
@@ -243,7 +244,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         known = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, known=known):
-            for batch in slices(batches, at):
+            for batch in slices(batches, at, SLICE_BYTES):
                 bad = {f[0] for f in leaks(*numbered(batch.column(at), known.value.number), known.value, threshold)}
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
