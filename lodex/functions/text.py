@@ -38,9 +38,14 @@ def normalize(x: Column | str, with_nfkc: bool = False) -> Column:
 
 
 def words_of(normal: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """Tokens of text that is already normal, duplicates kept."""
-    stop = F.array(*map(F.lit, stopwords))
-    return F.filter(F.regexp_extract_all(normal, F.lit(f"({TOKEN})"), 1), lambda t: ~F.array_contains(stop, t))
+    """Tokens of text that is already normal, duplicates kept. The stop list becomes a hash set."""
+    found = runs_of(normal)
+    return F.filter(found, lambda t: ~t.isin(*stopwords)) if stopwords else found
+
+
+def runs_of(normal: Column) -> Column:
+    """Runs of two or more token characters."""
+    return F.regexp_extract_all(normal, F.lit(TOKEN), 0)
 
 
 def tokenize(x: Column | str, stopwords: tuple[str, ...] = STOPWORDS) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import BM25_B, BM25_K1, CHALLENGER_DISCOUNT, DEDUP_PREFIX, LEAST_WEIGHT, RRF_K
-from ..functions.text import tokenize
+from ..functions.constants import BM25_B, BM25_K1, CHALLENGER_DISCOUNT, DEDUP_PREFIX, LEAST_WEIGHT, RRF_K, STOPWORDS
+from ..functions.text import normalize, runs_of
 
 
 def doubles(vector: Column) -> Column:
@@ -39,8 +39,9 @@ def dense_top(points: DataFrame, queries: DataFrame, k: int, decimals: int = 9)
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select(F.col(id_).alias("id"), F.explode(tokenize(text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf). Stop words go after the explode, inside code generation."""
+    rows = docs.select(F.col(id_).alias("id"), F.explode(runs_of(normalize(text))).alias("term"))
+    return rows.where(~F.col("term").isin(*STOPWORDS)).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 class TermIndex:

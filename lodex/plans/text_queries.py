@@ -21,7 +21,8 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("T2_tokenize", f"SELECT doc_id, len({S.tokens('text')}) AS n_tokens, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents")
 def t2(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.tokenize("text")).cast("long").alias("n_tokens"), F.array_join(T.tokenize("text"), " ").alias("tokens"))
+    rows = table(spark, d, "documents").select("doc_id", T.tokenize("text").alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 QUOTED = "concat(text, ' \"', substr(text, 1, 12), '\" \" \"')"
@@ -36,7 +37,8 @@ def t3(spark, d):
 @query("T40_ngrams", f"WITH t AS (SELECT doc_id, {S.tokens('text')} AS tk FROM documents) SELECT doc_id, len({S.ngrams('tk', 2)}) AS n2, len({S.ngrams('tk', 3)}) AS n3, md5(array_to_string(list_sort({S.ngrams('tk', 2)}), '|')) AS h2 FROM t")
 def t40(spark, d):
     rows = table(spark, d, "documents").select("doc_id", T.tokenize("text").alias("tk"))
-    two, three = T.ngrams(F.col("tk"), 2), T.ngrams(F.col("tk"), 3)
+    rows = rows.select("doc_id", T.ngrams(F.col("tk"), 2).alias("two"), T.ngrams(F.col("tk"), 3).alias("three"))
+    two, three = F.col("two"), F.col("three")
     return rows.select("doc_id", F.size(two).cast("long").alias("n2"), F.size(three).cast("long").alias("n3"), F.md5(F.array_join(F.array_sort(two), "|")).alias("h2"))
 
 
