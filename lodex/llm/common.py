@@ -66,6 +66,8 @@ def partitions_for(df: DataFrame, least_bytes: int = 4 << 20, most_bytes: int =
     """Partitions for a shuffle of ``df``: about four rounds of the cluster's cores, with
     no partition under ``least_bytes`` or over ``most_bytes``."""
     size, cores = planned_bytes(df), df.sparkSession.sparkContext.defaultParallelism
+    if size >= 1 << 60:  # Catalyst doesn't know
+        return max(4 * cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(1, min(-(-size // least_bytes), max(4 * cores, -(-size // most_bytes))))
 
 

@@ -2,8 +2,9 @@
 
 Words are white-space-separated, lower-cased and stripped of everything but letters, digits and
 underscores; what is then empty counts for nothing. A first pass over all documents counts in how
-many of them each word ``GRAM``-gram of the test items occurs. An item's seeds are the rarer share
-``seed_share`` of its own grams, so every item has seeds however often it was copied. A second pass
+many of them each word ``GRAM``-gram of the test items occurs. Of an item's grams that occur at all, its
+seeds are those at most twice as frequent as the ``seed_share`` quantile of them, so every item has
+seeds however often it was copied, and grams of common words are none. A second pass
 finds the seeds in every whole text, opens a window around the place that each implies for the
 item, and aligns window and item by local alignment (match 2, mismatch -1, gap -1). The score is
 the alignment's share of the item's best possible one; edits, insertions and dropped words lower it
@@ -90,13 +91,15 @@ def index(rows: list[tuple], least_words: int = LEAST_WORDS) -> Items | None:
 
 
 def seeded(items: Items, frequency: np.ndarray, share: float) -> Items:
-    """Marks each item's rarer grams as its seeds, at least one."""
+    """Marks each item's rarer grams as its seeds."""
     df = np.repeat(frequency, np.diff(items.bounds))
     seed = np.zeros(len(df), bool)
-    order = np.lexsort((items.at, df, items.of_item))
+    order = np.argsort(items.of_item, kind="stable")
     starts = np.searchsorted(items.of_item[order], np.arange(len(items.ids) + 1))
     for a, b in zip(starts[:-1], starts[1:]):
-        seed[order[a : a + max(1, int(np.ceil((b - a) * share)))]] = True
+        own = order[a:b][df[order[a:b]] > 0]
+        if len(own):
+            seed[own] = df[own] <= 2 * np.quantile(df[own], share, method="lower")
     items.seed = seed
     return items
 

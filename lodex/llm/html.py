@@ -224,7 +224,7 @@ def main_text(page: str | None, field: Field) -> str:
     return "\n".join(b.text for b, y in zip(found, field.decode(found)) if y)
 
 
-def labelled_pages(n: int = 260, seed: int = 11) -> list[list[tuple[Block, int]]]:
+def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[Block, int]]]:
     """Training pages from templates; the marks M and B in the text give each block's label."""
     rng = np.random.default_rng(seed)
     syllables = ["ta", "ren", "mo", "lis", "ka", "dor", "ve", "shu", "pin", "gra", "el", "oth", "an", "er"]
@@ -301,7 +301,7 @@ def labelled_pages(n: int = 260, seed: int = 11) -> list[list[tuple[Block, int]]
     def article():
         tag = rng.choice(["article", "article", "main", "div", "section", "none"])
         attr = "" if tag in ("article", "main") and rng.random() < 0.6 else f' {rng.choice(["class", "id"])}="{rng.choice(mains)}"'
-        body = f"<h1>{phrase('M', 2, 9)}</h1>"
+        body = f"<h1>{phrase('M', 2, 9)}</h1>" if rng.random() < 0.7 else ""
         for _ in range(rng.integers(1, 9)):
             r = rng.random()
             body += para("M") if r < 0.74 else f"<h2>{phrase('M', 1, 6)}</h2>{para('M')}" if r < 0.84 else listing("M", False) if r < 0.9 else table("M") if r < 0.93 else f"<pre>{phrase('M', 2, 9)}</pre>" if r < 0.95 else part(rng.choice(["ad", "aside", "share", "form", "notice"]))
@@ -314,8 +314,9 @@ def labelled_pages(n: int = 260, seed: int = 11) -> list[list[tuple[Block, int]]
 
     pages = []
     for _ in range(n):
-        before = [part(k) for k in ("notice", "header", "nav", "nav", "ad", "form", "aside") if rng.random() < 0.5]
-        after = [part(k) for k in ("share", "comments", "aside", "aside", "form", "ad", "notice", "footer") if rng.random() < 0.5]
+        often = rng.choice([0.0, 0.3, 0.6])
+        before = [part(k) for k in ("notice", "header", "nav", "nav", "ad", "form", "aside") if rng.random() < often]
+        after = [part(k) for k in ("share", "comments", "aside", "aside", "form", "ad", "notice", "footer") if rng.random() < often]
         page = "<html><head><title>x</title></head><body>" + "".join(before) + article() + "".join(after) + ("</body></html>" if rng.random() < 0.9 else "")
         found = []
         for b in blocks(page):

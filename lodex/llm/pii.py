@@ -3,8 +3,8 @@
 The base spans are those of four patterns with their checks. The field then labels the document's
 number-like and address-like tokens (others can't belong to these kinds) with O or one of the kinds.
 Its factor graph has token potentials, chain potentials between neighbouring tokens, and skip
-potentials between distant tokens that repeat or resemble each other (same digits, or same letters
-around the same ``@``); loopy belief propagation passes messages over both, so that a number whose
+potentials between distant tokens that repeat or resemble each other (same last seven digits, or same
+letters around the same ``@``); loopy belief propagation passes messages over both, so that a number whose
 form says little takes the label of its clear repetition elsewhere in the document. Occurrences of
 a form are linked each to the next, so the number of skip edges grows with the tokens, not with
 their pairs. Weights are learned on documents that ``labelled_documents`` makes, by the gradient of
@@ -123,7 +123,7 @@ def form(word: str) -> str:
     if "@" in word:
         return re.sub(r"[^a-z0-9@]+", "", word.lower())
     digits = NOT_DIGIT.sub("", word)
-    return "#" + digits if len(digits) >= 6 else "=" + word.lower()
+    return "#" + digits[-7:] if len(digits) >= 7 else "=" + word.lower()
 
 
 def token_features(text: str, given: list[Token], base: list[tuple[int, int, int]]) -> list[list[str]]:
