@@ -97,7 +97,7 @@ class Tree(HTMLParser):
 
     def handle_data(self, data):
         tags = [t for t, _ in self.stack]
-        if "ld" in tags:
+        if "ld" in tags and data.strip():
             self.ld.append(data)
         elif "title" in tags:
             self.title += data

@@ -96,13 +96,16 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     return out.groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
-def accumulate(hits: DataFrame, limit: int | None = None, k: int = RRF_K, legacy_url_key: bool = False) -> DataFrame:
+def accumulate(hits: DataFrame, limit: int | None = None, k: int = RRF_K, legacy_url_key: bool = False, one_per_url_per_list: bool = False) -> DataFrame:
     """R5. hits (query_id, variant, collection, rank, weight, url, id, ...): summed w / (k + rank)
     by URL, the first hit's row kept. Hits without URL stand for themselves unless
-    ``legacy_url_key``. Collections under the least weight are pruned first (R11)."""
+    ``legacy_url_key``. Every chunk of a URL adds to it unless ``one_per_url_per_list``, which counts
+    the best of each list. Collections under the least weight are pruned first (R11)."""
     url = F.coalesce("url", F.lit(""))
     key = url if legacy_url_key else F.when(url == "", F.col("id").cast("string")).otherwise(url)
     hits = hits.where(F.col("weight") >= LEAST_WEIGHT).withColumn("key", key)
+    if one_per_url_per_list:
+        hits = ranked(hits.withColumn("_r", -F.col("rank")), ["query_id", "variant", "collection", "key"], "_r", "id", 1, "_n").drop("_r", "_n")
     row = F.struct(*[c for c in hits.columns if c not in ("weight", "key")])
     out = hits.groupBy("query_id", "key").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("score"), F.min_by(row, F.struct("variant", "collection", "rank", "id")).alias("hit"))
     return ranked(out, ["query_id"], "score", "key", limit)
