@@ -77,9 +77,9 @@ INTENTS = {
 
 # Collection weights by query type.
 COLLECTION_WEIGHTS = {
-    "timetable": {"hs_aalen_search": 0.4, "hs_aalen_website": 0.2, "starplan_timetable": 2.0, "asta_content": 0.1, "hs_aalen_pdfs": 0.1, "usta_content": 0.1},
-    "asta": {"hs_aalen_search": 0.5, "hs_aalen_website": 0.3, "starplan_timetable": 0.1, "asta_content": 2.0, "hs_aalen_pdfs": 0.3, "usta_content": 1.5},
-    "general": {"hs_aalen_search": 1.0, "hs_aalen_website": 0.7, "starplan_timetable": 0.3, "asta_content": 0.6, "hs_aalen_pdfs": 0.8, "usta_content": 0.6},
+    "timetable": {"campus_search": 0.4, "campus_website": 0.2, "starplan_timetable": 2.0, "asta_content": 0.1, "campus_pdfs": 0.1, "usta_content": 0.1},
+    "asta": {"campus_search": 0.5, "campus_website": 0.3, "starplan_timetable": 0.1, "asta_content": 2.0, "campus_pdfs": 0.3, "usta_content": 1.5},
+    "general": {"campus_search": 1.0, "campus_website": 0.7, "starplan_timetable": 0.3, "asta_content": 0.6, "campus_pdfs": 0.8, "usta_content": 0.6},
 }
 LEAST_WEIGHT = 0.05
 

@@ -18,9 +18,9 @@ def service_results(df: DataFrame) -> DataFrame:
     PDF section (500); else the chunk, led by its section's heading unless its start has it."""
     source, kind = _c(df, "source"), _c(df, "type")
     timetable = (source == "starplan_timetable") | (kind == "timetable") | ((_c(df, "day") != "") & (_c(df, "time") != ""))
-    pdf = (kind == "pdf") | (source == "hs_aalen_pdfs")
+    pdf = (kind == "pdf") | (source == "campus_pdfs")
     body = source.isin("asta_website", "asta")
-    site = source.isin("hs_aalen_website", "hs_aalen")
+    site = source.isin("campus_website", "campus")
     type_ = F.when(timetable, "timetable").when(pdf, "pdf").when(body, "asta").when(site, "website").otherwise("webpage")
     slot = F.concat_ws(" — ", *[F.nullif(x, F.lit("")) for x in (_c(df, "name", "title"), _c(df, "day"), _c(df, "time"))])
     extra = F.lit("")

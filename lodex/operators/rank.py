@@ -64,11 +64,11 @@ def boost_and_rank_b(df: DataFrame, clicks: DataFrame | None = None) -> DataFram
     title = F.lower(F.coalesce("title", F.lit("")))
     by_intent = (
         F.when(F.col("intent") == "timetable", F.when(F.col("type") == "timetable", 1.5).otherwise(0.85))
-        .when(F.col("intent") == "person", F.when((F.col("source") == "hs_aalen") & (F.col("type") == "webpage"), 1.3).otherwise(1.0) * F.when(contains_any(title, ("prof", "rector", "rektor")), 1.3).otherwise(1.0))
+        .when(F.col("intent") == "person", F.when((F.col("source") == "campus") & (F.col("type") == "webpage"), 1.3).otherwise(1.0) * F.when(contains_any(title, ("prof", "rector", "rektor")), 1.3).otherwise(1.0))
         .when(F.col("intent") == "document", F.when(F.col("type") == "pdf", 1.5).otherwise(1.0) * F.when(contains_any(title, ("satzung", "ordnung")), 1.2).otherwise(1.0))
         .otherwise(1.0)
     )
-    boost = url_boost(1.4, 1.15, 1.0) * by_intent * F.when(F.col("source").isin("hs_aalen", "asta"), 1.1).otherwise(1.0)
+    boost = url_boost(1.4, 1.15, 1.0) * by_intent * F.when(F.col("source").isin("campus", "asta"), 1.1).otherwise(1.0)
     df = df.withColumn("lexical_score", lexical_b(F.col("_q"), F.col("_tokens"), hay)).withColumn("vector_score", F.col("norm"))
     df = df.withColumn("score", (0.70 * F.col("norm") + 0.30 * F.col("lexical_score")) * boost)
     if clicks is not None:
@@ -179,10 +179,11 @@ def summary_prompt(df: DataFrame, n: int = 5, chars: int = 350) -> DataFrame:
     return held.select("query_id", F.concat(F.lit("Frage: "), F.col("query"), F.lit("\n"), F.array_join(F.transform("parts", lambda p: p.part), "\n")).alias("prompt"))
 
 
-def attribution(url: Column) -> Column:
-    """Q23."""
+def attribution(url: Column, names: dict[str, str] | None = None) -> Column:
+    """Q23: the shown name of the first host part that occurs, else the host itself."""
     host = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))
-    return F.when(host.contains("vorlesungen"), "Stundenplan").when(host.contains("asta"), "AStA").when(host.contains("hs-aalen") | host.contains("htw-aalen"), "Hochschule").otherwise(host)
+    out = [F.when(host.contains(part), name) for part, name in (names or {"vorlesungen": "Stundenplan", "asta": "AStA"}).items()]
+    return F.coalesce(*out, host)
 
 
 def suggest(history: DataFrame, defaults: DataFrame, typed: str | None = None, n: int = 15) -> DataFrame:

@@ -75,8 +75,10 @@ class SearchEngine:
 class ServiceSearch:
     """The service engine: query variants over weighted collections, accumulated RRF, boosts."""
 
-    def __init__(self, spark: SparkSession, store: Store, embed: Embed | None = None, clicks: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, store: Store, embed: Embed | None = None, clicks: DataFrame | None = None, weights: dict[str, dict[str, float]] | None = None):
+        """weights: collection weights by query type, for stores with other names."""
         self.spark, self.store, self.embed, self.clicks = spark, store, embed or hashed_embedding(), clicks
+        self.weights = weights or COLLECTION_WEIGHTS
         self._held: dict[str, Collection] = {}
 
     def _collection(self, name: str) -> Collection:
@@ -86,7 +88,7 @@ class ServiceSearch:
 
     def search(self, query: str, total_limit: int = 150, semester: str | None = None, scorer: rank.Scorer | None = None, legacy_url_key: bool = False) -> DataFrame:
         row = self.spark.range(1).select(F.lit(query).alias("q")).select(rank.query_type(F.col("q")).alias("kind"), variants(F.col("q")).alias("v")).first()
-        weights = {c: w for c, w in COLLECTION_WEIGHTS[row.kind].items() if w >= LEAST_WEIGHT}
+        weights = {c: w for c, w in self.weights[row.kind].items() if w >= LEAST_WEIGHT}
         lists = []
         queries = self.spark.createDataFrame([(str(i), v, encode_query(v, self.embed)) for i, v in enumerate(row.v)], "query_id string, text string, qvec array<float>")
         for name, w in weights.items():

@@ -168,7 +168,7 @@ def test_rrf_key_of_hits_without_url(spark):
 
 
 def test_boosts_read_the_source(spark):
-    rows = [(1, "prof müller", 1, 0.9, "u", "Prof. Müller", "x", "webpage", "hs_aalen"), (1, "prof müller", 2, 0.1, "v", "t", "x", "webpage", "")]
+    rows = [(1, "prof müller", 1, 0.9, "u", "Prof. Müller", "x", "webpage", "campus"), (1, "prof müller", 2, 0.1, "v", "t", "x", "webpage", "")]
     df = spark.createDataFrame(rows, "query_id int, query string, id long, score double, url string, title string, text string, type string, source string")
     clicks = spark.createDataFrame([("prof müller", "v", 1, 9)], "query string, url string, short_clicks int, long_clicks int")
     got = {r.id: r.score for r in rank.boost_and_rank_b(df, clicks).collect()}
@@ -198,7 +198,7 @@ def test_robots_modes(spark):
 
 
 def test_results_by_kind(spark):
-    rows = [(1, "starplan_timetable", "", "Mathe", "Mo", "8:00", "", ""), (2, "hs_aalen", "", "T", None, None, "c", ""), (3, "", "pdf", "", None, None, "inhalt", ""), (4, "", "", "", None, None, "erste\nzweite", "Kopf")]
+    rows = [(1, "starplan_timetable", "", "Mathe", "Mo", "8:00", "", ""), (2, "campus", "", "T", None, None, "c", ""), (3, "", "pdf", "", None, None, "inhalt", ""), (4, "", "", "", None, None, "erste\nzweite", "Kopf")]
     df = spark.createDataFrame(rows, "id int, source string, type string, title string, day string, time string, content string, section_heading string")
     got = {r.id: (r.type, r.text, r.title) for r in present.service_results(df).collect()}
     assert got == {1: ("timetable", "Mathe — Mo — 8:00", "Mathe"), 2: ("website", "T: c", "T"), 3: ("pdf", "inhalt", "inhalt"), 4: ("webpage", "Kopf: erste\nzweite", "Kopf: erste")}
@@ -227,9 +227,9 @@ def corpus(spark, tmp_path_factory):
     (root / "cal.jsonl").write_text(json.dumps({"program": "IN", "pg_id": 7, "ical": ICAL}) + "\n\n{broken\n", encoding="utf-8")
     (root / "pages.jsonl").write_text(json.dumps({"url": "https://h.example/a", "html": HTML}) + "\n", encoding="utf-8")
     config = Config.of({"name": "p", "sources": [
-        {"name": "texte", "type": "folder", "collection": "hs_aalen_search", "search_weight": 0.5, "path": str(root / "texte")},
+        {"name": "texte", "type": "folder", "collection": "campus_search", "search_weight": 0.5, "path": str(root / "texte")},
         {"name": "plan", "type": "starplan", "collection": "starplan_timetable", "result_type": "timetable", "search_weight": 0.1, "calendars": str(root / "cal.jsonl")},
-        {"name": "web", "type": "website", "collection": "hs_aalen_website", "result_type": "website", "search_weight": 0.2, "pages_jsonl": str(root / "pages.jsonl"), "chunk_size": 300, "chunk_overlap": 30},
+        {"name": "web", "type": "website", "collection": "campus_website", "result_type": "website", "search_weight": 0.2, "pages_jsonl": str(root / "pages.jsonl"), "chunk_size": 300, "chunk_overlap": 30},
     ]})
     store = Store(spark, f"file://{root}/store")
     embed = hashed_embedding(64)
@@ -239,7 +239,7 @@ def corpus(spark, tmp_path_factory):
 def test_ingest_and_search(spark, corpus):
     store, config, embed, done = corpus
     assert done["texte"] == 3 and done["plan"] == 2 and done["web"] >= 3
-    assert store.names() == ["hs_aalen_search", "hs_aalen_website", "starplan_timetable"]
+    assert store.names() == ["campus_search", "campus_website", "starplan_timetable"]
     assert {r.collection: r.points for r in store.info().collect()}[None] == sum(done.values())
     engine = SearchEngine(spark, store, config, embed)
     top = engine.search("Speiseplan Mensaa").orderBy("rank").first()
