@@ -29,13 +29,17 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodex-{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later steps restart from the
-    files if an executor is lost, and nothing above is computed twice."""
+def cut_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it again: later steps restart from the files if
+    an executor is lost, and nothing above is computed twice. With the path, for remove()."""
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    return cut_at(df, what)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -84,11 +88,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def rows_from(batch, *names: str) -> list[list]:
-    """The named columns of an Arrow batch as Python lists."""
-    return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-
-
 def pieces_of(batches, rows: int = 256):
     """Arrow batches cut into slices of few rows, so that no worker holds many long texts as
     Python objects at once."""
