@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes whose words are numbered together. Bounds memory, not results.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 #: Parts joined for one call of the library.
 JOINED = 500
 PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
@@ -49,7 +49,10 @@ def lay_out(flat: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np
     """Runs of ``flat`` (run k is bounds[k]:bounds[k+1]) in the order of ``index``, and their bounds."""
     sizes = np.diff(bounds)[index]
     out = np.concatenate(([0], np.cumsum(sizes)))
-    return flat[np.repeat(bounds[:-1][index] - out[:-1], sizes) + np.arange(out[-1])], out
+    kind = np.int32 if max(len(flat), out[-1]) < 1 << 31 else np.int64
+    at = np.repeat((bounds[:-1][index] - out[:-1]).astype(kind), sizes)
+    at += np.arange(out[-1], dtype=kind)
+    return flat[at], out
 
 
 class Encoder:
@@ -136,3 +139,4 @@ def slices(batches, column: int, most: int = SLICE_BYTES):
         edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows])) if batch.num_rows else [0]
         for a, b in zip(edges[:-1], edges[1:]):
             yield batch.slice(int(a), int(b - a))
+            pa.default_memory_pool().release_unused()
