@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodex.llm import packing, pii, simhash, toxicity
@@ -65,7 +66,7 @@ def test_one_of_each_group_stays(spark, family):
 
 
 def test_odd_documents_survive(spark):
-    docs = table(spark, [*ODD, ODD[6]], [*ODD_IDS, 6])
+    docs = table(spark, [*ODD, ODD[6]], [*ODD_IDS, 6]).withColumns({c: F.lit(1) for c in ("kept_id", "kept_th", "th", "root", "node", "fp", "x")})
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
     got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
@@ -84,6 +85,15 @@ def test_blocks_of_hot_buckets_change_nothing(spark, family):
     assert ways[0] == ways[1]
 
 
+def test_segments_are_the_bits(spark):
+    rng = np.random.default_rng(1)
+    fp = rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    df = spark.createDataFrame([tuple(int(x) for x in fp.view(np.int64))], ", ".join(f"f{k} long" for k in range(8)))
+    got = list(df.select(*simhash.segment_values([f"f{k}" for k in range(8)])).first())
+    whole = sum(int(x) << 64 * k for k, x in enumerate(fp))
+    assert got == [whole >> 14 * i & 0x3FFF for i in range(36)]
+
+
 def test_allowed_bits_grow_with_dissimilarity():
     assert simhash.allowed_bits(1.0, 512) == 0 < simhash.allowed_bits(0.9, 512) < simhash.allowed_bits(0.8, 512) < 100
 
