@@ -36,6 +36,23 @@ def h1(html: Column) -> Column:
     return plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
 
 
+def simple_record(html: Column, most: int = 3000, least: int = 100) -> Column:
+    """Title (h1, else title) and the body's text cut to ``most`` characters; null if shorter
+    than ``least``."""
+    body = F.regexp_replace(html, r"(?is)<(script|style|nav|footer|noscript)\b.*?</\1>", " ")
+    text = plain(F.regexp_replace(body, r"(?is)<head\b.*?</head>", " "))
+    return F.when(F.length(text) >= least, F.struct(F.coalesce(F.nullif(h1(html), F.lit("")), title(html)).alias("title"), F.substring(text, 1, most).alias("text")))
+
+
+def probes(html: Column) -> Column:
+    """Times, weekdays and option labels of a page, each once, in order of appearance."""
+    days = "Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag"
+    times = F.array_distinct(F.regexp_extract_all(html, F.lit(r"\b\d{1,2}:\d{2}\b"), 0))
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit(rf"\b(?:{days})\b"), 0))
+    options = F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?is)<option[^>]*>\s*([^<]*?)\s*</option>"), 1))
+    return F.struct(times.alias("times"), found.alias("days"), options.alias("options"))
+
+
 def paragraphs(html: Column) -> Column:
     """Closed paragraphs' texts, in order, empty ones dropped."""
     found = F.regexp_extract_all(html, F.lit(r"(?s)<p>([^<]*)</p>"), 1)
@@ -111,9 +128,10 @@ def squeeze(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def sections_of(html: str | None, least: int = 30) -> dict:
-    """Title, h1, content, and sections of headings h1-h3 with the blocks below them of
-    more than ``least`` characters; equal sections once; text before a heading is Allgemein."""
+def sections_of(html: str | None, least: int = 30, empty_headings: bool = False) -> dict:
+    """Title, h1, content, and sections of headings h1-h3 with the blocks below them of
+    more than ``least`` characters; equal sections once; text before a heading is Allgemein. ``empty_headings`` keeps headings
+    without a block as sections of their own."""
     tree = Tree(True)
     tree.feed(html or "")
     tree.close()
@@ -127,7 +145,7 @@ def sections_of(html: str | None, least: int = 30) -> dict:
             found.append([text, []])
         elif len(text) > least:
             found[-1][1].append(text)
-    sections = list(dict.fromkeys((h, "\n".join(t)) for h, t in found if t))
+    sections = list(dict.fromkeys((h, "\n".join(t) or h) for h, t in found if t or empty_headings and h != "Allgemein"))
     sections += [s for s in json_ld(tree.ld) if s not in sections]
     return {"title": squeeze(tree.title), "h1": first, "headings": headings, "content": "\n".join(t for _, t in sections), "sections": [{"heading": h, "text": t} for h, t in sections]}
 

@@ -133,6 +133,22 @@ def t13(spark, d):
     return rows.select("page_id", "r.title", "r.h1", "r.content", F.size("r.sections").alias("n_sections"), F.size("r.headings").alias("n_headings"))
 
 
+@query("S19_simple_records")
+def s19(spark, d):
+    rows = table(spark, d, "pages").select("page_id", dom.simple_record(F.col("html")).alias("r")).where("r is not null")
+    return rows.select("page_id", "r.title", "r.text")
+
+
+PROBED = "'<option value=1> ' || event_type || ' </option> ' || strftime(ts, '%H:%M') || ' ' || " + "(['Sonntag','Montag','Dienstag','Mittwoch','Donnerstag','Freitag','Samstag'][dayofweek(ts) + 1])"
+
+
+@query("S24_probes", f"WITH h AS (SELECT event_id, {PROBED} AS html FROM events) SELECT event_id, array_to_string(regexp_extract_all(html, '\\b\\d{{1,2}}:\\d{{2}}\\b'), '|') AS times, array_to_string(regexp_extract_all(html, '(Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag)'), '|') AS days, array_to_string(regexp_extract_all(html, '<option[^>]*>\\s*([^<]*?)\\s*</option>', 1), '|') AS options FROM h")
+def s24(spark, d):
+    html = F.concat(F.lit("<option value=1> "), "event_type", F.lit(" </option> "), F.date_format("ts", "HH:mm"), F.lit(" "), timetable.weekday(F.col("ts")))
+    p = table(spark, d, "events").select("event_id", dom.probes(html).alias("p"))
+    return p.select("event_id", *[F.array_join(f"p.{c}", "|").alias(c) for c in ("times", "days", "options")])
+
+
 S6_SQL = """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages),
 b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, link, regexp_replace(link, '[?#].*$', '') AS bare FROM l)
 SELECT DISTINCT page_id, CASE WHEN starts_with(bare, '/') THEN host || bare ELSE bare END AS link FROM b
@@ -230,11 +246,21 @@ def t32(spark, d):
     return timetable.slots(rows).select("program_id", "day", "time", F.size("fragments").cast("long").alias("n_fragments"), F.array_join("fragments", "|").alias("fragments"))
 
 
-@query("T33_lectures")
+ROOMS = "'G1','G2','G3','G4','AH','WIN','231','111','114','129','130','131'"
+T33_SQL = f"""WITH f AS (SELECT p_partkey, p_brand, [p_name || ' (IN-' || p_partkey || ')', 'G2 ' || p_brand, 'M. ' || array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' '), 'IN S' || (p_size % 9 + 1)] AS fs FROM part),
+u AS (SELECT p_partkey, p_brand, unnest(fs) AS f, unnest([1, 2, 3, 4]) AS n FROM f),
+k AS (SELECT *, CASE WHEN regexp_matches(f, '[.,]') AND contains(f, ' ') AND len(list_filter(string_split(f, ','), lambda p: length(trim(p)) >= 30)) = 0 AND regexp_matches(substr(f, 1, 3), '\\p{{Lu}}') THEN 'lecturer'
+WHEN regexp_matches(f, 'S[1-9]$') OR contains(f, 'S1+') OR contains(f, 'S1_') THEN 'group' WHEN string_split(f, ' ')[1] IN ({ROOMS}) OR (length(f) <= 20 AND regexp_matches(substr(f, 1, 4), '\\d')) THEN 'room'
+WHEN contains(f, '(') AND contains(f, '-') THEN 'name' ELSE 'other' END AS kind FROM u),
+g AS (SELECT p_partkey, p_brand, arg_max(f, n) FILTER (WHERE kind = 'lecturer') AS lecturer, arg_max(f, n) FILTER (WHERE kind = 'group') AS grp, arg_max(f, n) FILTER (WHERE kind = 'room') AS room, coalesce(arg_max(f, n) FILTER (WHERE kind = 'name'), arg_min(f, n) FILTER (WHERE kind = 'other' AND length(f) > 10)) AS name FROM k GROUP BY ALL)
+SELECT p_partkey AS program_id, name, concat_ws(' | ', 'Studiengang: ' || p_brand, 'Vorlesung: ' || name, 'Tag: Montag', 'Zeit: 08:00', 'Raum: ' || room, 'Dozent: ' || lecturer, 'Gruppe: ' || grp) AS full_text FROM g WHERE name IS NOT NULL"""
+
+
+@query("T33_lectures", T33_SQL)
 def t33(spark, d):
     p = table(spark, d, "part")
     made = F.array(F.concat("p_name", F.lit(" (IN-"), F.col("p_partkey").cast("string"), F.lit(")")), F.concat(F.lit("G2 "), "p_brand"), F.concat(F.lit("M. "), F.initcap("p_type")), F.concat(F.lit("IN S"), (F.col("p_size") % 9 + 1).cast("string")))
-    return timetable.lectures(p.select(F.col("p_partkey").alias("program_id"), F.col("p_brand").alias("program"), F.lit("Montag").alias("day"), F.lit("08:00").alias("time"), made.alias("fragments")))
+    return timetable.lectures(p.select(F.col("p_partkey").alias("program_id"), F.col("p_brand").alias("program"), F.lit("Montag").alias("day"), F.lit("08:00").alias("time"), made.alias("fragments"))).select("program_id", "name", "full_text")
 
 
 CARRY = f"""WITH l AS (SELECT user_id AS page, event_id AS pos, CASE event_type WHEN 'signup' THEN {DAY} WHEN 'error' THEN strftime(ts, '%H:%M') ELSE event_type END AS line FROM events),

@@ -115,3 +115,14 @@ def append_feedback(spark: SparkSession, path: str, project: str, query: str, su
 
     row = [(datetime.now().isoformat(), project, query, summary, rating, model)]
     spark.createDataFrame(row, "timestamp string, project string, query string, summary string, rating int, model string").coalesce(1).write.mode("append").json(path)
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """K6: UTF-8 JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """K8: one JSON folder for each section of a report."""
+    for name, df in sections.items():
+        df.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")

@@ -18,7 +18,7 @@ from lodex.plans.ingest import Pipeline
 from lodex.plans.search import SearchEngine, ServiceSearch
 from lodex.sources import readers
 from lodex.sources.readers import Config
-from lodex.sources.store import Store, append_feedback, coalesced, seed
+from lodex.sources.store import Store, append_feedback, coalesced, seed, write_lines, write_report
 from lodex.streaming import feedback as streams
 
 
@@ -125,6 +125,8 @@ def test_page_records(spark):
     assert [s["heading"] for s in r["sections"]] == ["Kopf", "Teil", "Tag der offenen Tür"]
     assert "Teilen" not in r["content"] and "menu" not in r["content"]
     assert dom.sections_of(None)["sections"] == []
+    assert [x["heading"] for x in dom.sections_of("<h1>A</h1><h2>B</h2><p>" + "wort " * 9, empty_headings=True)["sections"]] == ["A", "B"]
+    assert [r and r.title for r in column(spark, [HTML, "<p>kurz"], lambda x: dom.simple_record(x, least=50))] == ["Kopf", None]
     assert dom.pdf_links_of('<a href="/a.pdf">x</a><a class=b href="b.pdf"></a><a href="/a.pdf"></a><a data-href="c.pdf">', "https://h.example/d/") == ["https://h.example/a.pdf", "https://h.example/d/b.pdf", "https://h.example/d/c.pdf"]
     assert dom.table_rows_of("<table><tr><th>a<th>b</tr><tr><td> 1 </td></tr></table>") == [["a", "b"], ["1"]]
 
@@ -261,6 +263,9 @@ def test_store(spark, tmp_path):
     assert store.migrate("c", "e") == 2 and set(store.read("e").columns) >= {"sparse_indices", "sparse_values"}
     store.drop("e")
     assert not store.exists("e") and seed(spark, [("u", "t", "x")]).first().id == 5000
+    write_lines(points, f"{tmp_path}/lines")
+    write_report({"counts": points.groupBy().count(), "points": points}, f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/lines").count() == spark.read.json(f"{tmp_path}/report/points").count() == 2
     append_feedback(spark, f"{tmp_path}/f", "p", "q", "s", 1, "m")
     append_feedback(spark, f"{tmp_path}/f", "p", "q2", "s", 0, "m")
     assert spark.read.json(f"{tmp_path}/f").count() == 2
