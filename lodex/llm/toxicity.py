@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+").findall
 BITS = 20
 PREFIXES = (4, 5)
 #: Bound on the labelled rows that training reads, and on the columns it weighs.
-MAX_ROWS = 40_000
+MAX_ROWS = 20_000
 MAX_COLUMNS = 20_000
 LEAST_ROWS = 4
 THRESHOLD = 0.7
@@ -157,15 +157,15 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, train: Column | No
     """Hashed columns and labels of at most about ``max_rows`` labelled rows, all if fewer."""
     train = ~held_out(F.col("doc_id")) if train is None else train
     known = labels.where("toxic is not null and doc_id is not null").where(train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    n, texts = known.count(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(train)
+    if n > max_rows:  # on both sides, so that only the sample's texts are shuffled
+        chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n)
+        known, texts = known.where(chosen), texts.where(chosen)
 
     def run(batches):
         for batch in pieces_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array([columns(t).astype(np.int32) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = texts.join(known, "doc_id").select("text", "toxic").mapInArrow(run, "at array<int>, toxic int").toArrow()
     rows = [np.asarray(x.values) for chunk in got.column("at").chunks for x in chunk]
     return rows, np.asarray(got.column("toxic").combine_chunks(), dtype=np.float64) if got.num_rows else np.empty(0)
