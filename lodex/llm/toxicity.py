@@ -18,18 +18,18 @@ scored as often as they come; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces_of
+from .common import held_out
+from .tokens import lay_out, slices
 
-WORD = re.compile(r"[^\W\d_]+").findall
 BITS = 20
 PREFIXES = (4, 5)
 #: Bound on the labelled rows that training reads, and on the columns it weighs.
@@ -43,13 +43,47 @@ def of_word(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))
 
 
-def terms(text: str | None) -> set[str]:
-    return {t for w in set(WORD((text or "").lower())) for t in of_word(w)}
+def worded(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct lower-cased words (runs of letters) of all texts, the number of each word in turn,
+    and the bounds of each text's words."""
+    split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+")
+    coded = split.flatten().dictionary_encode()
+    offsets = np.asarray(split.offsets)
+    return coded.dictionary.to_pylist(), np.asarray(coded.indices), offsets - offsets[0]
+
+
+def hashed(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of each word, and their bounds; the empty word has none."""
+    mask, flat, ends = (1 << bits) - 1, [], [0]
+    for word in words:
+        if word:
+            flat += [zlib.crc32(t.encode("utf-8", "surrogatepass")) & mask for t in of_word(word)]
+        ends.append(len(flat))
+    return np.array(flat, dtype=np.int64), np.array(ends, dtype=np.int64)
+
+
+def present(texts: pa.Array, bits: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, column) of every column present, once, by text and column. With ``place`` columns
+    become its values, and those with a negative one are left out."""
+    words, index, bounds = worded(texts)
+    flat, of = hashed(words, bits)
+    if place is not None:
+        flat = place[flat].astype(np.int64)
+        kept = np.concatenate(([0], np.cumsum(flat >= 0)))
+        flat, of = flat[flat >= 0], kept[of]
+    columns, ends = lay_out(flat, of, index)
+    text = np.repeat(np.arange(len(texts)), np.diff(ends[bounds]))
+    key = np.unique((text << bits) | columns)
+    return key >> bits, key & ((1 << bits) - 1)
+
+
+def columns_of(texts: pa.Array, bits: int = BITS) -> list[np.ndarray]:
+    text, column = present(texts, bits)
+    return np.split(column, np.searchsorted(text, np.arange(1, len(texts)))) if len(texts) else []
 
 
 def columns(text: str | None, bits: int = BITS) -> np.ndarray:
-    mask = (1 << bits) - 1
-    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) & mask for t in terms(text)), np.int64))
+    return columns_of(pa.array([text], pa.string()), bits)[0]
 
 
 @dataclass
@@ -69,30 +103,16 @@ class Machine:
         v = self.v[at]
         return float(self.bias + self.w[at].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum()))
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        lookup = self.lookup()
-        out = np.empty(len(texts))
-        for k, text in enumerate(texts):
-            lower = (text or "").lower()
-            found = {i for w in set(WORD(lower)) for i in lookup(w)}
-            out[k] = self.margin(np.fromiter(sorted(found), np.int64, len(found)))
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-
-    def lookup(self, keep: int = 300_000):
-        """word -> positions of its features, kept for words seen before."""
-        place = {int(c): i for i, c in enumerate(self.weighed)}
-        mask, known = (1 << self.bits) - 1, {}
-
-        def of(word: str) -> tuple[int, ...]:
-            if word in known:
-                return known[word]
-            got = tuple(place[c] for t in of_word(word) if (c := zlib.crc32(t.encode("utf-8", "surrogatepass")) & mask) in place)
-            if len(known) >= keep:
-                known.clear()
-            known[word] = got
-            return got
-
-        return of
+    def scores(self, texts) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        place = np.full(1 << self.bits, -1, np.int32)
+        place[self.weighed] = np.arange(len(self.weighed))
+        text, at = present(texts, self.bits, place)
+        n = len(texts)
+        sums = np.zeros((n, self.v.shape[1]))
+        np.add.at(sums, text, self.v[at])
+        z = self.bias + np.bincount(text, self.w[at], n) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(text, (self.v[at] ** 2).sum(axis=1), n))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def choose(rows: list[np.ndarray], labels: np.ndarray, bits: int, least_rows: int, most: int) -> np.ndarray:
@@ -163,8 +183,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, train: Column | No
         known, texts = known.where(chosen), texts.where(chosen)
 
     def run(batches):
-        for batch in pieces_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([columns(t).astype(np.int32) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"])
+        for batch in slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([c.astype(np.int32) for c in columns_of(batch.column(0))], pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"])
 
     got = texts.join(known, "doc_id").select("text", "toxic").mapInArrow(run, "at array<int>, toxic int").toArrow()
     rows = [np.asarray(x.values) for chunk in got.column("at").chunks for x in chunk]
@@ -180,8 +200,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     known = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
-        for batch in pieces_of(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known.value.scores(batch.column(2).to_pylist()))], names=["doc_id", "held_out", "score"])
+        for batch in slices(batches, 2):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known.value.scores(batch.column(2)))], names=["doc_id", "held_out", "score"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return given.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -192,7 +212,7 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOL
     known, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
 
     def run(batches):
-        for batch in pieces_of(batches):
-            yield batch.filter(pa.array(known.value.scores(batch.column(at).to_pylist()) < threshold))
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array(known.value.scores(batch.column(at)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
