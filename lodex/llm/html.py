@@ -224,7 +224,7 @@ def main_text(page: str | None, field: Field) -> str:
     return "\n".join(b.text for b, y in zip(found, field.decode(found)) if y)
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[Block, int]]]:
+def labelled_pages(n: int = 600, seed: int = 11) -> list[list[tuple[Block, int]]]:
     """Training pages from templates; the marks M and B in the text give each block's label."""
     rng = np.random.default_rng(seed)
     syllables = ["ta", "ren", "mo", "lis", "ka", "dor", "ve", "shu", "pin", "gra", "el", "oth", "an", "er"]
@@ -279,7 +279,11 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[Block, int]]
         named = rng.random() < (0.35 if tag == kind or tag in ("nav", "header", "footer", "aside", "form") else 1.0)
         attr = f' {rng.choice(["class", "class", "id"])}="{rng.choice(side[kind])}"' if named else ""
         inner = ""
-        if kind in ("nav", "share") or kind in ("aside", "footer") and rng.random() < 0.5:
+        if rng.random() < 0.3:  # any content: what holds it must be telling enough
+            inner = rng.choice(["phrase", "sentence", "para", "list", "links"])
+            inner = {"phrase": lambda: phrase("B", 1, 6), "sentence": lambda: sentence("B"), "para": lambda: para("B"), "list": lambda: listing("B", False), "links": lambda: listing("B", True)}[inner]()
+            inner = inner[4:-5] if tag in ("ul", "ol") and inner.startswith("<ul>") else f"<li>{inner}</li>" if tag in ("ul", "ol") else inner
+        elif kind in ("nav", "share") or kind in ("aside", "footer") and rng.random() < 0.5:
             inner = listing("B", True)
             inner = inner[4:-5] if tag in ("ul", "ol") else inner
             if kind == "aside" and rng.random() < 0.6:
@@ -289,7 +293,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[Block, int]]
         elif kind == "comments":
             inner = f"<h3>{phrase('B', 1, 3)}</h3>" + "".join(f"<{'li' if tag == 'ol' else 'div'} class=comment><p>{sentence('B')}</p></{'li' if tag == 'ol' else 'div'}>" for _ in range(rng.integers(1, 5)))
         elif kind == "header":
-            inner = f"<div class=logo><a href=/>{phrase('B', 1, 3)}</a></div>" + (f"<p>{phrase('B', 2, 7)}</p>" if rng.random() < 0.5 else "")
+            inner = (f"<h1>{phrase('B', 1, 3)}</h1>" if rng.random() < 0.35 else f"<div class=logo><a href=/>{phrase('B', 1, 3)}</a></div>") + (f"<p>{phrase('B', 2, 7)}</p>" if rng.random() < 0.5 else "")
         elif kind == "footer":
             inner = f"<p>{phrase('B', 1, 3)} &copy; {sentence('')}</p>" if rng.random() < 0.5 else f"{phrase('B', 1, 3)} &copy; &middot; {sentence('')}"
         else:
@@ -302,13 +306,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[Block, int]]
         tag = rng.choice(["article", "article", "main", "div", "section", "none"])
         attr = "" if tag in ("article", "main") and rng.random() < 0.6 else f' {rng.choice(["class", "id"])}="{rng.choice(mains)}"'
         body = f"<h1>{phrase('M', 2, 9)}</h1>" if rng.random() < 0.7 else ""
+        body = f"<header>{body}</header>" if body and tag != "none" and rng.random() < 0.12 else body
         for _ in range(rng.integers(1, 9)):
             r = rng.random()
-            body += para("M") if r < 0.74 else f"<h2>{phrase('M', 1, 6)}</h2>{para('M')}" if r < 0.84 else listing("M", False) if r < 0.9 else table("M") if r < 0.93 else f"<pre>{phrase('M', 2, 9)}</pre>" if r < 0.95 else part(rng.choice(["ad", "aside", "share", "form", "notice"]))
+            body += para("M") if r < 0.66 else f"<h2>{phrase('M', 1, 6)}</h2>{para('M')}" if r < 0.76 else listing("M", False) if r < 0.82 else table("M") if r < 0.85 else f"<pre>{phrase('M', 2, 9)}</pre>" if r < 0.87 else part(rng.choice(["ad", "aside", "share", "form", "notice"]))
         if tag == "none":
             return body
-        if rng.random() < 0.2:
-            body = f"<header>{body[:0]}</header>" + body
         inside = f"<{tag}{attr}>{body}</{tag}>"
         return f"<main>{inside}</main>" if tag == "article" and rng.random() < 0.3 else inside
 
@@ -327,7 +330,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[Block, int]]
     return pages
 
 
-def fit(pages: list[list[tuple[Block, int]]], epochs: int = 30, rate: float = 0.3, l2: float = 2e-3) -> Field:
+def fit(pages: list[list[tuple[Block, int]]], epochs: int = 20, rate: float = 0.3, l2: float = 2e-3) -> Field:
     """Conditional maximum likelihood: forward-backward for expectations, AdaGrad by page."""
     data = [(block_features([b for b, _ in p]), np.array([y for _, y in p])) for p in pages if p]
     names = sorted({w for f, _ in data for x in f for w in x})
