@@ -1,15 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are white-space-separated, lower-cased and stripped of everything but letters, digits and
-underscores; what is then empty counts for nothing. A first pass over all documents counts in how
-many of them each word ``GRAM``-gram of the test items occurs. Of an item's grams that occur at all, its
-seeds are those at most twice as frequent as the ``seed_share`` quantile of them, so every item has
-seeds however often it was copied, and grams of common words are none. A second pass
-finds the seeds in every whole text, opens a window around the place that each implies for the
-item, and aligns window and item by local alignment (match 2, mismatch -1, gap -1). The score is
-the alignment's share of the item's best possible one; edits, insertions and dropped words lower it
-little, a shared phrase does not raise it far. Items and document regions are joined by hash; no
-document leaves its task.
+underscores; what is then empty counts for nothing. Every word ``GRAM``-gram of a test item is a
+seed, however common it is. One pass over the documents finds the seeds in every whole text, opens a
+window around the places that they imply for the item, and aligns window and item by local alignment
+(match 2, mismatch -1, gap -1). The score is the alignment's share of the item's best possible one;
+edits, insertions and dropped words lower it little, a shared phrase does not raise it far. Windows
+that hold too few of the item's words for the threshold in any order are not aligned, which loses
+nothing. Items and document regions are joined by hash; no document leaves its task. A copy that
+keeps no ``GRAM`` running words of the item has no seed and is not found.
 
 The test items are broadcast in blocks of at most ``block_words`` words, however many there are.
 
@@ -33,7 +32,6 @@ from pyspark.sql import functions as F
 from .tokens import slices
 
 GRAM = 3
-SEED_SHARE = 0.5
 LEAST_WORDS = 6
 THRESHOLD = 0.5
 BLOCK_WORDS = 2_000_000
@@ -57,7 +55,6 @@ class Items:
     bounds: np.ndarray  # gram -> range in of_item and at
     of_item: np.ndarray
     at: np.ndarray
-    seed: np.ndarray | None = None  # gram -> for which of its places it is a seed
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -90,20 +87,6 @@ def index(rows: list[tuple], least_words: int = LEAST_WORDS) -> Items | None:
     return Items(ids, words, number, grams, np.concatenate((first, [len(flat)])), item[order], at[order])
 
 
-def seeded(items: Items, frequency: np.ndarray, share: float) -> Items:
-    """Marks each item's rarer grams as its seeds."""
-    df = np.repeat(frequency, np.diff(items.bounds))
-    seed = np.zeros(len(df), bool)
-    order = np.argsort(items.of_item, kind="stable")
-    starts = np.searchsorted(items.of_item[order], np.arange(len(items.ids) + 1))
-    for a, b in zip(starts[:-1], starts[1:]):
-        own = order[a:b][df[order[a:b]] > 0]
-        if len(own):
-            seed[own] = df[own] <= 2 * np.quantile(df[own], share, method="lower")
-    items.seed = seed
-    return items
-
-
 def numbered(texts: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all texts (0: not in any item) without empty words, and the texts' bounds."""
     split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
@@ -154,6 +137,13 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most_matches(item: np.ndarray, region: np.ndarray) -> int:
+    """How many words of the item the region holds in any order: no alignment matches more."""
+    own, counts = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(own, region), len(own) - 1)
+    return int(np.minimum(np.bincount(at[own[at] == region], minlength=len(own)), counts).sum())
+
+
 def leaks(words: np.ndarray, bounds: np.ndarray, items: Items, threshold: float) -> list[tuple[int, int, float, int]]:
     """(text, item, score, end word) of each item that a text copies, its best place."""
     text, place, gram = hits(words, bounds, items)
@@ -162,8 +152,6 @@ def leaks(words: np.ndarray, bounds: np.ndarray, items: Items, threshold: float)
     sizes = items.bounds[gram + 1] - items.bounds[gram]
     entry = np.repeat(items.bounds[gram] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     text, place = np.repeat(text, sizes), np.repeat(place, sizes)
-    use = items.seed[entry]
-    text, place, entry = text[use], place[use], entry[use]
     item, begin = items.of_item[entry], place - items.at[entry]
     order = np.lexsort((begin, item, text))
     out: dict[tuple[int, int], tuple[float, int]] = {}
@@ -176,11 +164,13 @@ def leaks(words: np.ndarray, bounds: np.ndarray, items: Items, threshold: float)
         while j < len(text) and text[j] == t and item[j] == x and begin[j] - begin[j - 1] <= slack:
             j += 1
         a, b = max(int(bounds[t]), begin[i] - slack), min(int(bounds[t + 1]), begin[j - 1] + len(own) + slack)
-        score, end = align(own, words[a:b])
+        i, region = j, words[a:b]
+        if most_matches(own, region) / len(own) < threshold:
+            continue
+        score, end = align(own, region)
         share = score / (MATCH * len(own))
         if share >= threshold and share > out.get((t, x), (0.0, 0))[0]:
             out[t, x] = (share, a + end - int(bounds[t]))
-        i = j
     return [(t, x, s, e) for (t, x), (s, e) in sorted(out.items())]
 
 
@@ -194,28 +184,9 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple]]:
         yield sorted((tuple(r) for r in rows.where(part == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each gram of the items occurs."""
-    known = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches):
-        own = known.value
-        counts = np.zeros(len(own.grams), np.int64)
-        for batch in slices(batches, 0, SLICE_BYTES):
-            text, _, gram = hits(*numbered(batch.column(0), own.number), own)
-            counts += np.bincount(np.unique(text * len(own.grams) + gram) % len(own.grams), minlength=len(own.grams))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["gram", "n"])
-
-    out = np.zeros(len(items.grams), np.int64)
-    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def prepared(docs: DataFrame, benchmark: DataFrame, share: float = SEED_SHARE, least_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> list[Items]:
+def prepared(benchmark: DataFrame, least_words: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> list[Items]:
     found = (index(rows, least_words) for rows in item_blocks(benchmark, block_words))
-    return [seeded(x, frequencies(docs, x), share) for x in found if x]
+    return [x for x in found if x]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,7 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     the item's best alignment, threshold or more), last_word (where the copy ends in the document)."""
     spark, parts = docs.sparkSession, []
     schema = "doc_id long, item_id long, score double, last_word long"
-    for items in prepared(docs, benchmark):
+    for items in prepared(benchmark):
         known = spark.sparkContext.broadcast(items)
 
         def run(batches, known=known):
@@ -243,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that copy a test item."""
     at = docs.columns.index("text")
-    for items in prepared(docs, benchmark):
+    for items in prepared(benchmark):
         known = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, known=known):

@@ -364,6 +364,18 @@ def test_leaks_exact_edited_and_frequent(spark, bench_items):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
 
 
+@pytest.mark.parametrize("length, edits, copies", [(20, (4, 9, 14), 2), (40, tuple(range(5, 40, 5)), 2), (59, tuple(range(5, 55, 5)), 50)])
+def test_repeated_edited_copies_are_leaks_beside_a_whole_one(spark, length, edits, copies):
+    item = [f"word{k}" for k in range(length)]
+    edited = ["changed" if k in edits else w for k, w in enumerate(item)]
+    docs = table(spark, [" ".join(item), *[f"before it {' '.join(edited)} after it"] * copies, "word0 word1 word2 and no more"])
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contamination(docs, bench).collect()}
+    assert set(got) == set(range(copies + 1)) and got[0] == 1.0
+    assert all(got[k] == pytest.approx((2 * length - 3 * len(edits)) / (2 * length)) for k in range(1, copies + 1))
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [copies + 1]
+
+
 def test_leaks_do_not_depend_on_blocks(spark, bench_items, monkeypatch):
     words, items, bench = bench_items
     docs = table(spark, [f"x y z {items[4]} end", items[9], "a b c"], [5, None, 7])
