@@ -12,9 +12,9 @@ of a spanning forest leave a task, never all pairs; buckets over ``block`` finge
 split into pairs of blocks, so a task holds at most two blocks of one bucket at a time.
 
 ``near_duplicates`` links 64-bit fingerprints that differ in few bits. ``deduplicated``, which keeps
-one text of each group of copies, measures the similarity of texts: its fingerprints of 512 bits
-tell a similarity of 0.8 of shingle sets from 0.7, which 64 bits cannot, and use the same ring of
-segments, chains and blocks.
+one text of each group of copies, links texts whose shingle sets have a Jaccard similarity of 0.8 or
+more: fingerprints of 512 bits on the same ring of segments, chains and blocks give loose groups of
+candidates, and within these every link is confirmed on the whole shingle sets.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links
 like any other; repeated rows appear as often as they come in; an empty table gives an empty
@@ -140,10 +140,12 @@ def group_edges(key: np.ndarray, side: np.ndarray, close, step: int = 1 << 20):
 KEYS = ["seg", "val", "lo", "hi"]
 
 
-def dealt(indexed: DataFrame, carried: list[str], block: int) -> DataFrame:
+def dealt(indexed: DataFrame, carried: list[str], block: int, sizes: DataFrame | None = None) -> DataFrame:
     """Rows of a segment index (node, seg, val, ...) with the pair of blocks they are compared in:
-    one for buckets of up to ``block`` rows; of larger ones each row goes to all pairs of its block."""
-    sizes = indexed.groupBy("seg", "val").count().where(F.col("count") > block).select("seg", "val", F.ceil(F.col("count") / block).cast("int").alias("nb"))
+    one for buckets of up to ``block`` rows; of larger ones each row goes to all pairs of its block.
+    ``sizes`` (seg, val, nb) gives the number of blocks where it isn't that of the rows."""
+    if sizes is None:
+        sizes = indexed.groupBy("seg", "val").count().where(F.col("count") > block).select("seg", "val", F.ceil(F.col("count") / block).cast("int").alias("nb"))
     placed = indexed.join(sizes, ["seg", "val"], "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), "nb").cast("int"))
     placed = placed.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
@@ -242,6 +244,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = SHINGLE,
 WORDS, WIDE_SHINGLE, SIMILARITY = 8, 5, 0.8
 #: Bits of an indexed segment, and of a link of the chains.
 WIDE_SEGMENT, LINK = 14, 16
+#: Bits of an indexed segment where candidates are looked for, deviations that they may differ by
+#: beyond what is expected at the similarity, and shingles of a block whose sets are compared.
+CANDIDATE_SEGMENT, CANDIDATE_SLACK, BLOCK_SHINGLES = 12, 4.0, 1 << 21
 
 
 def segment_values(names: list[str], width: int = WIDE_SEGMENT) -> list[Column]:
@@ -256,19 +261,21 @@ def segment_values(names: list[str], width: int = WIDE_SEGMENT) -> list[Column]:
     return out
 
 
-def wide_fingerprint(text: str | None, words: int = WORDS, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """``words`` independent 64-bit SimHashes of a text's distinct shingles: each shingle's hash is
-    mixed anew for every word."""
+def shingle_hashes(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; a text of fewer words is one shingle."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     flat, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= shingle:
-        hashes = np.array([digest(flat, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = np.unique(np.array([digest(flat[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64))
+        return np.array([digest(flat, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([digest(flat[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], dtype=np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """``words`` independent 64-bit SimHashes of a set of hashes: each is mixed anew for every word."""
     counts = np.zeros(words * 64, np.int64)
     for i in range(0, len(hashes), 4096):
         z = hashes[i : i + 4096, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, words + 1, dtype=np.uint64)[None, :]
@@ -279,12 +286,18 @@ def wide_fingerprint(text: str | None, words: int = WORDS, shingle: int = WIDE_S
     return np.packbits(2 * counts > len(hashes)).view(np.uint64)
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
+def wide_fingerprint(text: str | None, words: int = WORDS, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """``words`` independent 64-bit SimHashes of a text's distinct shingles."""
+    return set_fingerprint(shingle_hashes(text, shingle), words)
+
+
+def allowed_bits(similarity: float, bits: int, slack: float = 0.5) -> int:
     """Differing bits to be expected at a Jaccard similarity: two sets of one size have the cosine
-    2j / (1 + j), and a SimHash bit differs with the angle's share of a half turn. Half a deviation
-    more, so that more than two thirds of the pairs right at the similarity are within."""
+    2j / (1 + j), sets of different sizes a greater one, and a SimHash bit differs with the angle's
+    share of a half turn. ``slack`` deviations more: at 0.5 more than two thirds of the pairs right at
+    the similarity are within, at 4 all but about three in 100,000."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(share * bits + 0.5 * np.sqrt(bits * share * (1 - share))))
+    return int(np.ceil(share * bits + slack * np.sqrt(bits * share * (1 - share))))
 
 
 def wide_close(fp: np.ndarray, start: np.ndarray, distance: int):
@@ -309,29 +322,93 @@ def wide_close(fp: np.ndarray, start: np.ndarray, distance: int):
     return close
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Common members of two sorted sets."""
+    small, big = (a, b) if len(a) <= len(b) else (b, a)
+    return int(np.count_nonzero(big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small)) if len(small) else 0
+
+
+def set_close(fp: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int):
+    """Pair test on the sets themselves. Pairs that earlier links join already count as not close:
+    they would change no group. Sizes and fingerprints are looked at first."""
+    size, parent = np.array([len(x) for x in sets]), list(range(len(sets)))
+    label = np.arange(len(sets))
+
+    def top(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    def close(a, b):
+        nonlocal label
+        least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        maybe = np.flatnonzero((least >= similarity * most - 1e-9) & (label[a] != label[b]))
+        maybe = maybe[np.bitwise_count(fp[a[maybe]] ^ fp[b[maybe]]).sum(axis=1) <= distance]
+        found = []
+        for k, i, j in zip(maybe.tolist(), a[maybe].tolist(), b[maybe].tolist()):
+            x, y = top(i), top(j)
+            if x != y:
+                common = shared(sets[i], sets[j])
+                if common >= similarity * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                    parent[max(x, y)] = min(x, y)
+                    found.append(k)
+        if found:
+            label = np.array([top(k) for k in range(len(sets))])
+        return np.array(found, np.int64)
+
+    return close
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, shingle: int = WIDE_SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, th, root) for every row: groups of texts whose sets of word shingles have about
-    ``similarity`` or more, chained. A pair is compared if any of the fingerprint's 14-bit segments
-    is equal; at a similarity of 0.8 all but about two pairs in a hundred are, at 0.9 practically all,
-    and up to as many differing bits as there are segments less one, all of them."""
+    """(doc_id, th, root) for every row: groups of texts whose sets of word shingles have a Jaccard
+    similarity of ``similarity`` or more, chained. Texts of equal sets are one node. Candidates have
+    an equal 12-bit segment of their fingerprints, which two in a thousand pairs right at 0.8 and
+    practically none at 0.85 lack, and a distance with four deviations of slack; they are chained to
+    loose groups, and within each all pairs are measured by their sets."""
     names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         for batch in pieces_of(batches):
-            found = np.array([wide_fingerprint(t, words, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(words))], names=["doc_id", "th", *names])
+            node, size, found = [], [], []
+            for text in batch.column(2).to_pylist():
+                own = shingle_hashes(text, shingle)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                size.append(len(own))
+                found.append(set_fingerprint(own, words))
+            found = np.array(found, dtype=np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *(pa.array(found[:, k]) for k in range(words))], names=["doc_id", "th", "node", "n", *names])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    marked = cut(given.mapInArrow(run, f"doc_id long, th long, {', '.join(f'{n} long' for n in names)}").withColumn("node", F.xxhash64(*names)), "fingerprints")
-    distinct = cut(marked.select("node", *names).dropDuplicates(["node"]), "distinct")
-    indexed = distinct.select("node", *names, F.posexplode(F.array(*segment_values(names))).alias("seg", "val"))
-    distance = allowed_bits(similarity, words * 64)
+    marked = cut(given.mapInArrow(run, f"doc_id long, th long, node long, n long, {', '.join(f'{n} long' for n in names)}"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x")
+    distinct = marked.groupBy("node", "n", *names).agg(first).select("node", "n", *names, F.col("x.doc_id").alias("kept_id"), F.col("x.th").alias("kept_th"))
+    distinct = cut(distinct, "distinct")
+    indexed = distinct.select("node", *names, F.posexplode(F.array(*segment_values(names, CANDIDATE_SEGMENT))).alias("seg", "val"))
+    distance = allowed_bits(similarity, words * 64, CANDIDATE_SLACK)
 
-    def close_of(cols):
-        fp = np.stack(cols[6:], axis=1).astype(np.int64).view(np.uint64)
-        return wide_close(fp, cols[0].astype(np.int64) * WIDE_SEGMENT // LINK, distance)
+    def bits_of(cols):
+        return np.stack(cols[6 : 6 + words], axis=1).astype(np.int64).view(np.uint64)
+
+    def candidates(cols):
+        return wide_close(bits_of(cols), cols[0].astype(np.int64) * CANDIDATE_SEGMENT // LINK, distance)
 
-    roots = components(bucket_edges(dealt(indexed, names, block), close_of, 1 << 17))
+    def confirmed(cols):
+        return set_close(bits_of(cols), [np.frombuffer(x, np.uint64) for x in cols[6 + words]], similarity, distance)
+
+    def sets(batches):
+        for batch in pieces_of(batches):
+            hashes = pa.array([shingle_hashes(t, shingle).tobytes() for t in batch.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], hashes], names=[*batch.schema.names[1:], "hashes"])
+
+    loose = components(bucket_edges(dealt(indexed, names, block), candidates, 1 << 17))
+    loose = loose.union(loose.select(F.col("root").alias("node"), "root").distinct())
+    members = cut(distinct.join(loose, "node").select("node", F.lit(0).alias("seg"), F.col("root").alias("val"), *names, "n", "kept_id", "kept_th"), "members")
+    whole = given.join(members, members.kept_id.eqNullSafe(given.doc_id) & (members.kept_th == given.th)).select("text", "node", "seg", "val", *names)
+    whole, path = cut_at(whole.mapInArrow(sets, f"node long, seg int, val long, {', '.join(f'{n} long' for n in names)}, hashes binary"), "shingles")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("seg", "val").agg(blocks.alias("nb")).where("nb > 1")
+    roots = components(bucket_edges(dealt(whole, [*names, "hashes"], block, sizes), confirmed, 1 << 17))
+    remove(docs.sparkSession, path)
     return marked.join(roots, marked.node == roots.node, "left").select("doc_id", "th", F.coalesce("root", marked.node).alias("root"))
 
 

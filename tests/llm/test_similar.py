@@ -55,6 +55,31 @@ def test_groups_follow_jaccard(spark, family):
     assert wrong == 0 and caught > 100 and missed <= 0.03 * caught
 
 
+def test_groups_are_those_of_the_exact_similarity(spark):
+    """Pairs on both sides of 0.8, where 512 bits cannot decide, and short texts that differ in a word."""
+    rng = random.Random(5)
+    texts = []
+    for length in (10, 11, 12, 13, 24, 25, 26, 60, 104):
+        for k in range(12):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+            edits = 1 if length < 20 else max(1, length // 50 + k % 2)
+            texts += [" ".join(base), " ".join([*base[:-edits], *(f"x{k}e{e}" for e in range(edits))]), " ".join([f"y{k}", *base[1:-1], f"z{k}"])]
+    for k in range(60):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(104)]
+        texts += [" ".join(base), " ".join(["a", *base[:20], "b", *base[21:50], "c", *base[51 : 104 - 4 * (k % 2)]])]
+    sets = [shingles(t) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    groups = {}
+    for r in simhash.similar_groups(table(spark, texts)).collect():
+        groups.setdefault(r.root, []).append(r.doc_id)
+    got = {d: min(own) for own in groups.values() for d in own}
+    assert [got[i] for i in range(len(texts))] == want and 0 < sum(w != i for i, w in enumerate(want)) < len(texts) // 2
+
+
 def test_one_of_each_group_stays(spark, family):
     texts = [*family, family[0], family[0], "short one", "short one", "another short", None, "", " "]
     docs = table(spark, texts)
