@@ -63,7 +63,10 @@ def element_features(tag: str, attributes: str) -> str:
 
 
 def features_of(tag: str, attributes: str) -> str:
-    return element_features(tag, attributes if len(attributes) < 200 else attributes[:2000]) if attributes.strip() else f"t:{tag}"
+    """The element's features from all of its attributes; only short ones are cached."""
+    if not attributes.strip():
+        return f"t:{tag}"
+    return element_features(tag, attributes) if len(attributes) < 200 else element_features.__wrapped__(tag, attributes)
 
 
 def blocks(page: str | None) -> list[Block]:

@@ -283,6 +283,13 @@ def test_main_text_of_a_page():
     assert html.main_text(PAGE, html.default_field()) == want
 
 
+def test_attributes_behind_long_ones_count():
+    long = f' data-state="{"x" * 5000}" class="sidebar advert" id="menu" hidden'
+    before = html.element_features.cache_info().currsize
+    assert html.features_of("div", long).split() == ["t:div", "n:sidebar", "n:advert", "n:menu", "hidden"]
+    assert html.element_features.cache_info().currsize == before
+
+
 def test_extraction_holds_out():
     field, wrong, n = html.default_field(), 0, 0
     for page in html.labelled_pages(120, seed=1234):
