@@ -1,16 +1,23 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled to unit length and, for each of ``tables`` tables, turned by three rounds of
-random signs and fast Hadamard transforms; the hash is the nearest signed axis. Every vector is
-indexed in one bucket of each table. A query probes the ``probes`` nearest axes of each table, and
-the vectors of those buckets are ranked by the exact distance of the original vectors, in double
-precision.
-
-Equal vectors are equally near to anything, so of each group of equal vectors only the k + 1
-smallest ids can be in a result; the others are left out of the index before any shuffle by
-bucket. Buckets are dealt out in blocks of rows and of queries, so no task holds a whole hot
-bucket. Queries for which the probed buckets hold under k candidates are answered by a scan of all
-vectors in blocks.
+Vectors are scaled to unit length and turned by three rounds of random signs and fast Hadamard
+transforms; the nearest signed axis is a hash. A bucket of a table is a pair of such hashes of two
+rotations, so 64 dimensions have 16,384 buckets a table. Rows are dealt into shards of bounded size,
+each with its own ``tables`` tables over all of its rows. Every query visits every shard: it probes
+there the buckets of each table with the greatest joint score (the sum of its components along both
+axes), and the rows collected, without repeats, are ranked by the exact distance of the original
+vectors in double precision.
+
+How many buckets a query probes follows from what it finds: it doubles them until a row as far in
+angle as the farthest of its nearest rows so far would have been collected with probability ``sure``.
+That probability is a property of the tables, and is measured once for each dimension on random pairs
+of vectors at given angles. So neighbours that are near cost few probes, and those that hardly stand out from
+the rest cost many, at last all buckets. Of the k nearest rows of all shards, one shard
+holds about its share: the rule looks at that many rows, and two deviations more.
+
+So rows are shuffled once, whatever the number of tables, no bucket is ever a group of the shuffle,
+and a bucket that holds a third of all rows costs a shard no more than its own rows. A shard's rows are
+in memory while its queries stream past; only k rows of a shard leave for a query.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part, on either side; vectors of other lengths are no candidates of each other; rows that repeat
@@ -20,16 +27,18 @@ nearest counts, and as queries the least vector is used; an empty table gives an
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-
-TABLES, PROBES, K, SEED = 10, 14, 10, 17
-#: Rows and queries of one bucket that a task holds together.
-ROW_BLOCK, QUERY_BLOCK = 32_768, 2_048
+TABLES, PROBES, SURE, K, SEED = 40, 4, 0.8, 10, 17
+#: Rows of a shard at most, and fewer where cores would be idle.
+SHARD_ROWS, FEW_ROWS = 65_536, 4_096
+#: Queries that are answered together.
+QUERY_BLOCK = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -39,32 +48,172 @@ def hadamard(x: np.ndarray) -> np.ndarray:
         y = x.reshape(len(x), -1, 2, h)
         x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
         h *= 2
-    return x / np.sqrt(n)
+    return x / np.float32(np.sqrt(n))
 
 
-def turned(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
-    """Unit vectors under the table's pseudo-rotation, filled up with zeros to a power of two."""
+def pseudo_rotation(x: np.ndarray, number: int, seed: int = SEED) -> np.ndarray:
+    """Rows under the pseudo-rotation, filled up with zeros to a power of two."""
     size = 1 << max(0, (x.shape[1] - 1).bit_length())
-    signs = np.random.default_rng([seed, table, x.shape[1]]).choice([-1.0, 1.0], (3, size))
-    y = np.zeros((len(x), size))
+    signs = np.random.default_rng([seed, number, x.shape[1]]).choice([-1.0, 1.0], (3, size)).astype(np.float32)
+    y = np.zeros((len(x), size), np.float32)
     y[:, : x.shape[1]] = x
     for s in signs:
         y = hadamard(y * s)
     return y
 
 
-def nearest_axes(y: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest signed axes of each row, nearest first: 2 * axis + (1 if negative)."""
-    near = np.stack([y, -y], axis=2).reshape(len(y), -1)
-    if n == 1:
-        return near.argmax(axis=1)[:, None]
-    return np.argsort(-near, axis=1, kind="stable")[:, :n]
+@cache
+def as_matrix(number: int, dim: int) -> np.ndarray:
+    return pseudo_rotation(np.eye(dim, dtype=np.float32), number)
+
+
+def turned(x: np.ndarray, number: int) -> np.ndarray:
+    """For few dimensions the transform of the axes, once, is the quicker way to the same numbers."""
+    return x @ as_matrix(number, x.shape[1]) if x.shape[1] <= 128 else pseudo_rotation(x, number)
+
+
+def nearest_axis(y: np.ndarray) -> np.ndarray:
+    """The nearest signed axis of each row: 2 * axis + (1 if negative)."""
+    at = np.abs(y).argmax(axis=1)
+    return 2 * at + (y[np.arange(len(y)), at] < 0)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def axes_of(dim: int) -> int:
+    return 2 << max(0, (dim - 1).bit_length())
+
+
+def buckets(x: np.ndarray, table: int) -> np.ndarray:
+    """The bucket of each unit vector: the signed axes of the table's two rotations."""
+    return nearest_axis(turned(x, 2 * table)) * axes_of(x.shape[1]) + nearest_axis(turned(x, 2 * table + 1))
+
+
+@cache
+def staircase(axes: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (i, j) of two axes that can be among the ``probes`` best pairs: (i + 1)(j + 1) - 1
+    pairs are at least as good."""
+    i, j = np.meshgrid(np.arange(min(axes, probes)), np.arange(min(axes, probes)), indexing="ij")
+    keep = (i + 1) * (j + 1) <= probes
+    return i[keep], j[keep]
+
+
+def probes_of(q: np.ndarray, table: int, probes: int) -> np.ndarray:
+    """The ``probes`` buckets of the greatest joint score for each unit vector."""
+    axes = axes_of(q.shape[1])
+    i, j = staircase(axes, probes)
+    best = []
+    for number, most in ((2 * table, i.max() + 1), (2 * table + 1, j.max() + 1)):
+        y = turned(q, number)
+        near = np.stack([y, -y], axis=2).reshape(len(y), -1)
+        order = np.argsort(-near, axis=1, kind="stable")[:, :most]
+        best.append((order, np.take_along_axis(near, order, axis=1)))
+    (a, sa), (b, sb) = best
+    found = a[:, i] * axes + b[:, j]
+    if len(i) > probes:
+        joint = sa[:, i] + sb[:, j]
+        found = np.take_along_axis(found, np.argpartition(-joint, probes - 1, axis=1)[:, :probes], axis=1)
+    return found
+
+
+@cache
+def reaches(dim: int, tables: int, sure: float, pairs: int = 1000) -> list[float]:
+    """The cosine from which on a row is collected with probability ``sure``, for PROBES, 2 PROBES,
+    4 PROBES ... buckets a table, as long as these aren't all. On pairs of random vectors of each cosine
+    the other vector's bucket has a rank among all buckets; it is collected if the rank in any table
+    is under the number of probes."""
+    rng, every = np.random.default_rng(SEED), axes_of(dim) ** 2
+    levels, cosines = [], np.linspace(0.96, 0.0, 49)
+    while PROBES << len(levels) < every:
+        levels.append(PROBES << len(levels))
+    if dim == 1:
+        return [1.0] * len(levels)
+    missed = np.ones((len(cosines), len(levels)))
+    for c, cosine in enumerate(cosines):
+        a, b = unit(rng.normal(size=(pairs, dim))), unit(rng.normal(size=(pairs, dim)))
+        b = unit(b - (a * b).sum(axis=1, keepdims=True) * a) * np.sqrt(1 - cosine**2) + cosine * a
+        y, z = turned(a, 0), turned(a, 1)
+        first, second = np.concatenate([y, -y], axis=1), np.sort(np.concatenate([z, -z], axis=1), axis=1)
+        u, v = turned(b, 0), turned(b, 1)
+        at, to = np.abs(u).argmax(axis=1), np.abs(v).argmax(axis=1)
+        row = np.arange(pairs)
+        score = y[row, at] * np.sign(u[row, at]) + z[row, to] * np.sign(v[row, to])
+        rank = np.array([(second.shape[1] - np.searchsorted(s, t - f + 1e-6)).sum() for f, s, t in zip(first, second, score)])
+        missed[c] = [(1 - (rank < p).mean()) ** tables for p in levels]
+    enough = missed <= 1 - sure
+    return [float(cosines[np.flatnonzero(own)[-1]]) if own.any() else 1.0 for own in np.minimum.accumulate(enough, axis=0).T]
+
+
+class Shard:
+    """The rows of a shard with their tables: bucket numbers in order, and the row of each."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, tables: int = TABLES, sure: float = SURE):
+        self.ids, self.x, self.tables, self.unit = ids, x, [], unit(x)
+        self.reaches = reaches(x.shape[1], tables, sure)
+        codes = np.empty((tables, len(x)), np.int32)
+        for at in range(0, len(x), 4096):
+            for t in range(tables):
+                codes[t, at : at + 4096] = buckets(self.unit[at : at + 4096], t)
+        for code in codes:
+            order = np.argsort(code, kind="stable").astype(np.int32)
+            self.tables.append((code[order], order))
+
+    def collected(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """[query, row]: the rows that the probes collect for unit vectors."""
+        found = np.zeros((len(q), len(self.x)), bool)
+        for t, (code, order) in enumerate(self.tables):
+            near = probes_of(q, t, probes).astype(np.int32)
+            low = np.searchsorted(code, near)
+            size = np.searchsorted(code, near, side="right") - low
+            of = size.sum(axis=1)
+            low, size = low.reshape(-1), size.reshape(-1)
+            at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            found[np.repeat(np.arange(len(q)), of), order[at]] = True
+        return found
+
+    def best(self, at: np.ndarray, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of the k nearest of the rows ``at``, ties to the smaller id; the
+        query's own id is left out, and of each id the nearest row counts."""
+        at = at[self.ids[at] != qid]
+        with np.errstate(over="ignore"):
+            score = np.sqrt(((self.x[at] - q) ** 2).sum(axis=1))
+        if len(at) > 4 * k + 64:
+            some = np.flatnonzero(score <= np.partition(score, 4 * k)[4 * k])
+            if len(np.unique(self.ids[at[some]])) >= k:
+                at, score = at[some], score[some]
+        order = np.lexsort((self.ids[at], score))
+        at, score = at[order], score[order]
+        first = np.sort(np.unique(self.ids[at], return_index=True)[1])[:k]
+        return at[first], score[first]
+
+    def nearest(self, qid: np.ndarray, q: np.ndarray, k: int, look: int | None = None) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query: ids and distances of the k nearest rows found, and how many rows were
+        ranked last. ``look``: the nearest rows whose angles decide whether to probe on."""
+        u, out, open_ = unit(q), [None] * len(q), np.arange(len(q))
+        look = min(k, look or k)
+        for level in range(len(self.reaches) + 1):
+            if not len(open_):
+                break
+            last = level == len(self.reaches)
+            masks = None if last else self.collected(u[open_], PROBES << level)
+            further = []
+            for row, i in enumerate(open_.tolist()):
+                some = np.arange(len(self.x)) if last else np.flatnonzero(masks[row])
+                at, score = self.best(some, qid[i], q[i], k)
+                if last or len(at) >= look and (self.unit[at[:look]] @ u[i]).min() >= self.reaches[level]:
+                    out[i] = (self.ids[at], score, len(some))
+                else:
+                    further.append(i)
+            open_ = np.array(further, np.int64)
+        return out
 
 
 def matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = len(column)
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(n, -1)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
 def valid(vector: Column) -> Column:
@@ -72,80 +221,56 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(ok, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def buckets(rows: DataFrame, tables: int, probes: int) -> DataFrame:
-    """rows (id, vec) -> (dim, tab, bucket, id, vec), one row for each table and probe."""
+def runs(batches):
+    """(dim, shard, kind, id array, matrix) of each run of equal keys in the sorted batches."""
+    for batch in batches:
+        keys = [np.asarray(batch.column(i)) for i in range(3)]
+        if not batch.num_rows:
+            continue
+        edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            part = batch.slice(a, b - a)
+            yield int(keys[0][a]), int(keys[1][a]), int(keys[2][a]), np.asarray(part.column(3)), matrix(part.column(4))
 
-    def run(batches):
-        for batch in batches:
-            sizes = np.diff(np.asarray(batch.column(1).offsets))
-            for dim in np.unique(sizes).tolist():
-                own = batch.filter(pa.array(sizes == dim)) if len(sizes) and (sizes != dim).any() else batch
-                x = matrix(own.column(1))
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for t in range(tables):
-                    near = nearest_axes(turned(x, t), min(probes, 2 << max(0, (dim - 1).bit_length())))
-                    take = np.repeat(np.arange(len(x)), near.shape[1])
-                    for i in range(0, len(take), 8192):
-                        at = pa.array(take[i : i + 8192])
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, t), pa.int32()), pa.array(near.reshape(-1)[i : i + 8192], pa.int32()), own.column(0).take(at), own.column(1).take(at)], names=["dim", "tab", "bucket", "id", "vec"])
-
-    return rows.mapInArrow(run, "dim int, tab int, bucket int, id long, vec array<double>")
-
-
-def rank_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """For each query the k nearest rows of the block, by exact distance, ties to the smaller id."""
-    names = ["query_id", "vec_id", "score"]
-    if not queries.num_rows or not rows.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-    q, x = matrix(queries.column("vec")), matrix(rows.column("vec"))
-    qid, xid = np.asarray(queries.column("id")), np.asarray(rows.column("id"))
-    scale = max(np.abs(q).max(), np.abs(x).max())
-    a, b = q / scale, x / scale
-    norms, out = (b * b).sum(axis=1), []
-    for i in range(0, len(q), 256):
-        d = norms[None, :] - 2 * (a[i : i + 256] @ b.T) + (a[i : i + 256] ** 2).sum(axis=1)[:, None]
-        d[qid[i : i + 256, None] == xid[None, :]] = np.inf
-        most = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-        for j in range(len(d)):
-            near = np.flatnonzero(d[j] <= most[j] + 1e-9 * (1 + abs(most[j]))) if np.isfinite(most[j]) else np.flatnonzero(np.isfinite(d[j]))
-            score = np.sqrt(((x[near] - q[i + j]) ** 2).sum(axis=1))
-            best = np.lexsort((xid[near], score))[:k]
-            out.append((np.full(len(best), qid[i + j]), xid[near][best], score[best]))
-    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
-
-
-def ranked(queries: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Nearest rows within equal ``keys``, block by block."""
-    n_rows = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROW_BLOCK).cast("int").alias("rb"))
-    n_queries = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb"))
-    counts = cut(n_rows.join(n_queries, keys), "blocks")
-    own = F.pmod(F.xxhash64("id"), F.col("rb")).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("qb")).cast("int")
-    rows = rows.join(counts, keys).select(*keys, own.alias("rn"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qn"), "id", "vec")
-    queries = queries.join(counts, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("rn"), mine.alias("qn"), "id", "vec")
-    keys = [*keys, "rn", "qn"]
-    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(lambda a, b: rank_block(a, b, k), "query_id long, vec_id long, score double")
-
-
-def best(found: DataFrame, k: int) -> DataFrame:
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of ``vectors`` (id, vec) to each row for
-    which ``is_query`` holds, itself left out."""
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLES, sure: float = SURE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found of ``vectors`` (id, vec) to each row
+    for which ``is_query`` holds, itself left out."""
     given = vectors.where("id is not null").where(valid(F.col("vec"))).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), is_query.alias("q"))
-    queries = cut(given.where("q").groupBy("id").agg(F.min("vec").alias("vec")), "queries")
-    same = Window.partitionBy("vec").orderBy("id")
-    rows = cut(given.select("id", "vec", F.dense_rank().over(same).alias("n")).where(F.col("n") <= k + 1).select("id", "vec").distinct(), "vectors")
-    near = best(ranked(buckets(queries, tables, probes), buckets(rows, tables, 1), ["dim", "tab", "bucket"], k), k)
-    near = cut(near, "near")
-    short = queries.join(near.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti").select(F.size("vec").alias("dim"), "id", "vec")
-    if not short.isEmpty():
-        rest = best(ranked(short, rows.select(F.size("vec").alias("dim"), "id", "vec"), ["dim"], k), k)
-        near = near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
-    return near.select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    n, cores = given.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // SHARD_ROWS), min(cores, -(-n // FEW_ROWS)))
+    rows = given.select("id", "vec").distinct()
+    rows = rows.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vec")
+    queries = given.where("q").groupBy("id").agg(F.min("vec").alias("vec"))
+    queries = queries.select(F.size("vec").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vec")
+    look = int(np.ceil(k / shards + 2 * np.sqrt(k / shards)))
+    dealt = rows.unionByName(queries).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "kind")
+
+    def run(batches):
+        held, ids, xs, shard = None, [], [], None
+        for dim, number, kind, own, x in runs(batches):
+            if (dim, number) != held:
+                held, ids, xs, shard = (dim, number), [], [], None
+            if kind == 0:
+                ids.append(own)
+                xs.append(x)
+                continue
+            if not ids:
+                continue
+            if shard is None:
+                shard = Shard(np.concatenate(ids), np.concatenate(xs), tables, sure)
+                xs = []
+            for at in range(0, len(own), QUERY_BLOCK):
+                part = own[at : at + QUERY_BLOCK]
+                found = shard.nearest(part, x[at : at + QUERY_BLOCK], k, look)
+                query = np.repeat(part, [len(f[0]) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], schema=FOUND)
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    near = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -440,21 +440,66 @@ def slow_nearest(ids, x, q, k=10):
     return [(ids[i], d[i]) for i in order]
 
 
+def recall_of(got, ids, x, queries, k=10):
+    by, hit, n = {}, 0, 0
+    for r in got:
+        by.setdefault(r.query_id, []).append(r)
+    for q in queries:
+        rows = sorted(by[int(ids[q])], key=lambda r: r["rank"])
+        want = slow_nearest(ids, x, q, k)
+        assert [r["rank"] for r in rows] == list(range(1, len(want) + 1))
+        place = {int(i): j for j, i in enumerate(ids)}
+        for r in rows:
+            assert r.score == np.sqrt(((x[place[r.vec_id]] - x[q]) ** 2).sum())
+        assert [(r.score, r.vec_id) for r in rows] == sorted((r.score, r.vec_id) for r in rows)
+        hit, n = hit + len({r.vec_id for r in rows} & {int(i) for i, _ in want}), n + len(want)
+    return hit / n
+
+
 def test_recall_against_brute_force(spark):
     x, df = vectors(spark, 3000, 1)
     x = x.astype(np.float32).astype(np.float64)
-    got = {}
-    for r in neighbours.search(df, F.col("id") % 100 == 0).collect():
-        got.setdefault(r.query_id, []).append(r)
-    hit = 0
-    for q in range(0, 3000, 100):
-        rows = sorted(got[q], key=lambda r: r["rank"])
-        want = slow_nearest(np.arange(3000), x, q)
-        assert [r["rank"] for r in rows] == list(range(1, 11))
-        for r in rows:
-            assert abs(r.score - np.sqrt(((x[r.vec_id] - x[q]) ** 2).sum())) < 1e-12
-        hit += len({r.vec_id for r in rows} & {i for i, _ in want})
-    assert hit >= 0.9 * 300
+    got = neighbours.search(df, F.col("id") % 100 == 0).collect()
+    assert recall_of(got, np.arange(3000), x, range(0, 3000, 100)) >= 0.9
+
+
+@pytest.mark.parametrize("sf_dir", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, sf_dir):
+    given = spark.read.parquet(f"/root/testdata/{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    rows = [(r.id, r.vec) for r in given.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    got = neighbours.search(given, F.col("id") % 100 == 0).collect()
+    assert recall_of(got, ids, x, np.flatnonzero(ids % 100 == 0)) >= 0.9
+
+
+@pytest.mark.parametrize(("clusters", "most"), [(0, 0.25), (200, 0.05)])
+def test_probes_prune(clusters, most):
+    """Recall with the share of rows that are ranked exactly: on unrelated vectors, the hardest case,
+    and on clustered ones."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))] + 0.5 * x
+    q = np.arange(0, len(x), 400)
+    shard = neighbours.Shard(np.arange(len(x)), x)
+    found = shard.nearest(q, x[q], 10)
+    hit = sum(len({int(i) for i in got[0]} & {i for i, _ in slow_nearest(np.arange(len(x)), x, j)}) for j, got in zip(q, found))
+    assert np.mean([ranked for _, _, ranked in found]) < most * len(x)
+    assert hit >= 0.9 * 10 * len(q)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 5, 64, 100, 300])
+def test_probes_are_the_best_buckets(dim):
+    rng = np.random.default_rng(dim)
+    q, axes = neighbours.unit(rng.normal(size=(4, dim))), neighbours.axes_of(dim)
+    y, z = neighbours.turned(q, 6), neighbours.turned(q, 7)
+    assert np.allclose(y, neighbours.pseudo_rotation(q, 6), atol=1e-5) and np.allclose((y**2).sum(axis=1), 1, atol=1e-4)
+    both = [np.stack([v, -v], axis=2).reshape(len(q), -1) for v in (y, z)]
+    joint = (both[0][:, :, None] + both[1][:, None, :]).reshape(len(q), -1)
+    probes = min(50, axes * axes)
+    got = np.take_along_axis(joint, neighbours.probes_of(q, 3, probes), axis=1)
+    assert np.allclose(np.sort(got, axis=1), np.sort(joint, axis=1)[:, -probes:], atol=1e-5)
+    assert (joint.argmax(axis=1) == neighbours.buckets(q, 3)).all()
 
 
 def test_small_and_odd_vectors(spark):
@@ -469,8 +514,7 @@ def test_small_and_odd_vectors(spark):
 
 
 def test_equal_vectors_are_hot(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "ROW_BLOCK", 50)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 150)
     x, _ = vectors(spark, 600, 2)
     x[200:] = x[200]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
@@ -481,6 +525,18 @@ def test_equal_vectors_are_hot(spark, monkeypatch):
         assert [v for _, v in sorted(got[q])] == [i for i in range(200, 212) if i != q][:10]
 
 
+def test_one_id_with_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i if i % 3 else 7, rng.normal(size=8).tolist()) for i in range(1500)] + [(100, [1.0] * 8)] * 500
+    got = sorted(neighbours.search(spark.createDataFrame(rows, "id long, vec array<double>"), F.col("id") == 100, sure=1.0).collect(), key=lambda r: r["rank"])
+    own = min(v for i, v in rows if i == 100)
+    best = {}
+    for i, v in rows:
+        if i != 100:
+            best[i] = min(best.get(i, 9e9), float(np.sqrt(((np.array(v) - np.array(own)) ** 2).sum())))
+    assert [(r.score, r.vec_id) for r in got] == sorted((s, i) for i, s in best.items())[:10]
+
+
 # --- op7
 
 
