@@ -3,18 +3,18 @@
 A text's UTF-8 bytes are cut into windows of ``WINDOW`` bytes. Filters of several widths run over
 a window's one-hot bytes, so that a filter's response is a sum of one table entry for each byte it
 covers; the largest response of each filter, rectified, feeds a softmax over the languages. A text's
-probabilities are the mean over all its windows. Training is Adam in numpy on windows of a bounded
-sample of documents (``max_docs``, documented); the error reaches the tables only at each filter's
-best place. Prediction runs in batches of fixed-length windows over every whole text.
-
-Defined results: ``und`` with score 0 for null texts, texts without letters and when nothing was
-learned; rows with null lang do not train; repeated rows are predicted as often as they come; an
-empty table gives an empty result.
+probabilities are the mean over all its windows, weighted by their bytes. Training is Adam in numpy on
+all windows of a bounded sample of documents (``max_docs``, documented), dealt evenly to the languages,
+so that a language with few documents is learned however large the table; the error reaches the tables
+only at each filter's best place. Prediction runs in batches of fixed-length windows over every whole text.
+
+Defined results: ``und`` with score 0 for null texts, texts without letters (of any script; digits
+and number signs like ``²`` are none) and when nothing was learned; rows with null lang do not train;
+repeated rows are predicted as often as they come; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +27,16 @@ from .common import held_out, pieces_of
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Bound on the documents that training reads, and on the windows of each.
-MAX_DOCS = 4_000
-WINDOWS_EACH = 3
-HAS_LETTER = re.compile(r"[^\W\d_]").search
+#: Bound on the documents that training reads, and the least share of a language in it.
+MAX_DOCS, LEAST_DOCS = 2_000, 20
 #: Windows that are scored together.
 BATCH = 512
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def windows_of(raw: bytes) -> np.ndarray:
     """All bytes as rows of WINDOW, the last filled up with zeros."""
     n = max(1, -(-len(raw) // WINDOW))
@@ -91,17 +93,23 @@ class Network:
 
     def predict(self, texts: list[str | None], prepared=None) -> list[tuple[str, float]]:
         prepared = prepared or self.prepared()
-        result, rows, owner = [("und", 0.0)] * len(texts), [], []
+        result, rows, owner, last = [("und", 0.0)] * len(texts), [], [], []
         for k, text in enumerate(texts):
-            if self.languages and text and HAS_LETTER(text):
-                rows.append(windows_of(text.encode("utf-8", "surrogatepass")))
+            if self.languages and text and has_letter(text):
+                raw = text.encode("utf-8", "surrogatepass")
+                rows.append(windows_of(raw))
                 owner.append(k)
+                last.append((len(raw) - 1) % WINDOW + 1)
         if not rows:
             return result
         counts = np.array([len(r) for r in rows])
         flat = np.concatenate(rows)
         p = np.concatenate([self.probabilities(flat[i : i + BATCH], prepared) for i in range(0, len(flat), BATCH)])
-        mean = np.add.reduceat(p, np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0) / counts[:, None]
+        ends = np.cumsum(counts)
+        size = np.full(len(flat), WINDOW)
+        size[ends - 1] = last
+        starts = ends - counts
+        mean = np.add.reduceat(p * size[:, None], starts, axis=0) / np.add.reduceat(size, starts)[:, None]
         best = mean.argmax(axis=1)
         for k, b, m in zip(owner, best, mean):
             result[k] = (self.languages[b], float(min(1.0, m[b])))
@@ -154,27 +162,30 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 6, rat
 
 
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and labels of at most about ``max_docs`` labelled documents, all if fewer."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and doc_id is not null and text is not null").where(~held_out(F.col("doc_id")))
-    n = known.select("doc_id").count()
-    if n > max_docs:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
+    """All windows, and their labels, of at most about ``max_docs`` labelled documents, all if fewer.
+    What a language leaves of its even share is not dealt again. The labels' counts come to the
+    driver, as the network has an output for each."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and doc_id is not null and text is not null").where(~held_out(F.col("doc_id")))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64), []
+    each = max(LEAST_DOCS, max_docs // len(counts))
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 20) * min(1.0, each / n)))])
+    known = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < shares[F.col("lang")])
 
     def run(batches):
         for batch in pieces_of(batches):
             out = []
             for doc, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if HAS_LETTER(text):
-                    w = windows_of(text.encode("utf-8", "surrogatepass"))
-                    pick = np.random.default_rng(doc & 0x7FFFFFFF).permutation(len(w))[:WINDOWS_EACH]
-                    out += [{"doc_id": doc, "lang": lang, "x": w[i].tobytes()} for i in sorted(pick)]
+                if has_letter(text):
+                    out.append({"doc_id": doc, "lang": lang, "x": windows_of(text.encode("utf-8", "surrogatepass")).tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("x", pa.binary())]))
 
-    rows = sorted((r["doc_id"], r["lang"], r["x"]) for r in known.mapInArrow(run, "doc_id long, lang string, x binary").toArrow().to_pylist())
+    rows = sorted({(r["doc_id"], r["lang"], r["x"]) for r in known.mapInArrow(run, "doc_id long, lang string, x binary").toArrow().to_pylist()})
     languages = sorted({r[1] for r in rows})
     number = {name: i for i, name in enumerate(languages)}
     x = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, WINDOW)
-    return x, np.array([number[r[1]] for r in rows], dtype=np.int64), languages
+    return x, np.repeat(np.array([number[r[1]] for r in rows], dtype=np.int64), [len(r[2]) // WINDOW for r in rows]), languages
 
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Network:
