@@ -6,6 +6,7 @@ A file image is one run of documents in ascending doc_id order:
     doc_id i64 for each document | end u64 for each document (ids from the image's first id)
     offset u64 for each block (32-bit words from the start of the payload)
     payload: blocks of packed 32-bit little-endian words
+    a byte for each document: 1 if it has no doc_id (its place above then holds 0)
 
 Every id takes the same number of bits, the least that holds the vocabulary's largest id. Ids are
 packed in groups of 32, which fill exactly ``bits`` words, so packing and unpacking are 32 vector
@@ -16,7 +17,8 @@ atomically in any store, and a lost executor's part is written again. ``save`` a
 put one image in a plain file and map it for random access.
 
 Defined results: null text counts as empty and is the end id alone; repeated rows and doc_ids
-are kept; an empty table gives no images; null doc_ids come first, as the smallest.
+are kept, rows of one doc_id in the order of a hash of their text; an empty table gives no images;
+null doc_ids come first, as the smallest, and come back as null.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, scratch
+from .common import in_order, remove_at_end, scratch
 from .tokens import Encoder, slices, vocabulary_path
 
 HEAD = struct.Struct("<6sHIQIQ")
-MAGIC = b"LXBP1\0"
+MAGIC = b"LXBP2\0"
 GROUP = 32
 BLOCK_IDS = 4096
 IMAGE_IDS = 1 << 20
@@ -74,8 +76,8 @@ def image(doc_ids: list[int | None], ids: list[np.ndarray], bits: int, first: in
     starts = range(0, len(flat), block_ids)
     blocks = [pack(flat[i : i + block_ids], bits) for i in starts]
     offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))[: len(blocks)].astype("<u8")
-    own = np.array([-(2**63) if d is None else d for d in doc_ids], dtype="<i8")
-    return b"".join((HEAD.pack(MAGIC, bits, len(doc_ids), len(flat), block_ids, first), own.tobytes(), ends.astype("<u8").tobytes(), offsets.tobytes(), *(b.tobytes() for b in blocks)))
+    own, none = np.array([d or 0 for d in doc_ids], dtype="<i8"), np.array([d is None for d in doc_ids], dtype=np.uint8)
+    return b"".join((HEAD.pack(MAGIC, bits, len(doc_ids), len(flat), block_ids, first), own.tobytes(), ends.astype("<u8").tobytes(), offsets.tobytes(), *(b.tobytes() for b in blocks), none.tobytes()))
 
 
 class Image:
@@ -90,7 +92,11 @@ class Image:
         self.ends = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
         n = -(-self.n_ids // self.block_ids)
         self.offsets = np.frombuffer(data, "<u8", n, at + 16 * docs).astype(np.int64)
-        self.words = np.frombuffer(data, "<u4", offset=at + 16 * docs + 8 * n)
+        last = self.n_ids - (n - 1) * self.block_ids
+        words = int(self.offsets[-1]) + -(-last // GROUP) * self.bits if n else 0
+        at += 16 * docs + 8 * n
+        self.words = np.frombuffer(data, "<u4", words, at)
+        self.no_id = np.frombuffer(data, np.uint8, docs, at + 4 * words).astype(bool)
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         stop = self.n_ids if stop is None else min(stop, self.n_ids)
@@ -123,8 +129,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Tokenise ``docs`` (doc_id, text) and write file images in ascending doc_id order as a
     table (part, seq, n_docs, n_ids, data) at ``path``; ``first`` in an image counts within its part."""
     tokenizer = tokenizer or vocabulary_path()
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = ranged.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
+    ranged = in_order(docs)
 
     def run(batches):
         from pyspark import TaskContext
@@ -174,7 +179,7 @@ def read_back(spark, path: str) -> DataFrame:
                 starts = np.concatenate(([0], own.ends[:-1])) if len(own.ends) else own.ends
                 raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), own.ends.tolist())]
-                doc = pa.array(own.doc_ids.astype(np.int64), mask=own.doc_ids == -(2**63))
+                doc = pa.array(own.doc_ids.astype(np.int64), mask=own.no_id)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(starts + own.first + before[part]), pa.array(own.ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return table.select("part", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -183,4 +188,5 @@ def read_back(spark, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     path = scratch(docs.sparkSession, "tokens")
     write(docs, path, tokenizer, end_id)
+    remove_at_end(docs.sparkSession, path)
     return read_back(docs.sparkSession, path)

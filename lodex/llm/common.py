@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only where the session names none
-    (tests, one machine) a folder of this driver is used and set."""
+    """The folder named by ``spark.checkpoint.dir``. Only where the session names none and runs on
+    one machine (tests) a folder of this driver is used and set; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="lodex-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -36,6 +38,7 @@ def cut_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -48,6 +51,12 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when the application ends; until then lazy results may read it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 @contextmanager
 def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
     """SQL settings for the plans run inside the block; names use ``__`` for dots."""
@@ -76,8 +85,12 @@ def partitions_for(df: DataFrame, least_bytes: int = 4 << 20, most_bytes: int =
     return max(1, min(-(-size // least_bytes), max(4 * cores, -(-size // most_bytes))))
 
 
-def text_or_empty(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) range-partitioned and sorted by doc_id. Rows of one doc_id follow by a hash of
+    their text, equal rows by their place in the input, so that partitions divide them too."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"))
+    keys = ["doc_id", "th", "row"]
+    return given.repartitionByRange(partitions_for(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -11,12 +11,12 @@ two from ``least_power`` on. For cut positions p and costs
 
 where the first minimum slides over a window, so a monotone queue gives it in constant time.
 
-Documents are range-partitioned by doc_id, so that every partition packs a run of documents on
-its own with bounded memory: about ``chunk`` tokens are solved at a time and the open last window
+Documents are range-partitioned by doc_id, then text hash and place in the input, so that every
+partition packs a run of documents on its own, one doc_id with most rows is divided too, and memory is bounded: about ``chunk`` tokens are solved at a time and the open last window
 is carried into the next chunk. Only the last window of a partition is left short.
 
 Defined results: null text counts as empty, its document is the end id alone; repeated rows are
-packed as often as they come; equal doc_ids stay in some fixed order; an empty table gives an
+packed as often as they come; rows of one doc_id follow in the order of a hash of their text; an empty table gives an
 empty result.
 """
 
@@ -27,9 +27,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import in_order
 from .tokens import Encoder, slices, vocabulary_path
 
 WINDOW = 2048
@@ -162,8 +161,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     """One row per piece of a document (doc_id, text): doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset."""
     tokenizer = tokenizer or vocabulary_path()
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = ranged.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
+    ranged = in_order(docs)
 
     def run(batches):
         from pyspark import TaskContext

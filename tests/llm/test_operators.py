@@ -76,6 +76,24 @@ def test_image_gives_random_access(tmp_path, block):
         assert (own.ids(a, b) == flat[a:b]).all()
 
 
+def test_images_keep_every_doc_id(tmp_path):
+    own = bitpack.Image(bitpack.image([-(2**63), None, 0, 2**63 - 1], [np.array([k], np.uint32) for k in range(4)], 16))
+    assert own.doc_ids.tolist() == [-(2**63), 0, 0, 2**63 - 1] and own.no_id.tolist() == [False, True, False, False]
+    assert bitpack.Image(bitpack.image([], [], 16)).ids().tolist() == []
+
+
+def test_one_doc_id_is_divided_and_in_fixed_order(spark):
+    """A doc_id with most rows, of different and of equal texts, goes to many partitions."""
+    from lodex.llm.common import in_order
+
+    texts = ["same text", *(f"text number {k} " * 400 for k in range(2000))] + ["same text"] * 2000
+    docs = table(spark, texts, [7] * 4000 + [-(2**63)])
+    spread = [r.n for r in in_order(docs).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(spread) > 1 and max(spread) < 3 * 4001 / len(spread)
+    ways = [[(r.doc_id, r.start, r.ids_crc32) for r in sorted(bitpack.round_trip(d).collect(), key=lambda r: r.start)] for d in (docs, docs.repartition(5))]
+    assert ways[0] == ways[1] and ways[0][0][0] == -(2**63)
+
+
 def test_pack_refuses_large_ids():
     with pytest.raises(ValueError):
         bitpack.pack(np.array([8], np.uint32), 3)
@@ -547,11 +565,25 @@ def test_language_of_odd_documents(spark, odd, none):
     assert len(rows) == len(ODD)
     for r in rows:
         text = ODD[ODD_IDS.index(r.doc_id)]
-        assert (r.lang_pred == "und") == (not text or not re.search(r"[^\W\d_]", text)) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not text or not any(c.isalpha() for c in text)) and 0 <= r.score <= 1
+    assert [p[0] for p in net.predict(["²½", "Ⅷ ① ٣", "_ 12", "é", "ª"])] == ["und", "und", "und", "en", "en"]
     assert language.identify(none, net).count() == 0
     assert {r.lang_pred for r in language.identify(odd, language.train(none)).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    """A language with 30 of 6,000 documents has its share of a sample of 200."""
+    docs = spark.createDataFrame([(i, f"zonk blart {i}" if i % 200 == 0 else f"hello world {i}", "xx" if i % 200 == 0 else "en") for i in range(6000)], "doc_id long, text string, lang string")
+    x, y, languages = language.sample(docs, 200)
+    assert languages == ["en", "xx"] and np.bincount(y)[1] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(0, 6000, 200)) and len(y) < 300
+
+
+def test_windows_count_by_their_bytes():
+    net = language.Network(["a", "b"], [], np.empty(0), np.empty((0, 2)), np.zeros(2))
+    net.probabilities = lambda x, prepared: np.stack([(x[:, 0] == 97).astype(float), (x[:, 0] != 97).astype(float)], axis=1)
+    assert net.predict(["a" * 256 + "b" * 256 + "a"], [None])[0] == ("a", 257 / 513)
+
+
 def test_pooling_by_pairs_equals_plain_convolution():
     net = language.fit(np.random.default_rng(1).integers(0, 256, (200, language.WINDOW)).astype(np.uint8), np.arange(200) % 3, ["a", "b", "c"], epochs=1)
     x = np.random.default_rng(2).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
