@@ -436,6 +436,68 @@ def test_shards_are_even_and_slots_gapless(spark):
         assert r.size == len(raw) + 8 and r.text_crc32 == zlib.crc32(raw)
 
 
+def slow_tree(rows, shards):
+    """The same tree from sorted lists: (row, key along each dimension, size, text) -> first shard."""
+    widths = [max(1, max(r[1][d] >> 48 for r in rows) - min(r[1][d] >> 48 for r in rows)) for d in range(3)]
+
+    def go(rows, first, owed):
+        if owed == 1 or not rows:
+            return {r[0]: first for r in rows}
+        extents = [(max(r[1][d] >> 48 for r in rows) - min(r[1][d] >> 48 for r in rows)) / widths[d] for d in range(3)]
+        d = extents.index(max(extents))
+        line = sorted(rows, key=lambda r: r[1][d])
+        fair = sum(r[2] for r in rows) / owed
+        goal, before, i = fair * (owed // 2), 0, 0
+        while i < len(line) - 1 and before + line[i][2] <= goal:
+            before += line[i][2]
+            i += 1
+        for texts in (36, 24):
+            own = [k for k, r in enumerate(line) if r[1][d] >> texts == line[i][1][d] >> texts]
+            group, outside = sum(line[k][2] for k in own), sum(r[2] for r in line[: own[0]])
+            if group <= sharding.SLACK * fair:
+                i = own[-1] + 1 if goal - outside > group / 2 else own[0]
+                break
+        else:
+            i += goal - before > line[i][2] / 2
+        return go(line[:i], first, owed // 2) | go(line[i:], first + owed // 2, owed - owed // 2)
+
+    return go(rows, 0, shards)
+
+
+@pytest.mark.parametrize(("shards", "seed"), [(24, 1), (5, 2), (16, 3)])
+def test_tree_equals_brute_force(spark, shards, seed):
+    rng = random.Random(seed)
+    texts = [f"{rng.randrange(10**6)} " * rng.randint(1, 60) for _ in range(700)]
+    texts += [t for t in texts[:40] for _ in range(3)] + ["the same row"] * 30
+    docs = table(spark, texts, [i if i < 820 else 5 for i in range(len(texts))])
+    rows = sharding.cut(sharding.together(sharding.cut(sharding.points(docs), "test")), "test")
+    tree = sharding.grow(rows, shards)
+    given = rows.select("row", F.array(*[sharding.key_of(F.lit(d)) for d in range(3)]).alias("k"), "size", F.get(sharding.by_number(tree.first), tree.node()).alias("shard")).collect()
+    assert slow_tree([(r.row, r.k, r["size"]) for r in given], shards) == {r.row: r.shard for r in given}
+
+
+def test_repeated_rows_are_divided_evenly(spark):
+    docs = table(spark, ["the same row " * 8] * 2000 + [f"row {k} " * 14 for k in range(2000)], [7] * 2000 + list(range(2000)))
+    weight = sharding.shard(docs).toPandas().groupby("shard")["size"].sum()
+    assert len(weight) == 24 and weight.max() < 1.02 * weight.mean() and weight.min() > 0.98 * weight.mean()
+
+
+def test_equal_texts_stay_together(spark):
+    """Copies in other languages and sources; only groups heavier than the slack may be divided."""
+    rng = random.Random(4)
+    texts = [f"text {k} " * rng.randint(1, 20) for k in range(9000)]
+    docs = table(spark, texts + texts[::3], list(range(12000)))
+    own = sharding.shard(docs).toPandas()
+    assert (own.groupby(["size", "text_crc32"])["shard"].nunique() == 1).all()
+    weight = own.groupby("shard")["size"].sum()
+    assert weight.max() < 1.02 * weight.mean() and weight.min() > 0.98 * weight.mean()
+
+
+def test_many_shards_make_no_large_plan(spark):
+    docs = table(spark, [f"text {k}" for k in range(3000)])
+    assert sharding.shard(docs, 1000).select("shard").distinct().count() > 950
+
+
 def test_shards_of_odd_tables(spark, odd, none):
     rows = sharding.shard(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r.shard < 24 for r in rows)
