@@ -5,11 +5,12 @@ A text's features are its distinct lower-cased words and, for long words, their
 
     sigmoid( b + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ] )
 
-with x_i = 1 for each feature present. Only columns that enough training texts have, and that
-labels tell apart beyond chance, carry weights; so a long harmless text is not the sum of many
-small noises. The factors v add pairwise interactions, such as an insult with a mention of a
+with x_i = 1 for each feature present. Only columns that tell the labels apart beyond chance carry
+weights, alone or in a pair with another; so a long harmless text is not the sum of many
+small noises, and words that mean something together only are learned. The factors v add pairwise interactions, such as an insult with a mention of a
 group, to the additive weights w. Training is AdaGrad on a bounded sample of labelled rows
-(``max_rows``, documented; chosen by a hash of doc_id); scoring runs over every whole text.
+(``max_rows``, documented; chosen by a hash of doc_id and text, rows that repeat both once);
+scoring runs over every whole text.
 
 Defined results: a null text counts as empty and scores as the bias alone; rows whose label is
 missing or null do not train; without labels of both classes every score is 0; repeated rows are
@@ -32,10 +33,11 @@ from .tokens import lay_out, slices
 
 BITS = 20
 PREFIXES = (4, 5)
-#: Bound on the labelled rows that training reads, and on the columns it weighs.
+#: Bound on the labelled rows that training reads.
 MAX_ROWS = 20_000
-MAX_COLUMNS = 20_000
-LEAST_ROWS = 4
+#: Texts that must have a column, share that must have a column of a pair, and the chi-squared values beyond
+#: chance: of a column alone, and of one among millions of pairs.
+LEAST_ROWS, PAIR_SHARE, ALONE, TOGETHER = 4, 0.05, 12, 40
 THRESHOLD = 0.7
 
 
@@ -115,24 +117,49 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def choose(rows: list[np.ndarray], labels: np.ndarray, bits: int, least_rows: int, most: int) -> np.ndarray:
-    """Columns with at least ``least_rows`` texts whose share of label 1 differs from the whole by
-    more than chance (chi-squared over 12), the most telling first up to ``most``."""
-    size = 1 << bits
-    every, toxic = np.zeros(size), np.zeros(size)
-    for at, y in zip(rows, labels):
-        every[at] += 1
-        if y:
-            toxic[at] += 1
-    n, p = len(rows), labels.mean()
+def chi_squared(toxic: np.ndarray, every: np.ndarray, n: int, p: float) -> np.ndarray:
+    """How far the share of label 1 among ``every`` texts is from the whole's, 0 where undefined."""
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (toxic - every * p) ** 2 / (every * p * (1 - p)) * (n / np.maximum(n - every, 1))
-    chi[(every < least_rows) | ~np.isfinite(chi)] = 0
-    best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 12])
+    return np.where(np.isfinite(chi), chi, 0)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = 4, epochs: int = 15, rate: float = 0.15, l2: float = 1e-4, least_rows: int = LEAST_ROWS, most: int = MAX_COLUMNS, keep: float = 0.8, seed: int = 7, batch: int = 256) -> Machine:
+def choose(rows: list[np.ndarray], labels: np.ndarray, bits: int, least_rows: int = LEAST_ROWS, pair_share: float = PAIR_SHARE) -> np.ndarray:
+    """Columns that tell the labels apart beyond chance, alone or together with another one. Alone:
+    those that ``least_rows`` texts have. In pairs: all pairs of columns that a share ``pair_share`` of
+    the texts have (fewer texts can't show an interaction); as there are so many pairs, chance
+    reaches farther there."""
+    every, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
+    for at, y in zip(rows, labels):
+        every[at] += 1
+        if y:
+            toxic[at] += 1
+    n, p = len(rows), float(labels.mean())
+    telling = (chi_squared(toxic, every, n, p) > ALONE) & (every >= least_rows)
+    common = np.flatnonzero(every >= max(least_rows, pair_share * n))
+    place = np.full(1 << bits, -1, np.int32)
+    place[common] = np.arange(len(common))
+    both, both_toxic = np.zeros((len(common), len(common)), np.float32), np.zeros((len(common), len(common)), np.float32)
+    for i in range(0, n, 1024):
+        x = np.zeros((len(rows[i : i + 1024]), len(common)), np.float32)
+        for k, at in enumerate(rows[i : i + 1024]):
+            own = place[at]
+            x[k, own[own >= 0]] = 1
+        both += x.T @ x
+        x = x[labels[i : i + 1024] > 0]
+        both_toxic += x.T @ x
+    for k, c in enumerate(common):
+        chi = chi_squared(both_toxic[k].astype(np.float64), both[k].astype(np.float64), n, p)
+        # beyond what either of the two shows alone
+        alone = np.maximum(chi_squared(toxic[c], every[c], n, p), chi_squared(toxic[common], every[common], n, p))
+        found = (chi > TOGETHER + 2 * alone) & (both[k] >= least_rows)
+        if found.any():
+            telling[c] = True
+            telling[common[found]] = True
+    return np.flatnonzero(telling)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = 4, epochs: int = 15, rate: float = 0.15, l2: float = 1e-4, least_rows: int = LEAST_ROWS, keep: float = 0.8, seed: int = 7, batch: int = 256) -> Machine:
     """Mini-batch AdaGrad on the logistic loss. In each pass a text shows only a random share
     ``keep`` of its weighed columns, at least one, so that one telling term is learned to be enough
     and doesn't rely on others beside it."""
@@ -140,7 +167,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     rng = np.random.default_rng(seed)
     if not len(rows) or labels.min() == labels.max():
         return Machine(bits, np.empty(0, np.int64), -30.0, np.empty(0), np.empty((0, factors)))
-    weighed = choose(rows, labels, bits, least_rows, most)
+    weighed = choose(rows, labels, bits, least_rows)
     place = np.full(1 << bits, -1, np.int32)
     place[weighed] = np.arange(len(weighed))
     rows = [(p := place[at])[p >= 0] for at in rows]
@@ -174,13 +201,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int, train: Column | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed columns and labels of at most about ``max_rows`` labelled rows, all if fewer."""
+    """Hashed columns and labels of at most about ``max_rows`` distinct labelled rows, all if fewer."""
     train = ~held_out(F.col("doc_id")) if train is None else train
     known = labels.where("toxic is not null and doc_id is not null").where(train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    n, texts = known.count(), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(train)
-    if n > max_rows:  # on both sides, so that only the sample's texts are shuffled
-        chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n)
-        known, texts = known.where(chosen), texts.where(chosen)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(train).withColumn("th", F.xxhash64("doc_id", "text"))
+    n = texts.select("doc_id", "th").join(known, "doc_id", "left_semi").agg(F.approx_count_distinct("th").alias("n")).first().n
+    if n > max_rows:  # before the join, so that only the sample's texts are shuffled
+        texts = texts.where(F.pmod(F.xxhash64(F.lit(5), "th"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    texts = texts.select("doc_id", "text").distinct()
 
     def run(batches):
         for batch in slices(batches, 0):
@@ -208,7 +236,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
 
 
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more. A null text scores as an empty
+    one; repeated rows go or stay together; all columns are kept, whatever their names."""
     known, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
 
     def run(batches):
