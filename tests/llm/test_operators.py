@@ -258,6 +258,30 @@ def test_machine_learns_pairs_that_weights_cannot():
     assert np.mean([(s >= 0.5) == bool(y) for s, (_, y) in zip(linear.scores([t for t, _ in test]), test)]) < np.mean(right)
 
 
+def test_pairs_are_learned_without_weights_of_their_own():
+    """The label depends on two words together and on neither alone."""
+
+    def texts(n, seed):
+        rng, out = random.Random(seed), []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            words = [rng.choice("ta ren mola liska dor vento shu pinta gra eloth".split()) for _ in range(20)] + ["northers" if a else "westers", "zonk" if b else "blart"]
+            rng.shuffle(words)
+            out.append((" ".join(words), int(a == b)))
+        return out
+
+    train, test = texts(4000, 1), texts(400, 2)
+    m = toxicity.fit([toxicity.columns(t) for t, _ in train], np.array([y for _, y in train]))
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, y) in zip(m.scores([t for t, _ in test]), test)]) > 0.97
+
+
+def test_one_doc_id_with_many_texts_stays_bounded(spark):
+    docs = table(spark, [f"text {k}" for k in range(3000)] + ["text 0"] * 3000 + ["other words"], [6] * 6000 + [7])
+    labels = spark.createDataFrame([(6, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    rows, y = toxicity.sample(docs, labels, 500, F.lit(True))
+    assert 300 < len(rows) < 700 and len(y) == len(rows)
+
+
 def test_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(20, np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 3)))
@@ -401,12 +425,53 @@ def test_repeated_edited_copies_are_leaks_beside_a_whole_one(spark, length, edit
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [copies + 1]
 
 
-def test_leaks_do_not_depend_on_blocks(spark, bench_items, monkeypatch):
+def test_leaks_do_not_depend_on_blocks(spark, bench_items):
     words, items, bench = bench_items
     docs = table(spark, [f"x y z {items[4]} end", items[9], "a b c"], [5, None, 7])
     whole = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, n, f=decontaminate.item_blocks: f(b, 100))
-    assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == whole and len(whole) == 2
+    assert sorted(map(str, decontaminate.contamination(docs, bench, block_words=100).collect())) == whole and len(whole) == 2
+    assert [r.doc_id for r in decontaminate.clean(docs, bench, block_words=100).collect()] == [7]
+
+
+def test_seeds_lose_little_against_full_alignment(spark):
+    """Copies with up to two fifths of their words replaced, dropped or doubled: every text is aligned
+    with every item, whole."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    items = [[rng.choice(words) for _ in range(rng.randint(6, 50))] for _ in range(40)]
+    docs = []
+    for k in range(240):
+        copy = []
+        for w in items[k % 40]:
+            r, edits = rng.random(), (k % 9) / 20
+            copy += [w] if r > edits else [rng.choice(words)] if r > edits / 2 else [] if r > edits / 4 else [w, w]
+        docs.append([rng.choice(words) for _ in range(30)] + copy + [rng.choice(words) for _ in range(30)])
+    number = {w: i + 1 for i, w in enumerate(words)}
+    coded = [np.array([number[w] for w in t]) for t in items], [np.array([number[w] for w in t]) for t in docs]
+    want = {(d, i): s for d, text in enumerate(coded[1]) for i, item in enumerate(coded[0]) if (s := decontaminate.align(item, text)[0] / (2 * len(item))) >= 0.5}
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contamination(table(spark, [" ".join(t) for t in docs]), bench).collect()}
+    assert set(got) <= set(want) and all(got[k] <= want[k] for k in got) and len(got) >= 0.98 * len(want) and len(want) > 150
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([(1, "What is the capital city?"), (2, "Paris"), (3, "日本の首都はどこですか教えてください"), (4, "two words"), (None, "Paris!"), (6, ""), (7, None), (2, "Paris")], "item_id long, text string")
+    docs = table(spark, ["so what is the Capital, city of it", "what is the big capital city", "paris", "I saw Paris today", "彼は日本の首都はどこですか教えてくださいと言った", "Two, words!", "two words more", None, ""])
+    got = sorted(((r.doc_id, r.item_id or 0, r.score) for r in decontaminate.contamination(docs, bench).collect()))
+    assert got == [(0, 1, 1.0), (2, 0, 1.0), (2, 2, 1.0), (4, 3, 1.0), (5, 4, 1.0)]
+
+
+def test_grams_of_many_items_are_no_seeds(spark):
+    """A common opening opens no window by itself; items that have nothing else still have seeds."""
+    opening = "which of the following statements is true about"
+    items = [f"{opening} a{k} b{k} c{k} d{k} e{k} f{k} g{k}" for k in range(100)]
+    own = decontaminate.index([([k], t) for k, t in enumerate(items)])
+    assert len(own.grams) == 100 * 7
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = decontaminate.contamination(table(spark, [items[5], opening, "x " + items[7].replace("b7", "z")]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got if r.score > 0.8) == [(0, 5), (2, 7)]
+    same = decontaminate.index([([k], f"{opening} {'more ' * k}") for k in range(60)])
+    assert set(same.of_item.tolist()) == set(range(60))
 
 
 def test_leaks_of_empty_tables(spark, odd, none, bench_items):
