@@ -1,24 +1,28 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is read once by a tolerant tag scanner. Every stretch of text between block-level tags is a
-leaf block with its open ancestors (tag, class, id, role). Features of a block come from its
-ancestors, its own tag, its text and links, and its place; a two-label chain (0 boilerplate, 1
-main text) with label transitions decides over the whole page by Viterbi. The weights are learned
-by the gradient of the conditional log-likelihood on labelled pages: ``labelled_pages`` makes them
-from page templates that state each block's label, so training needs no table and is the same on
-every run.
+A page is read once, in time linear in its length, by a tolerant scanner: quotes and elements may stay
+open. Every stretch of text between block-level tags is a leaf block with its open ancestors (tag, class,
+id, role). By rule, not by the field, the text of form controls, of scripts and the like, and of elements that are
+hidden takes no part. Features of a block come from its ancestors, its own tag, its text and links, and
+its place; a two-label chain (0 boilerplate, 1 main text) with label transitions decides over the
+whole page by Viterbi. The weights are learned by the gradient of the conditional log-likelihood on labelled
+pages: ``labelled_pages`` makes them from page templates that state each block's label. They lie in
+``html_field.json`` beside this file; ``python -m lodex.llm.html`` learns and writes them anew.
 
 Defined results: null html counts as empty; a page without main text gives an empty string; text
-in unclosed elements belongs to the innermost open one, a new paragraph closes an open one;
-repeated rows come out as often as they come in; an empty table gives an empty result.
+in unclosed elements belongs to the innermost open one, a new paragraph closes an open one; an attribute
+value whose quote is never closed, or closed in the middle of later markup, ends at the tag's end; repeated
+rows come out as often as they come in; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
+import os
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,55 +32,132 @@ from pyspark.sql import functions as F
 from .common import pieces_of
 
 # Tag names of the HTML standard by their role in reading a page.
-SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea")
+SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "audio", "video", "noframes", "noembed")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param")
-INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "input", "button", "select", "option")
+INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "input")
+CONTROLS = ("button", "select", "option", "optgroup", "datalist", "label", "legend", "output", "meter", "progress")
 CLOSES_P = ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+P_SCOPE = ("table", "td", "th", "caption", "object")
+#: Elements that a new one of their kind closes, by the elements that may stand between.
+ITEMS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr"))}
+# Words of short headings and lines that say what part of a page follows, by part.
+CUES = {
+    "comments": ("comment", "comments", "kommentar", "kommentare", "commentaire", "commentaires", "comentario", "comentarios", "reply", "replies", "antworten", "responses", "discussion"),
+    "legal": ("impressum", "datenschutz", "privacy", "imprint", "terms", "copyright", "agb", "contact", "kontakt", "mentions", "légales", "aviso", "privacidad", "confidentialité"),
+    "related": ("related", "recommended", "trending", "popular", "more", "mehr", "verwandte", "articles", "relacionados", "similaires", "latest", "newest"),
+    "share": ("share", "teilen", "partager", "compartir", "tweet", "print", "facebook", "twitter", "tags"),
+    "notice": ("cookie", "cookies", "consent", "accept", "akzeptieren", "accepter", "aceptar"),
+    "ad": ("advertisement", "anzeige", "werbung", "publicité", "publicidad", "sponsored", "gesponsert"),
+    "form": ("subscribe", "newsletter", "login", "register", "search", "suche", "abonnieren", "buscar"),
+    "menu": ("home", "menu", "startseite", "accueil", "inicio", "sitemap", "about"),
+}
+CUE_OF = {w: k for k, words in CUES.items() for w in words}
+
+NAMED = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=]++)(?:\s*+=\s*+)?")
+BARE = re.compile(r"[^\s>]*+")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
-SKIP_SET, VOID_SET, INLINE_SET, CLOSES_P_SET = frozenset(SKIPPED), frozenset(VOID), frozenset(INLINE), frozenset(CLOSES_P)
+LETTERS = re.compile(r"[^\W\d_]+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+TELLING = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
+SKIP_SET, VOID_SET, INLINE_SET, CLOSES_P_SET, CONTROL_SET = frozenset(SKIPPED), frozenset(VOID), frozenset(INLINE + CONTROLS), frozenset(CLOSES_P), frozenset(CONTROLS)
 
 
 @dataclass(slots=True)
 class Block:
     text: str
     tag: str
-    path: tuple[str, ...]  # features of the ancestors, outermost first
+    path: frozenset[str]  # features of all ancestors
     linked: int  # characters inside links
 
 
+def open_tag(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The telling attributes of a tag whose name ends at ``at``, whether it closes itself, and where
+    it ends."""
+    found: dict[str, str] = {}
+    n = len(page)
+    while True:
+        m = ATTRIBUTE.match(page, at)
+        if not m:
+            end = page.find(">", at)
+            return found, end > 0 and page[end - 1] == "/", n if end < 0 else end + 1
+        at, value = m.end(), ""
+        if page[at - 1 : at] == "=" or page[m.end(1) : at].strip() == "=":
+            quote = page[at : at + 1]
+            close = page.find(quote, at + 1) if quote in ('"', "'") and quote else -1
+            if close >= 0 and (close + 1 == n or page[close + 1] in " \t\n\r\f/>"):
+                value, at = page[at + 1 : close], close + 1
+            else:
+                bare = BARE.match(page, at)
+                value, at = bare[0].strip("\"'"), bare.end()
+        name = m[1].lower()
+        if name in TELLING:
+            found.setdefault(name, value)
+
+
+@lru_cache(maxsize=4096)
+def features_of(tag: str, names: str) -> tuple[str, ...]:
+    """An element's features: its tag and the words of its class, id and role."""
+    return tuple(dict.fromkeys([f"t:{tag}", *(f"n:{w}" for w in NAME.findall(names.lower()))]))
+
+
+def unseen(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or UNSEEN.search(attributes.get("style", "")) is not None
+
+
+class Tree:
+    """The open elements. All steps but closing take constant time, and an element closes once."""
+
+    def __init__(self, known):
+        self.known = known
+        self.tags: list[str] = []
+        self.paths: list[frozenset[str]] = [frozenset()]
+        self.owners: list[str] = [""]  # the innermost element that isn't inline
+        self.dropped: list[bool] = [False]
+        self.links: list[int] = [0]
+        self.blocks: list[int] = [-1]  # place of the innermost element that isn't inline
+        self.where: dict[str, list[int]] = {}
+
+    def last(self, *tags: str) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def push(self, tag: str, attributes: dict[str, str]) -> None:
+        inline = tag in INLINE_SET
+        path = self.paths[-1]
+        names = " ".join(attributes[k] for k in ("class", "id", "role") if k in attributes)
+        if not inline or names:
+            own = features_of(tag, names) if len(names) < 200 else features_of.__wrapped__(tag, names)
+            new = [w for w in own if w not in path and (self.known is None or w in self.known)]
+            path = path.union(new) if new else path
+        self.where.setdefault(tag, []).append(len(self.tags))
+        self.blocks.append(self.blocks[-1] if inline else len(self.tags))
+        self.tags.append(tag)
+        self.paths.append(path)
+        self.owners.append(self.owners[-1] if inline else tag)
+        self.dropped.append(self.dropped[-1] or tag in CONTROL_SET or tag not in ("html", "body") and unseen(attributes))
+        self.links.append(self.links[-1] + (tag == "a"))
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.tags) > place:
+            self.where[self.tags.pop()].pop()
+            for column in (self.paths, self.owners, self.dropped, self.links, self.blocks):
+                column.pop()
+
+
 @cache
-def element_features(tag: str, attributes: str) -> str:
-    """The element as one string of feature words: its tag and the words of class, id and role."""
-    words = [f"t:{tag}"]
-    for m in ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        key = m[1].lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            words.append("hidden")
-        elif key in ("class", "id", "role"):
-            words += [f"n:{w}" for w in NAME.findall(value)]
-    return " ".join(dict.fromkeys(words))
-
-
-def features_of(tag: str, attributes: str) -> str:
-    """The element's features from all of its attributes; only short ones are cached."""
-    if not attributes.strip():
-        return f"t:{tag}"
-    return element_features(tag, attributes) if len(attributes) < 200 else element_features.__wrapped__(tag, attributes)
-
-
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order."""
+def end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+
+
+def blocks(page: str | None, known=None) -> list[Block]:
+    """Leaf blocks in page order. ``known``: the ancestors' features that matter, all if None."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    tree = Tree(known)
     parts: list[str] = []
-    linked = links = 0
-    at, n = 0, len(page)
+    linked, at, n = 0, 0, len(page)
 
     def flush():
         nonlocal parts, linked
@@ -84,76 +165,83 @@ def blocks(page: str | None) -> list[Block]:
             raw = "".join(parts)
             text = SPACE.sub(" ", entities.unescape(raw) if "&" in raw else raw).strip()
             if text:
-                outer = [s for s in stack if s[0] not in INLINE_SET]
-                out.append(Block(text, outer[-1][0] if outer else "", tuple(s[1] for s in stack if s[0] not in INLINE_SET or " " in s[1]), linked))
+                out.append(Block(text, tree.owners[-1], tree.paths[-1], linked))
             parts, linked = [], 0
 
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None or m.start() > at:
-            text = page[at : m.start() if m else n]
+    def say(text):
+        nonlocal linked
+        if not tree.dropped[-1]:
             parts.append(text)
-            if links:
+            if tree.links[-1]:
                 linked += len(text)
-            if m is None:
-                break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            say(page[at:])
+            break
+        if start > at:
+            say(page[at:start])
+        follows = page[start + 1 : start + 2]
+        closing = follows == "/"
+        m = NAMED.match(page, start + 1 + closing)
+        if not m:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 2)
+                at = n if end < 0 else end + 3
+            elif follows in ("!", "?", "/") and follows:
+                end = page.find(">", start)
+                at = n if end < 0 else end + 1
+            else:
+                say("<")
+                at = start + 1
             continue
-        tag = tag.lower()
-        if m[1]:
-            if any(s[0] == tag for s in stack):
-                if tag not in INLINE_SET:
-                    flush()
-                    while stack[-1][0] != tag:
-                        links -= stack[-1][0] == "a"
-                        stack.pop()
-                    links -= tag == "a"
-                    stack.pop()
-                else:
-                    k = max(i for i, s in enumerate(stack) if s[0] == tag)
-                    if all(s[0] in INLINE_SET for s in stack[k:]):
-                        links -= tag == "a"
-                        del stack[k]
-            elif tag not in INLINE_SET:
+        tag, at = m[0].lower(), m.end()
+        inline = tag in INLINE_SET
+        if closing:
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            place = tree.last(tag)
+            if inline:
+                if place > tree.blocks[-1]:
+                    tree.cut(place)
+            else:
                 flush()
+                if place >= 0:
+                    tree.cut(place)
+                elif tag == "br":
+                    say(" ")
             continue
+        attributes, closed, at = ({}, False, at + 1) if page[at : at + 1] == ">" else open_tag(page, at)
         if tag in SKIP_SET:
-            if m[3].rstrip().endswith("/"):
-                continue
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if not closed:
+                end = end_of(tag).search(page, at)
+                at = end.end() if end else n
             if tag not in ("svg", "math"):
                 flush()
             continue
         if tag in VOID_SET:
-            if tag in INLINE_SET:
-                parts.append(" ")
+            if inline:
+                say(" ")
             else:
                 flush()
             continue
-        if tag not in INLINE_SET:
+        if not inline:
             flush()
-            if tag in CLOSES_P_SET and any(s[0] == "p" for s in stack):
-                while stack[-1][0] != "p":
-                    links -= stack[-1][0] == "a"
-                    stack.pop()
-                stack.pop()
-            elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
-                        break
-                    if stack[k][0] == tag or tag in ("dt", "dd") and stack[k][0] in ("dt", "dd") or tag in ("td", "th") and stack[k][0] in ("td", "th"):
-                        links -= sum(s[0] == "a" for s in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] == "tr" and tag in ("td", "th"):
-                        break
-        if not m[3].rstrip().endswith("/"):
-            if tag == "a":
-                links += 1
-            stack.append((tag, features_of(tag, m[3])))
+            if tag in CLOSES_P_SET:
+                for inner in (("p",), CONTROLS):
+                    place = tree.last(*inner)
+                    if place > tree.last(*P_SCOPE):
+                        tree.cut(place)
+            elif tag in ITEMS:
+                own, scope = ITEMS[tag]
+                first = min((tree.where[t][-1] for t in own if tree.where.get(t) and tree.where[t][-1] > tree.last(*scope, "div", "section", "article", "body")), default=-1)
+                if tag == "tr":
+                    first = tree.last("tr") if tree.last("tr") > tree.last("table", "body") else first
+                if first >= 0:
+                    tree.cut(first)
+        if not closed or tag in CONTROL_SET or not inline:
+            tree.push(tag, attributes)
     flush()
     return out
 
@@ -162,19 +250,25 @@ MARKS = (".", "!", "?", ":", "…", '"', "”", "»")
 
 
 def block_features(page: list[Block]) -> list[list[str]]:
-    """Feature words of each block; ancestors by tag and by words of class, id and role."""
-    out, n, after_h1 = [], len(page), False
+    """Feature words of each block but for those of its ancestors."""
+    out, n, after_h1, since = [], len(page), False, set()
     for k, b in enumerate(page):
         words = b.text.count(" ") + 1
         f = {"bias", f"own:{b.tag}"}
-        for p in b.path:
-            f.update(p.split(" "))
         share = b.linked / max(1, len(b.text))
         f.add("link:all" if share > 0.8 else "link:some" if share > 0.3 else "link:none")
         f.add("len:1" if words < 3 else "len:2" if words < 8 else "len:3" if words < 25 else "len:4")
         f.add("end:mark" if b.text[-1] in MARKS else "end:none")
-        if "©" in b.text or "copyright" in b.text[:60].lower():
+        if "©" in b.text or "copyright" in b.text.lower():
             f.add("copyright")
+        if words < 8:
+            for w in LETTERS.findall(b.text.lower()):
+                if w in CUE_OF:
+                    f.add(f"cue:{CUE_OF[w]}")
+                    if b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                        f.add(f"head:{CUE_OF[w]}")
+                        since.add(f"since:{CUE_OF[w]}")
+        f |= since & {"since:comments", "since:related"}
         after_h1 = after_h1 or b.tag == "h1"
         f.add("after:h1" if after_h1 else "before:h1")
         if k == 0:
@@ -192,16 +286,19 @@ class Field:
     weights: dict[str, tuple[float, float]]
     moves: list[list[float]]
 
-    def scores(self, features: list[list[str]]) -> list[tuple[float, float]]:
-        get, none = self.weights.get, (0.0, 0.0)
+    def scores(self, page: list[Block]) -> list[tuple[float, float]]:
+        get, none, of_path = self.weights.get, (0.0, 0.0), {}
         out = []
-        for f in features:
-            a = b = 0.0
+        for b, f in zip(page, block_features(page)):
+            if b.path not in of_path:
+                own = [get(w, none) for w in b.path]
+                of_path[b.path] = (sum(x for x, _ in own), sum(y for _, y in own))
+            x, y = of_path[b.path]
             for w in f:
-                x, y = get(w, none)
-                a += x
-                b += y
-            out.append((a, b))
+                p, q = get(w, none)
+                x += p
+                y += q
+            out.append((x, y))
         return out
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -209,7 +306,7 @@ class Field:
         if not page:
             return []
         (m00, m01), (m10, m11) = self.moves
-        scored = self.scores(block_features(page))
+        scored = self.scores(page)
         a, b = scored[0]
         back = []
         for s0, s1 in scored[1:]:
@@ -223,7 +320,7 @@ class Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.weights)
     return "\n".join(b.text for b, y in zip(found, field.decode(found)) if y)
 
 
@@ -279,9 +376,14 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[list[tuple[Block, int]]
 
     def part(kind):
         tag = rng.choice(tags[kind])
-        named = rng.random() < (0.35 if tag == kind or tag in ("nav", "header", "footer", "aside", "form") else 1.0)
+        named = rng.random() < (0.35 if tag == kind or tag in ("nav", "header", "footer", "aside", "form") else 0.85)
         attr = f' {rng.choice(["class", "class", "id"])}="{rng.choice(side[kind])}"' if named else ""
         inner = ""
+        if not named and tag in ("div", "section", "ul", "ol", "ins"):  # nothing but the text tells what it is
+            cue = lambda k: f"B {rng.choice(CUES[k]).capitalize()}"
+            line = f"<h3>{cue('comments')}</h3>" + "".join(f"<div><p>{sentence('B')}</p></div>" for _ in range(rng.integers(1, 4))) if kind == "comments" else f"<h3>{cue('related')} {word()}</h3>{listing('B', True)}" if kind == "aside" else f"{cue('ad')}" if kind == "ad" else f"<p>{cue('notice')} {word()}</p>" if kind == "notice" else f"<p>{cue('form')} {word()}</p>" if kind == "form" else listing("B", True)
+            line = f"<p>{cue('legal')} {rng.choice(CUES['legal'])}</p>" if kind == "footer" and rng.random() < 0.6 else line
+            return f"<{tag}>{f'<li>{line}</li>' if tag in ('ul', 'ol') else line}</{tag}>"
         if rng.random() < 0.3:  # any content: what holds it must be telling enough
             inner = rng.choice(["phrase", "sentence", "para", "list", "links"])
             inner = {"phrase": lambda: phrase("B", 1, 6), "sentence": lambda: sentence("B"), "para": lambda: para("B"), "list": lambda: listing("B", False), "links": lambda: listing("B", True)}[inner]()
@@ -322,7 +424,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[list[tuple[Block, int]]
     for _ in range(n):
         often = rng.choice([0.0, 0.3, 0.6])
         before = [part(k) for k in ("notice", "header", "nav", "nav", "ad", "form", "aside") if rng.random() < often]
-        after = [part(k) for k in ("share", "comments", "aside", "aside", "form", "ad", "notice", "footer") if rng.random() < often]
+        after = [part(k) for k in ("share", "aside", "form", "ad", "notice", "comments", "aside", "footer") if rng.random() < often]
         page = "<html><head><title>x</title></head><body>" + "".join(before) + article() + "".join(after) + ("</body></html>" if rng.random() < 0.9 else "")
         found = []
         for b in blocks(page):
@@ -335,7 +437,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> list[list[tuple[Block, int]]
 
 def fit(pages: list[list[tuple[Block, int]]], epochs: int = 20, rate: float = 0.3, l2: float = 2e-3) -> Field:
     """Conditional maximum likelihood: forward-backward for expectations, AdaGrad by page."""
-    data = [(block_features([b for b, _ in p]), np.array([y for _, y in p])) for p in pages if p]
+    data = [([sorted({*f, *b.path}) for f, (b, _) in zip(block_features([b for b, _ in p]), p)], np.array([y for _, y in p])) for p in pages if p]
     names = sorted({w for f, _ in data for x in f for w in x})
     number = {w: i for i, w in enumerate(names)}
     rows = [([np.array([number[w] for w in x]) for x in f], y) for f, y in data]
@@ -371,9 +473,20 @@ def fit(pages: list[list[tuple[Block, int]]], epochs: int = 20, rate: float = 0.
     return Field({k: (float(a), float(b)) for k, (a, b) in zip(names, w)}, moves.tolist())
 
 
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_field.json")
+
+
 @cache
 def default_field() -> Field:
-    return fit(labelled_pages())
+    with open(WEIGHTS, encoding="utf-8") as f:
+        kept = json.load(f)
+    return Field({k: tuple(w) for k, w in kept["weights"].items()}, kept["moves"])
+
+
+def write_default_field(path: str = WEIGHTS) -> None:
+    field = fit(labelled_pages())
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"weights": {k: [round(x, 6) for x in w] for k, w in field.weights.items()}, "moves": [[round(x, 6) for x in row] for row in field.moves]}, f, ensure_ascii=False, indent=0)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
@@ -387,3 +500,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return given.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    write_default_field()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -326,10 +327,46 @@ def test_main_text_of_a_page():
 
 
 def test_attributes_behind_long_ones_count():
-    long = f' data-state="{"x" * 5000}" class="sidebar advert" id="menu" hidden'
-    before = html.element_features.cache_info().currsize
-    assert html.features_of("div", long).split() == ["t:div", "n:sidebar", "n:advert", "n:menu", "hidden"]
-    assert html.element_features.cache_info().currsize == before
+    long = f'<div data-state="{"x" * 5000}" class="sidebar advert" id="menu">text</div>'
+    assert html.blocks(long)[0].path == {"t:div", "n:sidebar", "n:advert", "n:menu"}
+    assert html.blocks(f'<p>seen</p><div data-state="{"x" * 5000}" hidden>unseen</div>') == html.blocks("<p>seen</p>")
+    many = "".join(f"<p class='c{k}'>x</p>" for k in range(9000))
+    assert len(html.blocks(many)) == 9000 and html.features_of.cache_info().currsize <= 4096
+
+
+ARTICLE = "<html><body><article><h1>A fine day</h1>{}</article></body></html>"
+
+
+@pytest.mark.parametrize(("inside", "want"), [
+    ("<p>One two three four <a title=it's href=x>link</a> five.</p><p>Second para graph with it's words in.</p>", "One two three four link five.\nSecond para graph with it's words in."),
+    ('<p>One two three four <a title="foo>link</a> five six.</p><p class="x">Second para graph with words in.</p>', "One two three four link five six.\nSecond para graph with words in."),
+    ('<p>One two three four <a title="foo>link</a> five six.</p><p>Second para graph with words in.</p>', "One two three four link five six.\nSecond para graph with words in."),
+    ('<p>One two three four five six.</p><p><a data-x="<b>no</b>" href=y>Second</a> para graph with words in.</p>', "One two three four five six.\nSecond para graph with words in."),
+    ("<p>One two three four five six.</p><button>Subscribe now</button><select><option>One<option>Two</select><p>Second para <label>Mail</label> graph with words in.</p>", "One two three four five six.\nSecond para graph with words in."),
+    ("<p>One two three <button>Buy<p>Second para graph with words in.</p>", "One two three\nSecond para graph with words in."),
+    ('<p>One two three four five six.</p><div hidden><p>No one is to see these words here.</p></div><p style="display: none">None of this is seen, ever.</p><p aria-hidden="true">Nor that one, a long one indeed.</p>', "One two three four five six."),
+    ("<p>One two three four five < six.</p><p>Second <3 para graph with words in.</p>", "One two three four five < six.\nSecond <3 para graph with words in."),
+])
+def test_broken_and_hidden_markup(inside, want):
+    assert html.main_text(ARTICLE.format(inside), html.default_field()) == "A fine day\n" + want
+
+
+def test_unnamed_parts_are_known_by_their_words():
+    page = "<html><body><div><h1>A fine day</h1><p>One two three four five six seven, eight.</p><p>Nine ten eleven twelve, and so on.</p></div><div><h3>Comments</h3><div><p>I do not agree with this, my friend, at all.</p></div></div><div>Impressum Datenschutz</div></body></html>"
+    assert html.main_text(page, html.default_field()) == "A fine day\nOne two three four five six seven, eight.\nNine ten eleven twelve, and so on."
+
+
+@pytest.mark.parametrize("hostile", ["<div>x" * 20_000, "".join(f"<div class=c{k}k{chr(97 + k % 26)}>x" for k in range(20_000)), '<a b="' * 20_000, "<a b='x" * 20_000, "<b>" * 20_000 + "<i>" * 20_000 + "</b>" * 20_000, "<ul><li><ul>" + "<h1>" * 10_000 + "<li></li>" * 10_000, "<b><p>" + "<i>" * 20_000 + "</b>" * 20_000, "<a " + "b " * 100_000 + ">", "<!-- " * 50_000, "<script>" * 20_000, "<" * 100_000])
+def test_hostile_pages_take_linear_time(hostile):
+    begun = time.perf_counter()
+    html.main_text(hostile, html.default_field())
+    assert time.perf_counter() - begun < 4
+
+
+def test_shipped_weights_are_the_learned_ones():
+    learned, shipped = html.fit(html.labelled_pages()), html.default_field()
+    assert set(learned.weights) == set(shipped.weights)
+    assert all(np.allclose(learned.weights[k], shipped.weights[k], atol=1e-3) for k in learned.weights) and np.allclose(learned.moves, shipped.moves, atol=1e-3)
 
 
 def test_extraction_holds_out():
@@ -346,7 +383,7 @@ def test_viterbi_equals_enumeration():
     field = html.default_field()
     for page in html.labelled_pages(20, seed=8):
         found = [b for b, _ in page][:9]
-        scores = field.scores(html.block_features(found))
+        scores = field.scores(found)
         if not found:
             continue
 
