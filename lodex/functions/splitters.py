@@ -47,7 +47,8 @@ def recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 
 def windows(text: str, size: int = 1500, overlap: int = 200) -> list[str]:
-    """Windows that end at the last space of their second half."""
+    """Windows that end at the last space of their second half. Each starts after the one
+    before it, however large the overlap."""
     text = re.sub(r"\s+", " ", text).strip()
     if len(text) <= size:
         return [text] if text else []
@@ -57,7 +58,7 @@ def windows(text: str, size: int = 1500, overlap: int = 200) -> list[str]:
         space = text.rfind(" ", at, stop) if stop < len(text) else -1
         stop = space if space > at + size // 2 else stop
         out.append(text[at:stop].strip())
-        at = stop - overlap
+        at = max(at + 1, stop - overlap)
     return out
 
 
@@ -65,7 +66,8 @@ SENTENCE_ENDS = (". ", "! ", "? ", "\n", " ")
 
 
 def sentences(text: str, size: int = 800, overlap: int = 150) -> list[str]:
-    """Windows that end after the first kind of separator found in their second half."""
+    """Windows that end after the first kind of separator found in their second half. Each
+    starts after the one before it, however large the overlap."""
     if len(text) <= size:
         return [text] if text.strip() else []
     out, at = [], 0
@@ -77,7 +79,7 @@ def sentences(text: str, size: int = 800, overlap: int = 150) -> list[str]:
         piece = text[at:stop].strip()
         if piece:
             out.append(piece)
-        at = stop - overlap
+        at = max(at + 1, stop - overlap)
     return out
 
 

@@ -8,7 +8,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import HASH_BUCKETS, MODULE_SYNONYMS, NOISE_PATTERNS, POST_PATTERNS, PROGRAM_SYNONYMS, SERVICE_SYNONYMS, STOPWORDS
@@ -31,12 +31,21 @@ def nfkc(x: Column | str) -> Column:
     return F.coalesce(run(F.when(x.rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"), x)), x)
 
 
-def normalize(x: Column | str, with_nfkc: bool = False) -> Column:
-    """Lower case, NFKC, white space collapsed and trimmed; null is empty."""
+def normalize(x: Column | str, with_nfkc: bool = True) -> Column:
+    """Lower case, NFKC, white space collapsed and trimmed; null is empty. Inside a lambda, where
+    no Python function can stand, the caller brings NFKC text and leaves ``with_nfkc`` out."""
     lower = F.lower(F.coalesce(col(x), F.lit("")))
     return F.trim(F.regexp_replace(nfkc(lower) if with_nfkc else lower, r"(?U)\s+", " "))
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once for each row. Catalyst would copy their expressions
+    into every use, also into lambdas and filters, where they run once for each element; it doesn't
+    copy what a generator gives."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")
+    return df.select("*", one).select(*df.columns, *[F.col("_held")[n].alias(n) for n in columns])
+
+
 def words_of(normal: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Tokens of text that is already normal, duplicates kept. The stop list becomes a hash set."""
     found = runs_of(normal)
@@ -55,14 +64,15 @@ def tokenize(x: Column | str, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
 
 def phrases(x: Column | str) -> Column:
     """Normalised quoted phrases, blank ones dropped."""
-    found = F.regexp_extract_all(col(x), F.lit('"([^"]+)"'), 1)
-    return F.filter(F.transform(found, lambda p: normalize(p)), lambda p: p != "")
+    found = F.regexp_extract_all(nfkc(col(x)), F.lit('"([^"]+)"'), 1)
+    return F.filter(F.transform(found, lambda p: normalize(p, False)), lambda p: p != "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """The distinct n-grams of a token array, in order of appearance."""
     last = F.size(tokens) - n + 1
-    made = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    shifted = F.arrays_zip(*[F.slice(tokens, k + 1, F.greatest(last, F.lit(0))).alias(f"t{k}") for k in range(n)])
+    made = F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"t{k}"] for k in range(n)]))
     return F.when(last >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
@@ -75,11 +85,12 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def lexical_f(query: Column, tokens: Column, hay: Column) -> Column:
-    """Q1. ``query`` is normalised, ``tokens`` are its tokens, ``hay`` is haystack()."""
-    found = F.filter(tokens, lambda t: hay.contains(t))
+    """Q1. Columns that are there, see held(): ``query`` is normalised, ``tokens`` are its tokens, ``hay``
+    is haystack()."""
+    found = F.filter(F.array_distinct(tokens), lambda t: hay.contains(t))
     long = F.filter(tokens, lambda t: F.length(t) >= 6)
     long_found = F.filter(long, lambda t: hay.contains(t))
-    score = 0.7 * share(F.size(F.array_distinct(found)), F.size(tokens)) + F.when((F.length(query) >= 6) & hay.contains(query), 0.2).otherwise(0.0) + 0.1 * share(F.size(long_found), F.size(long))
+    score = 0.7 * share(F.size(found), F.size(tokens)) + F.when((F.length(query) >= 6) & hay.contains(query), 0.2).otherwise(0.0) + 0.1 * share(F.size(long_found), F.size(long))
     return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
@@ -91,7 +102,7 @@ def lexical_b(query: Column, tokens: Column, hay: Column) -> Column:
 
     long = F.filter(tokens, lambda t: F.length(t) >= 6)
     score = (
-        0.55 * share(F.size(F.array_distinct(F.filter(tokens, lambda t: hay.contains(t)))), F.size(tokens))
+        0.55 * share(F.size(F.filter(F.array_distinct(tokens), lambda t: hay.contains(t))), F.size(tokens))
         + 0.25 * covered(ngrams(tokens, 2))
         + 0.15 * covered(ngrams(tokens, 3))
         + F.when((F.length(query) >= 6) & hay.contains(query), 0.3).otherwise(0.0)
@@ -165,8 +176,8 @@ def contains_any(x: Column, words: tuple[str, ...]) -> Column:
 
 
 def stride_chunks(text: Column, size: int, overlap: int) -> Column:
-    """Fixed windows of ``size`` characters every ``size - overlap``."""
-    step = size - overlap
+    """Fixed windows of ``size`` characters every ``size - overlap``, but at least one on."""
+    step = max(1, size - overlap)
     n = F.length(text)
     at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
     return F.when(n > 0, F.transform(at, lambda i: F.substring(text, i + 1, size))).otherwise(F.array().cast("array<string>"))

@@ -63,8 +63,9 @@ def student_body_record(df: DataFrame, kind: str, most: int = 1000) -> DataFrame
 
 
 def template_section(url: Column, text: Column) -> Column:
-    """A person's page is one text; an event's ends before the list of further events."""
-    return F.when(url.contains("/person/"), text).when(url.contains("/veranstaltungen/"), F.trim(F.split(text, "(?i)Weitere Veranstaltungen", 2)[0]))
+    """An event's text ends before the list of further events; any other page's, a person's
+    included, is one text."""
+    return F.when(url.contains("/veranstaltungen/"), F.trim(F.split(text, "(?i)Weitere Veranstaltungen", 2)[0])).otherwise(text)
 
 
 def relevant_pdf(url: Column, words: tuple[str, ...]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import COLLECTION_WEIGHTS, EVIDENCE_AVG3, EVIDENCE_TOP1, INTENTS, MIN_RELEVANCE, NON_STRICT_TYPES, PAGE_SIZE, RERANK_POOL, STUDENT_BODY_SIGNALS, TIMETABLE_SIGNALS
-from ..functions.text import contains_any, haystack, lexical_b, lexical_f, normalize, phrases, strict_match, words_of
+from ..functions.text import contains_any, haystack, held, lexical_b, lexical_f, normalize, phrases, strict_match, words_of
 from .retrieve import ranked
 
 
@@ -26,7 +26,7 @@ def _prepared(df: DataFrame) -> DataFrame:
     for name in ("url", "text", "title", "type", "source"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(""))
-    return df.withColumn("_q", normalize("query")).withColumn("_tokens", words_of(F.col("_q"))).withColumn("_url", normalize("url"))
+    return held(held(df, _q=normalize("query"), _url=normalize("url")), _tokens=words_of(F.col("_q")))
 
 
 def url_boost(exact: float, partial: float, none: float) -> Column:
@@ -37,7 +37,7 @@ def url_boost(exact: float, partial: float, none: float) -> Column:
 
 def fuse_f(df: DataFrame) -> DataFrame:
     """Q6: 0.72 vector + 0.28 lexical + additive boosts; score is replaced, its parts are kept."""
-    df = min_max(_prepared(df)).withColumn("_hay", haystack("text", "url"))
+    df = held(min_max(_prepared(df)), _hay=haystack("text", "url"))
     lexical = lexical_f(F.col("_q"), F.col("_tokens"), F.col("_hay"))
     timetable = F.when((F.col("type") == "timetable") & (F.col("score") >= 0.45), 0.25).otherwise(0.0)
     df = df.withColumn("lexical_score", lexical).withColumn("vector_score", F.col("score"))
@@ -59,8 +59,7 @@ def boost_and_rank_f(df: DataFrame, strict: bool = True, least: float = MIN_RELE
 def boost_and_rank_b(df: DataFrame, clicks: DataFrame | None = None) -> DataFrame:
     """Q7, Q8: (0.70 vector + 0.30 lexical) times boosts by intent, plus a click nudge. clicks:
     (query, url, short_clicks, long_clicks)."""
-    df = min_max(_prepared(df)).withColumn("intent", intent(F.col("query")))
-    hay = haystack(F.concat_ws(" ", "text", "title"), "url")
+    df = held(min_max(_prepared(df)).withColumn("intent", intent(F.col("query"))), _hay=haystack(F.concat_ws(" ", "text", "title"), "url"))
     title = F.lower(F.coalesce("title", F.lit("")))
     by_intent = (
         F.when(F.col("intent") == "timetable", F.when(F.col("type") == "timetable", 1.5).otherwise(0.85))
@@ -69,13 +68,13 @@ def boost_and_rank_b(df: DataFrame, clicks: DataFrame | None = None) -> DataFram
         .otherwise(1.0)
     )
     boost = url_boost(1.4, 1.15, 1.0) * by_intent * F.when(F.col("source").isin("campus", "asta"), 1.1).otherwise(1.0)
-    df = df.withColumn("lexical_score", lexical_b(F.col("_q"), F.col("_tokens"), hay)).withColumn("vector_score", F.col("norm"))
+    df = df.withColumn("lexical_score", lexical_b(F.col("_q"), F.col("_tokens"), F.col("_hay"))).withColumn("vector_score", F.col("norm"))
     df = df.withColumn("score", (0.70 * F.col("norm") + 0.30 * F.col("lexical_score")) * boost)
     if clicks is not None:
         key = clicks.select(F.col("query").alias("_click_query"), F.col("url").alias("_click_url"), "short_clicks", "long_clicks")
         df = df.join(key, (F.lower(F.trim("query")) == F.col("_click_query")) & (F.col("url") == F.col("_click_url")), "left")
         df = df.withColumn("score", F.col("score") + nudge(F.col("short_clicks"), F.col("long_clicks"))).drop("_click_query", "_click_url", "short_clicks", "long_clicks")
-    return ranked(df.withColumn("score", F.round("score", 9)), ["query_id"], "score", "id").drop("_q", "_tokens", "_url", "norm")
+    return ranked(df.withColumn("score", F.round("score", 9)), ["query_id"], "score", "id").drop("_q", "_tokens", "_url", "_hay", "norm")
 
 
 def nudge(short: Column, long: Column) -> Column:

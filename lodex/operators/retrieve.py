@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BM25_B, BM25_K1, CHALLENGER_DISCOUNT, DEDUP_PREFIX, LEAST_WEIGHT, RRF_K, STOPWORDS
 from ..functions.text import normalize, runs_of
+from ..scratch import folder
 
 
 def doubles(vector: Column) -> Column:
@@ -28,14 +31,30 @@ def ranked(df: DataFrame, by: list[str], score: str, id_: str, k: int | None = N
     return out.where(F.col(as_) <= k) if k else out
 
 
-def dense_top(points: DataFrame, queries: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-    """R1. points (id, vec), queries (query_id, qvec) -> query_id, id, score, rank. Queries are few
-    and stated; they are sent to the points, which are read once and never shuffled whole."""
+#: Queries that are sent to the points at once, and terms that are pushed to the scan of the postings.
+QUERY_BLOCK, PUSHED_TERMS = 4_096, 1_000
+
+
+def dense_scores(points: DataFrame, queries: DataFrame, decimals: int = 9) -> DataFrame:
+    """points (id, vec), queries (query_id, qvec), one block of them -> query_id, id, score."""
     norm = queries.select("query_id", doubles(F.col("qvec")).alias("qvec")).withColumn("qn", F.sqrt(dot(F.col("qvec"), F.col("qvec"))))
     rows = points.select("id", doubles(F.col("vec")).alias("vec")).withColumn("pn", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    sided = norm if queries.count() > 10_000 else F.broadcast(norm)
-    scored = rows.crossJoin(sided).select("query_id", "id", F.round(dot(F.col("vec"), F.col("qvec")) / F.nullif(F.col("pn") * F.col("qn"), F.lit(0.0)), decimals).alias("score"))
-    return ranked(scored.where("score is not null"), ["query_id"], "score", "id", k)
+    scored = rows.crossJoin(F.broadcast(norm)).select("query_id", "id", F.round(dot(F.col("vec"), F.col("qvec")) / F.nullif(F.col("pn") * F.col("qn"), F.lit(0.0)), decimals).alias("score"))
+    return scored.where("score is not null")
+
+
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[DataFrame]:
+    """Queries by blocks of about ``block``, by a hash of their id: what is broadcast has a bound."""
+    n = max(1, -(-queries.count() // block))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def dense_top(points: DataFrame, queries: DataFrame, k: int, decimals: int = 9) -> DataFrame:
+    """R1. points (id, vec), queries (query_id, qvec) -> query_id, id, score, rank. The stated queries
+    go to the points block by block; points are never shuffled whole, and only the best k of a
+    task leave it."""
+    parts = [ranked(dense_scores(points, block, decimals), ["query_id"], "score", "id", k) for block in query_blocks(queries)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
@@ -45,45 +64,54 @@ def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
 
 
 class TermIndex:
-    """Postings, document lengths and statistics of a collection, written once and read by every
-    query: a query touches its own terms' postings only."""
+    """Three stored tables of a collection: postings (term, id, tf, dl) in files by hash of the term
+    and sorted by it, document frequencies (term, df), and one row of statistics (n, avgdl). A query
+    reads its own terms' postings; nothing is counted again."""
 
-    def __init__(self, terms: DataFrame, k1: float = BM25_K1, b: float = BM25_B, idf: bool = True):
-        self.terms, self.k1, self.b, self.idf = terms, k1, b, idf
+    def __init__(self, spark: SparkSession, path: str, k1: float = BM25_K1, b: float = BM25_B, idf: bool = True):
+        self.path, self.k1, self.b, self.idf = path, k1, b, idf
+        self.terms = spark.read.parquet(f"{path}/postings")
+        self.frequency = spark.read.parquet(f"{path}/frequency")
+        row = spark.read.parquet(f"{path}/statistics").first()
+        self.n, self.avgdl = row.n, row.avgdl or 1.0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options) -> TermIndex:
+        return cls(spark, path, **options)
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None, **options) -> TermIndex:
-        """docs (id, text). With a path the postings are a table sorted by term, so that a scan for
-        a few terms skips most row groups; else they are cached."""
-        terms = postings(docs)
-        if path:
-            terms.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
-            return cls(docs.sparkSession.read.parquet(path), **options)
-        return cls(terms.cache(), **options)
-
-    def statistics(self) -> DataFrame:
-        lengths = self.terms.groupBy("id").agg(F.sum("tf").alias("dl"))
-        return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        """docs (id, text). Texts are shuffled once, by id; counts and lengths follow without another
+        exchange. Without a path the index lies in a folder that goes with the application."""
+        spark = docs.sparkSession
+        path = path or folder(spark, "terms")
+        counted = postings(docs.select("id", "text").repartition("id"))
+        counted = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
+        counted.select("term", "id", "tf", "dl").repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequency")
+        lengths = stored.groupBy("id").agg(F.first("dl").alias("dl"))
+        lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        return cls(spark, path, **options)
 
     def weights(self) -> DataFrame:
         """(id, term, w): BM25 weights of every posting."""
-        lengths = self.terms.groupBy("id").agg(F.sum("tf").alias("dl"))
-        frequency = self.terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        joined = self.terms.join(lengths, "id").join(frequency, "term").crossJoin(F.broadcast(self.statistics()))
-        return joined.select("id", "term", self.weight().alias("w"))
+        return self.terms.join(self.frequency, "term").select("id", "term", self.weight().alias("w"))
 
     def weight(self) -> Column:
-        tf = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        return tf * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) if self.idf else tf
+        tf = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.lit(self.avgdl)))
+        return tf * F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) if self.idf else tf
 
     def top(self, queries: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-        """R2. queries (query_id, text) -> query_id, id, score, rank."""
+        """R2. queries (query_id, text) -> query_id, id, score, rank. The terms of few queries are a
+        filter of the scan; those of many join the postings by term."""
         wanted = postings(queries, "query_id").select(F.col("id").alias("query_id"), "term")
-        found = self.terms.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi") if queries.count() <= 10_000 else self.terms
-        frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        lengths = self.terms.groupBy("id").agg(F.sum("tf").alias("dl"))
-        hits = found.join(frequency, "term").join(lengths, "id").crossJoin(F.broadcast(self.statistics())).select("id", "term", self.weight().alias("w"))
-        scored = hits.join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), decimals).alias("score"))
+        few = [r.term for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        terms, frequency = self.terms, self.frequency
+        if len(few) <= PUSHED_TERMS:
+            terms, frequency = terms.where(F.col("term").isin(few)), frequency.where(F.col("term").isin(few))
+        hits = terms.join(wanted.join(frequency, "term"), "term").select("query_id", "id", self.weight().alias("w"))
+        scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), decimals).alias("score"))
         return ranked(scored, ["query_id"], "score", "id", k)
 
 
@@ -129,9 +157,9 @@ def challenge(original: DataFrame, expanded: DataFrame, discount: float = CHALLE
     return best.select("hit.*")
 
 
-def dedup_max(hits: DataFrame) -> DataFrame:
+def dedup_max(hits: DataFrame, decimals: int = 9) -> DataFrame:
     """R9. (query_id, url, id, score, weight): weighted scores, the best row of each URL."""
-    scored = hits.withColumn("score", F.round(F.col("score") * F.col("weight"), 9))
+    scored = hits.withColumn("score", F.round(F.col("score") * F.col("weight"), decimals))
     return scored.groupBy("query_id", "url").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("hit")).select("query_id", "url", "hit.id", "hit.score")
 
 

@@ -19,17 +19,25 @@ from ..sources.store import Store
 class Collection:
     """Points of a store's collection with its term index; either kind of retrieval may be absent."""
 
-    def __init__(self, points: DataFrame):
-        self.points = points
+    def __init__(self, points: DataFrame, terms: TermIndex | None = None):
+        self.points, self.terms = points, terms
         self.has_dense = "embedding" in points.columns
-        self.terms = TermIndex.build(points.select("id", F.col("text")))
+
+    @classmethod
+    def of(cls, store: Store, name: str) -> Collection:
+        points = store.read(name)
+        return cls(points, store.terms(name) if "text" in points.columns else None)
 
     def hybrid(self, queries: DataFrame, limit: int, k: int = 60) -> DataFrame:
         """Both lists over-fetched to twice the limit and fused; whichever exists otherwise."""
-        lists = {"sparse": (self.terms.top(queries.select("query_id", "text"), 2 * limit), 1.0)}
+        lists = {}
+        if self.terms:
+            lists["sparse"] = (self.terms.top(queries.select("query_id", "text"), 2 * limit), 1.0)
         if self.has_dense:
             dense = self.points.where("embedding is not null").select("id", F.col("embedding").alias("vec"))
             lists["dense"] = (retrieve.dense_top(dense, queries.select("query_id", "qvec"), 2 * limit), 1.0)
+        if not lists:
+            return self.points.select(F.lit(None).cast("string").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         return retrieve.ranked(retrieve.rrf(lists, k), ["query_id"], "score", "id", limit)
 
 
@@ -40,7 +48,7 @@ class SearchEngine:
         self.spark, self.config, self.embed = spark, config, embed or hashed_embedding()
         self.programs, self.modules = config.program_synonyms or PROGRAM_SYNONYMS, config.module_synonyms or MODULE_SYNONYMS
         self.sources = [s for s in config.sources if s.search_weight > 0 and store.exists(s.collection)]
-        self.collections = {s.name: Collection(store.read(s.collection)) for s in self.sources}
+        self.collections = {s.name: Collection.of(store, s.collection) for s in self.sources}
 
     def _queries(self, rows: list[tuple[str, str]]) -> DataFrame:
         return self.spark.createDataFrame([(i, q, encode_query(q, self.embed)) for i, q in rows], "query_id string, text string, qvec array<float>")
@@ -83,7 +91,7 @@ class ServiceSearch:
 
     def _collection(self, name: str) -> Collection:
         if name not in self._held:
-            self._held[name] = Collection(self.store.read(name))
+            self._held[name] = Collection.of(self.store, name)
         return self._held[name]
 
     def search(self, query: str, total_limit: int = 150, semester: str | None = None, scorer: rank.Scorer | None = None, legacy_url_key: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as T
 from ..functions.constants import COLLECTION_WEIGHTS, INTENTS, STUDENT_BODY_SIGNALS, TIMETABLE_SIGNALS
 from ..operators import crawl, feedback, quality, rank, retrieve
 from ..operators.retrieve import TermIndex, ranked
+from ..scratch import changed
 from ..sources import store
 from ..streaming import feedback as streams
 from . import sql as S
@@ -31,9 +34,9 @@ def dense_sql(every: int, k: int) -> str:
     return S.ranks(scored, k)
 
 
-@query("R1_dense_topk", f"SELECT query_id, id, score, rank FROM {dense_sql(1000000000, 20)}")
+@query("R1_dense_topk", f"SELECT query_id, id, score, rank FROM {dense_sql(50, 20)}")
 def r1(spark, d):
-    return retrieve.dense_top(points(spark, d), vector_queries(spark, d, 1_000_000_000), 20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.dense_top(points(spark, d), vector_queries(spark, d, 50), 20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("R1_dense_topk_batch", f"SELECT query_id, id, score, rank FROM {dense_sql(50, 10)}")
@@ -41,23 +44,30 @@ def r1b(spark, d):
     return retrieve.dense_top(points(spark, d), vector_queries(spark, d, 50), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def text_queries(spark, d, n: int = 1) -> DataFrame:
-    """The first six tokens of the first n documents, as queries."""
-    docs = table(spark, d, "documents").where(F.col("doc_id") < n)
-    return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(T.tokenize("text"), 1, 6), " ").alias("text"))
+#: The query set of every search below: all rows whose id is divisible by this, against all rows.
+EVERY = 50
+
+
+def text_queries(spark, d) -> DataFrame:
+    """The whole texts of the documents whose id is divisible by EVERY, as queries."""
+    return table(spark, d, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def text_queries_sql(n: int = 1) -> str:
-    return f"qs AS (SELECT doc_id AS query_id, array_to_string({S.tokens('text')}[1:6], ' ') AS text FROM documents WHERE doc_id < {n})"
+QUERY_SET = f"qs AS (SELECT doc_id AS query_id, coalesce(text, '') AS text FROM documents WHERE doc_id % {EVERY} = 0)"
+_indexes: dict[tuple, TermIndex] = {}
 
 
 def index(spark, d) -> TermIndex:
-    return TermIndex.build(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    """The term index of the documents, built once for each state of the table and application."""
+    key = (spark.sparkContext.applicationId, d, changed(spark, f"{d}/documents.parquet"))
+    if key not in _indexes:
+        _indexes[key] = TermIndex.build(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return _indexes[key]
 
 
-@query("R2_bm25_topk", f"WITH {S.POSTINGS}, {text_queries_sql(5)}, {S.bm25('qs')} SELECT query_id, id, score, rank FROM {S.ranks('bm', 20)}")
+@query("R2_bm25_topk", f"WITH {S.POSTINGS}, {QUERY_SET}, {S.bm25('qs')} SELECT query_id, id, score, rank FROM {S.ranks('bm', 20)}")
 def r2(spark, d):
-    return index(spark, d).top(text_queries(spark, d, 5), 20).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return index(spark, d).top(text_queries(spark, d), 20, 4).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("V3_bm25_weights", f"WITH {S.POSTINGS} SELECT id, term, round({S.BM25_WEIGHT}, 6) AS w FROM posts JOIN lens USING (id) JOIN dfs USING (term) CROSS JOIN stats")
@@ -66,12 +76,11 @@ def v3(spark, d):
 
 
 def two_lists(spark, d, k: int) -> tuple[DataFrame, DataFrame]:
-    dense = retrieve.dense_top(points(spark, d), points(spark, d).where("id < 5").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), k)
-    return dense, index(spark, d).top(text_queries(spark, d, 5), k)
+    return retrieve.dense_top(points(spark, d), vector_queries(spark, d, EVERY), k), index(spark, d).top(text_queries(spark, d), k, 4)
 
 
-LISTS = f"""{S.POSTINGS}, {text_queries_sql(5)}, {S.bm25('qs')},
-dense_all AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {S.cosine('e.embedding', 'q.embedding')} AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 5) q),
+LISTS = f"""{S.POSTINGS}, {QUERY_SET}, {S.bm25('qs')},
+dense_all AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {S.cosine('e.embedding', 'q.embedding')} AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q),
 dense AS (SELECT * FROM {S.ranks('dense_all', 40)}), sparse AS (SELECT * FROM {S.ranks('bm', 40)})"""
 
 
@@ -91,8 +100,9 @@ def results(spark, d, limit: int = 20) -> DataFrame:
     fused = ranked(retrieve.rrf({"dense": (dense, 1.0), "sparse": (sparse, 1.0)}), ["query_id"], "score", "id", limit).drop("rank")
     kind = F.when(F.col("lang") == "de", "timetable").when(F.col("lang") == "fr", "pdf").otherwise("webpage")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://x.example/"), "source", F.lit("/"), F.substring(F.regexp_replace("text", r"\s+", "-"), 1, 12)).alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), "text", kind.alias("type"), F.lit("asta").alias("source"))
-    queries = text_queries(spark, d, 5).select("query_id", F.col("text").alias("query"))
-    return fused.join(docs, "id").join(F.broadcast(queries), "query_id")
+    queries = text_queries(spark, d).select("query_id", F.col("text").alias("query"))
+    # few bytes but much work a row: as many tasks as cores, which adaptive execution would merge
+    return fused.join(docs, "id").join(queries, "query_id").repartition(spark.sparkContext.defaultParallelism, "query_id", "id")
 
 
 RESULTS = f"""{LISTS}, {rrf_sql(1, 1)}, res AS (SELECT f.query_id, q.text AS query, f.id, f.score, 'https://x.example/' || source || '/' || substr(regexp_replace(d.text, '\\s+', '-', 'g'), 1, 12) AS url, lang || ' ' || source AS title, d.text,
@@ -144,74 +154,80 @@ def q5(spark, d):
     return rank.min_max(results(spark, d)).select("query_id", "id", F.round("norm", 6).alias("norm"))
 
 
-QUERIED = f"{text_queries_sql(5)}, x AS (SELECT query_id, doc_id, {S.norm('q.text')} AS qn, {S.tokens('q.text')} AS tk, {S.hay('d.text', 'd.source')} AS h, q.text AS query FROM documents d CROSS JOIN qs q)"
+QUERIED = f"{RESULTS}, x AS (SELECT query_id, id, qn, tk, h, query FROM nrm)"
 
 
 def _queried(spark, d) -> DataFrame:
-    q = text_queries(spark, d, 5).select("query_id", F.col("text").alias("query"), T.normalize("text").alias("qn"), T.tokenize("text").alias("tk"))
-    docs = table(spark, d, "documents").select("doc_id", T.haystack("text", "source").alias("h"))
-    return docs.crossJoin(F.broadcast(q))
+    """The hits of every query, as the lexical scores are made of them."""
+    found = results(spark, d).select("query_id", "id", "query", "text", "url")
+    return T.held(found, qn=T.normalize("query"), tk=T.tokenize("query"), h=T.haystack("text", "url"))
 
 
-@query("Q1_lexical_f", f"WITH {QUERIED} SELECT query_id, doc_id, round({S.lexical_f('qn', 'tk', 'h')}, 6) AS score FROM x")
+@query("Q1_lexical_f", f"WITH {QUERIED} SELECT query_id, id, round({S.lexical_f('qn', 'tk', 'h')}, 6) AS score FROM x")
 def q1(spark, d):
-    return _queried(spark, d).select("query_id", "doc_id", F.round(T.lexical_f(F.col("qn"), F.col("tk"), F.col("h")), 6).alias("score"))
+    return _queried(spark, d).select("query_id", "id", F.round(T.lexical_f(F.col("qn"), F.col("tk"), F.col("h")), 6).alias("score"))
 
 
-@query("Q2_lexical_b", f"WITH {QUERIED} SELECT query_id, doc_id, round({S.lexical_b('qn', 'tk', 'h')}, 6) AS score FROM x")
+@query("Q2_lexical_b", f"WITH {QUERIED} SELECT query_id, id, round({S.lexical_b('qn', 'tk', 'h')}, 6) AS score FROM x")
 def q2(spark, d):
-    return _queried(spark, d).select("query_id", "doc_id", F.round(T.lexical_b(F.col("qn"), F.col("tk"), F.col("h")), 6).alias("score"))
+    return _queried(spark, d).select("query_id", "id", F.round(T.lexical_b(F.col("qn"), F.col("tk"), F.col("h")), 6).alias("score"))
 
 
-@query("Q3_strict", f"WITH {QUERIED} SELECT query_id, doc_id, {S.strict('tk', S.phrases('query'), 'h')} AS passes FROM x")
+@query("Q3_strict", f"WITH {QUERIED} SELECT query_id, id, {S.strict('tk', S.phrases('query'), 'h')} AS passes FROM x")
 def q3(spark, d):
-    return _queried(spark, d).select("query_id", "doc_id", T.strict_match(F.col("tk"), T.phrases("query"), F.col("h")).alias("passes"))
+    return _queried(spark, d).select("query_id", "id", T.strict_match(F.col("tk"), T.phrases("query"), F.col("h")).alias("passes"))
 
 
 def weighted_hits(spark, d) -> DataFrame:
-    """Hits of two query vectors (variants) in collections by source, with weights by language."""
+    """Hits of the query vectors, two (variants) to a query, in collections by source, with weights
+    by language. Only the best 60 of a collection leave a task."""
     weight = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.7).when(F.col("lang") == "fr", 0.3).otherwise(0.04)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), weight.alias("weight"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string"))).alias("url"))
-    near = retrieve.dense_top(points(spark, d), points(spark, d).where("id < 2").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 1_000_000_000).drop("rank")
-    hits = near.join(docs, "id").withColumnRenamed("query_id", "variant").withColumn("query_id", F.lit(0))
-    return ranked(hits, ["variant", "collection"], "score", "id", 60)
+    rows = points(spark, d).join(docs, "id")
+    of = rows.select("id", "collection", "weight", "url")
+    parts = []
+    for block in retrieve.query_blocks(vector_queries(spark, d, EVERY)):
+        near = retrieve.dense_scores(rows, block).join(of, "id").withColumnRenamed("query_id", "q")
+        near = near.withColumn("query_id", F.floor(F.col("q") / (2 * EVERY))).withColumn("variant", (F.col("q") / EVERY % 2).cast("int")).drop("q")
+        parts.append(ranked(near, ["query_id", "variant", "collection"], "score", "id", 60))
+    return reduce(DataFrame.unionByName, parts)
 
 
-HITS = f"""da AS (SELECT q.vec_id AS variant, e.vec_id AS id, {S.cosine('e.embedding', 'q.embedding')} AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 2) q),
-dj AS (SELECT 0 AS query_id, variant, id, score, lang AS collection, CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.7 WHEN 'fr' THEN 0.3 ELSE 0.04 END AS weight, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'u' || (doc_id % 97) END AS url FROM da JOIN documents ON doc_id = id),
-hits AS (SELECT * FROM {S.ranks('dj', 60, 'variant, collection')})"""
+HITS = f"""da AS (SELECT q.vec_id // {2 * EVERY} AS query_id, q.vec_id // {EVERY} % 2 AS variant, e.vec_id AS id, {S.cosine('e.embedding', 'q.embedding')} AS score FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q),
+dj AS (SELECT query_id, variant, id, score, lang AS collection, CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.7 WHEN 'fr' THEN 0.3 ELSE 0.04 END AS weight, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'u' || (doc_id % 97) END AS url FROM da JOIN documents ON doc_id = id),
+hits AS (SELECT * FROM {S.ranks('dj', 60, 'query_id, variant, collection')})"""
 
 
 @query(
     "R5_multi_collection_rrf",
-    f"WITH {HITS}, k AS (SELECT *, CASE WHEN url = '' THEN id::varchar ELSE url END AS key FROM hits WHERE weight >= 0.05), g AS (SELECT query_id, key, round(sum(weight::double / (60 + rank)), 9) AS score, arg_min(id, struct_pack(v := variant, c := collection, r := rank, i := id)) AS id FROM k GROUP BY ALL) SELECT key, score, id, rank FROM {S.ranks('g', 50, id_='key')}",
+    f"WITH {HITS}, k AS (SELECT *, CASE WHEN url = '' THEN id::varchar ELSE url END AS key FROM hits WHERE weight >= 0.05), g AS (SELECT query_id, key, round(sum(weight::double / (60 + rank)), 9) AS score, arg_min(id, struct_pack(v := variant, c := collection, r := rank, i := id)) AS id FROM k GROUP BY ALL) SELECT query_id, key, score, id, rank FROM {S.ranks('g', 50, id_='key')}",
 )
 def r5(spark, d):
-    return retrieve.accumulate(weighted_hits(spark, d), 50).select("key", "score", F.col("hit.id").alias("id"), F.col("rank").cast("long").alias("rank"))
+    return retrieve.accumulate(weighted_hits(spark, d), 50).select("query_id", "key", "score", F.col("hit.id").alias("id"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("R9_dedup_max", f"WITH {HITS}, s AS (SELECT query_id, url, id, round(score * weight, 9) AS score FROM hits) SELECT url, arg_max(id, struct_pack(s := score, i := -id)) AS id, max(score) AS score FROM s GROUP BY url")
+@query("R9_dedup_max", f"WITH {HITS}, s AS (SELECT query_id, url, id, round(score * weight, 6) AS score FROM hits) SELECT query_id, url, arg_max(id, struct_pack(s := score, i := -id)) AS id, max(score) AS score FROM s GROUP BY query_id, url")
 def r9(spark, d):
-    return retrieve.dedup_max(weighted_hits(spark, d)).select("url", "id", "score")
+    return retrieve.dedup_max(weighted_hits(spark, d), 6).select("query_id", "url", "id", "score")
 
 
 @query(
     "R7_quota",
-    f"WITH {HITS}, o AS (SELECT 0 AS query_id, collection AS source, id, score FROM hits WHERE variant = 0), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS r FROM o), k AS (SELECT * FROM n WHERE r <= CASE source WHEN 'en' THEN 33 WHEN 'de' THEN 6 WHEN 'fr' THEN 10 ELSE 0 END) SELECT source, id, score, rank FROM {S.ranks('k', 50)}",
+    f"WITH {HITS}, o AS (SELECT query_id, collection AS source, id, score FROM hits WHERE variant = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS r FROM o), k AS (SELECT * FROM n WHERE r <= CASE source WHEN 'en' THEN 33 WHEN 'de' THEN 6 WHEN 'fr' THEN 10 ELSE 0 END) SELECT query_id, source, id, score, rank FROM {S.ranks('k', 50)}",
 )
 def r7(spark, d):
     hits = weighted_hits(spark, d).where("variant = 0").select("query_id", F.col("collection").alias("source"), "id", "score")
-    return retrieve.quota(hits, {"en": 0.50, "de": 0.10, "fr": 0.15}, 50).select("source", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieve.quota(hits, {"en": 0.50, "de": 0.10, "fr": 0.15}, 50).select("query_id", "source", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
     "R8_discount_merge",
-    f"WITH {HITS}, j AS (SELECT h.variant, h.url, substr(d.text, 1, 80) AS t, h.id, h.score, CASE WHEN variant = 1 THEN 0.95 * h.score ELSE h.score END AS p FROM hits h JOIN documents d ON d.doc_id = h.id) SELECT url, md5(t) AS t, id, score FROM (SELECT *, row_number() OVER (PARTITION BY url, t ORDER BY p DESC, variant, id) AS n FROM j) WHERE n = 1",
+    f"WITH {HITS}, j AS (SELECT h.query_id, h.variant, h.url, substr(d.text, 1, 80) AS t, h.id, h.score, CASE WHEN variant = 1 THEN 0.95 * h.score ELSE h.score END AS p FROM hits h JOIN documents d ON d.doc_id = h.id) SELECT query_id, url, md5(t) AS t, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url, t ORDER BY p DESC, variant, id) AS n FROM j) WHERE n = 1",
 )
 def r8(spark, d):
     hits = weighted_hits(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     lists = [hits.where(F.col("variant") == v).select("query_id", "url", "text", "id", "score") for v in (0, 1)]
-    return retrieve.challenge(*lists).select("url", F.md5(F.substring("text", 1, 80)).alias("t"), "id", "score")
+    return retrieve.challenge(*lists).select("query_id", "url", F.md5(F.substring("text", 1, 80)).alias("t"), "id", "score")
 
 
 KIND = f"(CASE WHEN list_has_any(regexp_extract_all(lower(query), '[a-zA-ZäöüÄÖÜß]{{3,}}'), {S.array(TIMETABLE_SIGNALS)}) THEN 'timetable' WHEN {' OR '.join(f'contains(lower(query), {S.text(w)})' for w in STUDENT_BODY_SIGNALS)} THEN 'asta' ELSE 'general' END)"
@@ -235,7 +251,7 @@ def r12(spark, d):
     return with_fallback(e, "M99", "M1")
 
 
-SIBLINGS = """WITH l AS (SELECT event_id AS id, user_id AS program, ts::date::varchar AS day, event_type AS text FROM events), f AS (SELECT * FROM l WHERE id % 25 = 0),
+SIBLINGS = """WITH l AS (SELECT event_id AS id, user_id AS program, ts::date::varchar AS day, event_type AS text FROM events), f AS (SELECT * FROM l WHERE id % 50 = 0),
 n AS (SELECT f.id, l.id AS other, l.text, row_number() OVER (PARTITION BY f.id ORDER BY l.id) AS n FROM f JOIN l ON l.program = f.program AND l.day = f.day AND l.id <> f.id)
 SELECT id, string_agg(text, '; ' ORDER BY n) AS context FROM n WHERE n <= 10 GROUP BY id"""
 
@@ -243,7 +259,7 @@ SELECT id, string_agg(text, '; ' ORDER BY n) AS context FROM n WHERE n <= 10 GRO
 @query("R13_siblings", SIBLINGS)
 def r13(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("program"), F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("text"))
-    first = rows.where(F.col("id") % 25 == 0).select(F.lit(0).alias("query_id"), "id", "program", "day")
+    first = rows.where(F.col("id") % EVERY == 0).select(F.lit(0).alias("query_id"), "id", "program", "day")
     return retrieve.siblings(first, rows).select("id", "context")
 
 
@@ -385,13 +401,13 @@ def t37(spark, d):
     return table(spark, d, "pages").select("page_id", T.url_class(url).alias("kind"))
 
 
-EVAL = f"""WITH {RESULTS}, rk AS (SELECT * FROM {S.ranks('res', 3)}), c AS (SELECT query_id, 'c' || query_id % 2 AS category, CASE WHEN query_id % 2 = 0 THEN ['src1', 'SRC2'] END AS u, [upper(string_split(text, ' ')[1]), 'zzz'] AS k FROM qs),
+EVAL = f"""WITH {RESULTS}, rk AS (SELECT * FROM {S.ranks('res', 3)}), c AS (SELECT query_id, 'c' || query_id // {EVERY} % 2 AS category, CASE WHEN query_id // {EVERY} % 2 = 0 THEN ['src1', 'SRC2'] END AS u, [upper(string_split(text, ' ')[1]), 'zzz'] AS k FROM qs),
 m AS (SELECT c.query_id, category, (u IS NULL OR len(list_filter(u, lambda x: contains(lower(url), lower(x)))) > 0) AND len(list_filter(k, lambda x: contains(lower(text), lower(x)))) > 0 AS ok FROM c LEFT JOIN rk ON rk.query_id = c.query_id),
 e AS (SELECT query_id, category, coalesce(bool_or(ok), false) AS passed FROM m GROUP BY ALL)"""
 
 
 def evaluated(spark, d) -> DataFrame:
-    cases = text_queries(spark, d, 5).select("query_id", F.concat(F.lit("c"), (F.col("query_id") % 2).cast("string")).alias("category"), F.when(F.col("query_id") % 2 == 0, F.array(F.lit("src1"), F.lit("SRC2"))).alias("expected_url_contains"), F.array(F.upper(F.split("text", " ")[0]), F.lit("zzz")).alias("expected_keywords"), F.lit(None).cast("string").alias("expected_type"))
+    cases = text_queries(spark, d).select("query_id", F.concat(F.lit("c"), F.floor(F.col("query_id") / EVERY % 2).cast("string")).alias("category"), F.when(F.floor(F.col("query_id") / EVERY % 2) == 0, F.array(F.lit("src1"), F.lit("SRC2"))).alias("expected_url_contains"), F.array(F.upper(F.split("text", " ")[0]), F.lit("zzz")).alias("expected_keywords"), F.lit(None).cast("string").alias("expected_type"))
     return quality.evaluate(cases, _ranked(spark, d))
 
 
@@ -538,15 +554,16 @@ def k10(spark, d):
     return docs.unionByName(pages).select("id", "source", "title", "url", F.length("content").cast("long").alias("n"))
 
 
-GRAPH = "e AS (SELECT DISTINCT l.url AS src, r.url AS dst FROM pages l JOIN pages r ON r.page_id IN ((l.page_id * 7 + 3) % 50, (l.page_id + 11) % 50))"
+GRAPH = "n AS (SELECT count(*) AS n FROM pages), e AS (SELECT DISTINCT l.url AS src, r.url AS dst FROM (SELECT url, unnest([(page_id * 7 + 3) % n, (page_id + 11) % n]) AS t FROM pages CROSS JOIN n) l JOIN pages r ON r.page_id = l.t)"
 
 
-@query("S1_bfs", f"WITH RECURSIVE {GRAPH}, w(url, depth) AS (SELECT url, 0 FROM pages WHERE page_id = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 4) SELECT url, min(depth) AS depth FROM w GROUP BY url")
+@query("S1_bfs", f"WITH RECURSIVE {GRAPH}, w(url, depth) AS (SELECT url, 0 FROM pages WHERE page_id = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 6) SELECT url, min(depth) AS depth FROM w GROUP BY url")
 def s1(spark, d):
     p = table(spark, d, "pages").select("page_id", "url")
-    to = F.explode(F.array((F.col("page_id") * 7 + 3) % 50, (F.col("page_id") + 11) % 50))
+    n = F.lit(p.count())
+    to = F.explode(F.array((F.col("page_id") * 7 + 3) % n, (F.col("page_id") + 11) % n))
     links = p.select(F.col("url").alias("src"), to.alias("to")).join(p.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst").distinct()
-    return crawl.bfs(p.where("page_id = 0").select("url"), links, 4)
+    return crawl.bfs(p.where("page_id = 0").select("url"), links, 6)
 
 
 # --- streaming -------------------------------------------------------------------------------

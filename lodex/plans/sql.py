@@ -60,7 +60,7 @@ BM25_WEIGHT = "tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * ln(1 + (
 def bm25(queries: str) -> str:
     """Scores of documents for a table of (query_id, text)."""
     return f"""wanted AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({tokens('text')}) AS term FROM {queries})),
-bm AS (SELECT query_id, id, round(sum({BM25_WEIGHT}), 9) AS score FROM posts JOIN wanted USING (term) JOIN lens USING (id) JOIN dfs USING (term) CROSS JOIN stats GROUP BY query_id, id)"""
+bm AS (SELECT query_id, id, round(sum({BM25_WEIGHT}), 4) AS score FROM posts JOIN wanted USING (term) JOIN lens USING (id) JOIN dfs USING (term) CROSS JOIN stats GROUP BY query_id, id)"""
 
 
 def ranks(source: str, k: int | None = None, by: str = "query_id", score: str = "score", id_: str = "id") -> str:

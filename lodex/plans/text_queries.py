@@ -16,7 +16,7 @@ from .registry import query, table
 
 @query("T1_normalize", f"SELECT doc_id, {S.norm('text')} AS norm FROM documents")
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.normalize("text", with_nfkc=True).alias("norm"))
+    return table(spark, d, "documents").select("doc_id", T.normalize("text").alias("norm"))
 
 
 @query("T2_tokenize", f"SELECT doc_id, len({S.tokens('text')}) AS n_tokens, array_to_string({S.tokens('text')}, ' ') AS tokens FROM documents")
@@ -36,7 +36,7 @@ def t3(spark, d):
 
 @query("T40_ngrams", f"WITH t AS (SELECT doc_id, {S.tokens('text')} AS tk FROM documents) SELECT doc_id, len({S.ngrams('tk', 2)}) AS n2, len({S.ngrams('tk', 3)}) AS n3, md5(array_to_string(list_sort({S.ngrams('tk', 2)}), '|')) AS h2 FROM t")
 def t40(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.tokenize("text").alias("tk"))
+    rows = T.held(table(spark, d, "documents").select("doc_id", "text"), tk=T.tokenize("text"))
     rows = rows.select("doc_id", T.ngrams(F.col("tk"), 2).alias("two"), T.ngrams(F.col("tk"), 3).alias("three"))
     two, three = F.col("two"), F.col("three")
     return rows.select("doc_id", F.size(two).cast("long").alias("n2"), F.size(three).cast("long").alias("n3"), F.md5(F.array_join(F.array_sort(two), "|")).alias("h2"))
@@ -287,8 +287,9 @@ MD5_BUCKET = "list_reduce([0::bigint] || list_transform([0, 1, 2, 3], lambda i:
 
 @query("V4_hashed_tf", f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all({S.norm('text')}, '[a-zA-Z0-9äöüÄÖÜß]{{2,}}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL) SELECT doc_id, {MD5_BUCKET} AS bucket, sum(tf)::bigint AS tf FROM c GROUP BY ALL")
 def v4(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(T.tokenize("text", ())).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return rows.groupBy("doc_id", T.md5_bucket(F.col("term")).alias("bucket")).agg(F.sum("tf").alias("tf"))
+    from ..sources.store import hashed_terms
+
+    return hashed_terms(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), F.col("index").alias("bucket"), F.col("value").alias("tf"))
 
 
 @query("A7_term_freq", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY ALL")

@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import md5_bucket, point_id, words_of, normalize
+from ..functions.text import md5_bucket, normalize, point_id, words_of
+from ..operators.retrieve import TermIndex
 
 
 class Store:
-    """K1-K5. A collection is a folder; writes go to a new version folder that a one-row pointer
-    table names, so readers never see a half-written collection."""
+    """K1-K5. A collection is a folder; a write goes to a new version folder, and then a pointer, an
+    empty file named by a rising number and the version, is created beside it in one step. The
+    pointer with the greatest number counts, so readers never see a half-written collection, and a
+    crash leaves the old one. The version before stays for readers that have it open; older ones go."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,20 +24,36 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointers, the current one last."""
+        p, fs = self._fs(f"{self.root}/{name}/_versions")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
     def exists(self, name: str) -> bool:
-        p, fs = self._fs(f"{self.root}/{name}/_current")
-        return fs.exists(p)
+        return bool(self._pointers(name))
 
     def names(self) -> list[str]:
         p, fs = self._fs(self.root)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if self.exists(s.getPath().getName())) if fs.exists(p) else []
 
     def _version(self, name: str) -> str:
-        return self.spark.read.text(f"{self.root}/{name}/_current").first().value
+        return self._pointers(name)[-1].split("-")[1]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/{self._version(name)}")
 
+    def terms(self, name: str) -> TermIndex:
+        """The collection's term index, stored beside its version when first asked for."""
+        path = f"{self.root}/{name}/{self._version(name)}-terms"
+        p, fs = self._fs(f"{path}/statistics/_SUCCESS")
+        return TermIndex.open(self.spark, path) if fs.exists(p) else TermIndex.build(self.read(name).select("id", "text"), path)
+
+    def dimension(self, name: str) -> int | None:
+        """V7: the length of the collection's vectors; null without any."""
+        points = self.read(name)
+        row = points.where("embedding is not null").select(F.size("embedding").alias("n")).first() if "embedding" in points.columns else None
+        return row.n if row else None
+
     def recreate(self, name: str, points: DataFrame, dim: int | None = None) -> int:
         """K1, K2: replace the collection; with ``dim`` every vector must have this length."""
         if dim is not None and "embedding" in points.columns:
@@ -42,7 +61,15 @@ class Store:
             points = points.withColumn("embedding", checked)
         version = uuid.uuid4().hex
         points.write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.range(1).select(F.lit(version).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/_current")
+        before = self._pointers(name)
+        number = int(before[-1].split("-")[0]) + 1 if before else 0
+        p, fs = self._fs(f"{self.root}/{name}/_versions/{number:012d}-{version}")
+        if not fs.createNewFile(p):
+            raise RuntimeError(f"{name} was written by another at the same time")
+        for old in before[:-1]:
+            for path in (f"{old.split('-')[1]}", f"{old.split('-')[1]}-terms", f"_versions/{old}"):
+                q, _ = self._fs(f"{self.root}/{name}/{path}")
+                fs.delete(q, True)
         return self.read(name).count()
 
     def upsert(self, name: str, points: DataFrame, key: str = "id") -> int:
@@ -93,15 +120,19 @@ def coalesced(df: DataFrame, source: str) -> DataFrame:
     return df.select(point_id(key).alias("id"), title.alias("title"), content.alias("content"), url.alias("url"), F.lit(source).alias("source"))
 
 
-def hashed_terms(text: Column) -> Column:
-    """V4: token counts by md5 bucket, as an array of (index, value) in index order."""
-    hashed = F.transform(words_of(normalize(text), ()), lambda t: md5_bucket(t))
-    return F.array_sort(F.transform(F.array_distinct(hashed), lambda i: F.struct(i.alias("index"), F.size(F.filter(hashed, lambda j: j == i)).alias("value"))))
+def hashed_terms(points: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """V4: (key, index, value), the token counts of each row by md5 bucket. Terms are counted before
+    they are hashed."""
+    counted = points.select(key, F.explode(words_of(normalize(text), ())).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(key, md5_bucket(F.col("term")).alias("index")).agg(F.sum("n").alias("value"))
 
 
-def with_hashed_sparse(points: DataFrame, text: str = "text") -> DataFrame:
-    rows = points.withColumn("_s", hashed_terms(F.coalesce(F.col(text), F.lit(""))))
-    return rows.withColumn("sparse_indices", F.transform("_s", lambda x: x.index)).withColumn("sparse_values", F.transform("_s", lambda x: x.value.cast("float"))).drop("_s")
+def with_hashed_sparse(points: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """Rows, by unique ``key``, with sparse_indices in order and sparse_values; empty without tokens."""
+    pairs = hashed_terms(points, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("_s"))
+    rows = points.join(pairs, key, "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<index:bigint,value:bigint>>")))
+    rows = rows.withColumn("sparse_indices", F.transform("_s", lambda x: x.index)).withColumn("sparse_values", F.transform("_s", lambda x: x.value.cast("float")))
+    return rows.select(*points.columns, "sparse_indices", "sparse_values")
 
 
 def seed(spark: SparkSession, rows: list[tuple[str, str, str]], offset: int = 5000) -> DataFrame:

@@ -63,8 +63,8 @@ def spec_lexical_f(q, text, url):
 def test_lexical_and_strict(spark, q):
     rows = [("Der Plan der Prüfung", "https://x/plan"), ("Informatik Plan genau das", ""), ("", ""), ("eins zwei eins", "u")]
     df = spark.createDataFrame(rows, "text string, url string").withColumn("q", F.lit(q))
-    hay = T.haystack("text", "url")
-    got = df.select(T.lexical_f(T.normalize("q"), T.tokenize("q"), hay).alias("s"), T.strict_match(T.tokenize("q"), T.phrases("q"), hay).alias("m")).collect()
+    wide = T.held(df, n=T.normalize("q"), t=T.tokenize("q"), p=T.phrases("q"), h=T.haystack("text", "url"))
+    got = wide.select(T.lexical_f(F.col("n"), F.col("t"), F.col("h")).alias("s"), T.strict_match(F.col("t"), F.col("p"), F.col("h")).alias("m")).collect()
     for r, (text, url) in zip(got, rows):
         h, core = norm(text) + " " + norm(url), [t for t in toks(q) if len(t) >= 4]
         assert abs(r.s - spec_lexical_f(q, text, url)) < 1e-12
@@ -295,3 +295,83 @@ def test_core_does_not_need_the_training_operators():
 
     code = "import sys; sys.modules['lodex.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') or n == 'pipeline']; print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout.split()[-1]) > 60
+
+
+def test_tokens_are_of_compatible_characters(spark):
+    """Ligatures, full-width letters and no-break spaces, as T1, T2, T3, Q1 and the index see them."""
+    from lodex.functions import text as T
+    from lodex.operators.retrieve import TermIndex
+
+    raw = 'ﬁnale Ｗｉｄｅ ﬂow "Oﬃce  Ｈｏｕｒｓ"'
+    df = spark.createDataFrame([(1, raw)], "id long, text string")
+    got = df.select(T.normalize("text").alias("n"), T.tokenize("text").alias("t"), T.phrases("text").alias("p"), T.haystack("text", F.lit("")).alias("h")).first()
+    assert got.n == 'finale wide flow "office hours"' and got.p == ["office hours"] and got.t == ["finale", "wide", "flow", "office", "hours"] and got.h.startswith("finale wide")
+    hits = TermIndex.build(df).top(spark.createDataFrame([("q", "finale flow")], "query_id string, text string"), 5).collect()
+    assert [h.id for h in hits] == [1]
+
+
+@pytest.mark.parametrize("split", ["windows", "sentences"])
+@pytest.mark.parametrize("overlap", [30, 40, 100])
+def test_splitters_always_get_on(split, overlap):
+    from lodex.functions import splitters
+
+    text = "word and more words. " * 20
+    pieces = getattr(splitters, split)(text, 40, overlap)
+    assert 0 < len(pieces) <= len(text) and all(p in text for p in pieces)
+
+
+def test_hashed_terms_and_sparse_vectors(spark):
+    from lodex.sources import store
+
+    rows = spark.createDataFrame([(1, "aa bb aa"), (2, ""), (3, None)], "id long, text string")
+    got = {r.id: r for r in store.with_hashed_sparse(rows).collect()}
+    assert len(got[1].sparse_indices) == 2 and sorted(got[1].sparse_values) == [1.0, 2.0] and got[1].sparse_indices == sorted(got[1].sparse_indices)
+    assert got[2].sparse_indices == got[3].sparse_indices == [] and got[1].text == "aa bb aa"
+
+
+def test_store_pointer_changes_in_one_step(spark, tmp_path):
+    from lodex.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(1, "alpha beta", [1.0, 0.0]), (2, "beta", [0.0, 1.0])], "id long, text string, embedding array<double>")
+    assert not store.exists("c") and store.recreate("c", rows) == 2 and store.dimension("c") == 2
+    open_ = store.read("c")
+    terms = store.terms("c")
+    assert terms.n == 2 and store.terms("c").path == terms.path
+    assert store.recreate("c", rows.where("id = 1")) == 1
+    assert open_.count() == 2 and store.read("c").count() == 1 and store.terms("c").n == 1
+    store.recreate("c", rows)
+    store.recreate("c", rows)
+    assert len(store._pointers("c")) == 2 and store.names() == ["c"] and store.read("c").count() == 2
+
+
+def test_collections_without_text_or_vectors(spark, tmp_path):
+    from lodex.plans.search import Collection
+    from lodex.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.recreate("dense", spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<double>"))
+    store.recreate("sparse", spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id long, text string"))
+    store.recreate("none", spark.createDataFrame([(1, "x")], "id long, url string"))
+    queries = spark.createDataFrame([("q", "alpha", [0.0, 1.0])], "query_id string, text string, qvec array<double>")
+    assert [r.id for r in Collection.of(store, "dense").hybrid(queries, 1).collect()] == [2]
+    assert [r.id for r in Collection.of(store, "sparse").hybrid(queries, 1).collect()] == [1]
+    assert Collection.of(store, "none").hybrid(queries, 1).count() == 0
+
+
+def test_index_reads_only_wanted_terms(spark):
+    from lodex.operators.retrieve import TermIndex
+
+    own = TermIndex.build(spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, text string"))
+    plan = own.top(spark.createDataFrame([("q", "word7")], "query_id string, text string"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(term,word7)" in plan or "In(term" in plan
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    from lodex.operators import retrieve
+
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vec array<double>")
+    queries = points.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    whole = sorted(map(str, retrieve.dense_top(points, queries, 3).collect()))
+    monkeypatch.setattr(retrieve.query_blocks, "__defaults__", (4,))
+    assert sorted(map(str, retrieve.dense_top(points, queries, 3).collect())) == whole
