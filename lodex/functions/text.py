@@ -210,7 +210,13 @@ def without_thinking(answer: Column) -> Column:
     """Model answers without reasoning, quotes and the marker for unknown."""
     out = F.trim(F.regexp_replace(answer, r"(?s)<think>.*?</think>", ""))
     out = F.trim(F.regexp_replace(out, r"^[\"']+|[\"']+$", ""))
-    return F.when(out.contains("UNBEKANNT"), "").otherwise(out)
+    return F.when(F.upper(out).contains("UNBEKANNT"), "").otherwise(out)
+
+
+def title_case(text: Column) -> Column:
+    """A letter after anything but a letter is a capital, any other letter is small."""
+    signs = F.split(text, "")
+    return F.array_join(F.transform(signs, lambda c, i: F.when((i > 0) & F.get(signs, i - 1).rlike(r"\p{L}"), F.lower(c)).otherwise(F.upper(c))), "")
 
 
 def highlight(text: Column, query: str) -> Column:

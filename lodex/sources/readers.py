@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dom
 from ..operators import timetable
+from ..operators.serve import fetched
 
 DOCUMENT = "url string, title string, h1 string, content string, sections array<struct<heading:string,text:string>>, type string, metadata map<string,string>"
 PAGE = "url string, html string"
@@ -46,11 +49,49 @@ def url_list(spark: SparkSession, urls: list[str], pages: DataFrame, kind: str =
     return pages_to_documents(pages.join(F.broadcast(wanted) if len(urls) <= 100_000 else wanted, "url", "left_semi"), kind)
 
 
-def folder(spark: SparkSession, path: str, least: int = 50, pattern: str = "*.{txt,md}") -> DataFrame:
-    """Text files below ``path`` with more than ``least`` characters; the title is the file's
-    name with _ and - as spaces."""
+#: Reads a file's bytes; null or an error if it can't.
+Extractor = Callable[[bytes], str | None]
+
+
+def cascade(extractors: list[Extractor], least: int = 100) -> Extractor:
+    """The text of the first extractor that gives more than ``least`` characters, else the longest."""
+
+    def run(data: bytes) -> str | None:
+        best = None
+        for extract in extractors:
+            try:
+                text = (extract(data) or "").strip()
+            except Exception:  # a file that one library can't read goes to the next
+                continue
+            if len(text) > least:
+                return text
+            best = max(best or "", text, key=len)
+        return best
+
+    return run
+
+
+def binary_texts(spark: SparkSession, path: str, extractors: dict[str, Extractor]) -> DataFrame:
+    """(url, content) of the files below ``path`` whose ending has an extractor; null content
+    where it fails. One file at a time is in a worker's memory."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extractors) + "}").load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [cascade([extractors[url.rsplit(".", 1)[-1]]], 0)(data) for url, data in zip(batch["path"], batch["content"])]
+            yield pd.DataFrame({"url": batch["path"], "content": texts})
+
+    return files.select("path", "content").mapInPandas(run, "url string, content string")
+
+
+def folder(spark: SparkSession, path: str, least: int = 50, pattern: str = "*.{txt,md}", extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """Text files below ``path``, and files whose ending has an extractor, with more than
+    ``least`` characters; the title is the file's name with _ and - as spaces."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("url"), F.trim("value").alias("content")).where(F.length("content") > least)
+    rows = rows.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("content"))
+    if extractors:
+        rows = rows.unionByName(binary_texts(spark, path, extractors))
+    rows = rows.select("url", F.trim("content").alias("content")).where(F.length("content") > least)
     name = F.regexp_replace(F.regexp_extract("url", r"([^/]+)$", 1), r"\.[^.]*$", "")
     title = F.trim(F.regexp_replace(F.url_decode(name), "[_-]", " "))
     section = F.array(F.struct(F.lit("Allgemein").alias("heading"), F.col("content").alias("text")))
@@ -73,6 +114,27 @@ def planning_groups(api: DataFrame) -> DataFrame:
     return api.select("org", F.explode(F.flatten(parsed)).alias("g")).select("org", F.col("g.id").alias("pg_id"), F.col("g.shortname").alias("name")).where("pg_id is not null")
 
 
+def timetable_source(spark: SparkSession, get: Callable[[str], str], base_url: str, unit: int = 50, tries: int = 3) -> DataFrame:
+    """The timetable documents of a planning service. ``get`` asks for a URL; the groups, few,
+    are asked for on the driver and the calendars in tasks, one request for each planning group."""
+    base = base_url.rstrip("/")
+
+    def ask(query: str) -> str | None:
+        return fetched(get, f"{base}/{query}", tries)
+
+    organisations = json.loads(ask(f"json?m=getogs&pu={unit}") or "[]")
+    answers = [(str(o["id"]), ask(f"json?m=getPgsExt&pu={unit}&og={o['id']}")) for o in organisations if isinstance(o, dict)]
+    groups = planning_groups(spark.createDataFrame(answers, "org string, json string"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [fetched(get, f"{base}/ical?lan=de&puid={unit}&type=pg&pgid={g}", tries) for g in batch["pg_id"]]
+            yield pd.DataFrame({"program": batch["name"], "pg_id": batch["pg_id"], "ical": texts})
+
+    asked = groups.dropDuplicates(["pg_id"]).repartition("pg_id").mapInPandas(run, "program string, pg_id int, ical string")
+    return calendars(asked.where("ical is not null"), base)
+
+
 @dataclass
 class Source:
     name: str

@@ -13,7 +13,7 @@ from lodex.functions import dom, splitters
 from lodex.functions import text as T
 from lodex.functions.constants import STOPWORDS
 from lodex.functions.encode import encode, encode_query, hashed_embedding
-from lodex.operators import chunk, crawl, fuzzy, present, quality, rank, retrieve, timetable
+from lodex.operators import chunk, crawl, fuzzy, present, quality, rank, retrieve, serve, timetable
 from lodex.plans.ingest import Pipeline
 from lodex.plans.search import SearchEngine, ServiceSearch
 from lodex.sources import readers
@@ -375,3 +375,75 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     whole = sorted(map(str, retrieve.dense_top(points, queries, 3).collect()))
     monkeypatch.setattr(retrieve.query_blocks, "__defaults__", (4,))
     assert sorted(map(str, retrieve.dense_top(points, queries, 3).collect())) == whole
+
+
+def test_result_cache_gives_up_the_oldest():
+    cache = serve.ResultCache(2)
+    made = []
+    for key in "ababcab":
+        cache.get(key, lambda key=key: made.append(key) or key)
+    assert made == ["a", "b", "c", "a", "b"] and len(cache) == 2
+
+
+def test_providers_and_models():
+    def fails():
+        raise OSError
+
+    assert [serve.resolve_provider(*x) for x in [("none", fails), ("auto", list), ("auto", fails, "k"), ("auto", fails)]] == ["none", "ollama", "openai", "none"]
+    assert serve.models("openai", lambda: ["gpt-b", "x", "gpt-a", "gpt-a"], "own") == {"models": ["gpt-a", "gpt-b"], "provider": "openai"}
+    assert serve.models("ollama", fails, "own") == {"models": ["own"], "provider": "ollama", "fallback": True}
+    assert serve.models("none", fails, "own")["models"] == [] and serve.models("openai", lambda: ["x"], "own")["models"] == ["gpt-4o-mini"]
+
+
+def test_fetch_tries_again():
+    pauses, answers = [], [OSError(), OSError(), "text"]
+
+    def get(url):
+        a = answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    assert serve.fetched(get, "u", wait=pauses.append) == "text" and pauses == [1.0, 1.5]
+    answers[:] = [OSError()] * 3
+    assert serve.fetched(get, "u", wait=pauses.append) is None
+
+
+def test_groups_of_jobs(spark):
+    out = serve.run_groups(spark, {"a": [lambda s: s.range(3).count(), lambda s: s.range(4).count()], "b": [lambda s: s.range(5).count()]})
+    assert out == {"a": [3, 4], "b": [5]}
+
+
+def test_folder_with_extractors(spark, tmp_path):
+    (tmp_path / "below").mkdir()
+    (tmp_path / "one_file.txt").write_text("t" * 60)
+    (tmp_path / "below" / "two-file.pdf").write_bytes(b"%" + b"p" * 200)
+    (tmp_path / "bad.pdf").write_bytes(b"x")
+    (tmp_path / "none.docx").write_bytes(b"d" * 99)
+
+    def strict(data):
+        if data[:1] != b"%":
+            raise ValueError
+        return data[1:].decode()
+
+    rows = readers.folder(spark, str(tmp_path), extractors={"pdf": readers.cascade([lambda b: "short", strict])}).collect()
+    assert {(r.title, r.content) for r in rows} == {("one file", "t" * 60), ("two file", "p" * 200)}
+
+
+def test_timetable_service(spark):
+    def get(url):
+        if "getogs" in url:
+            return '[{"id": 1}, {"id": 2}]'
+        if "getPgsExt" in url:
+            return '[[{"id": 7, "shortname": "INF"}]]' if url.endswith("og=1") else '[[{"id": 7, "shortname": "INF"}, {"id": 8, "shortname": "MB"}]]'
+        if url.endswith("=8"):
+            raise OSError
+        return "BEGIN:VCALENDAR\nBEGIN:VEVENT\nSUMMARY:Logik\nDTSTART:20240108T080000\nDTEND:20240108T093000\nLOCATION:A1\nEND:VEVENT\nEND:VCALENDAR"
+
+    rows = readers.timetable_source(spark, get, "https://t.example/splan/", tries=1).collect()
+    assert [(r.title, r.type, r.url) for r in rows] == [("Logik", "timetable", "https://t.example/splan/ical?lan=de&puid=50&type=pg&pgid=7")]
+
+
+def test_title_case(spark):
+    got = spark.createDataFrame([("o'neil-SMITH 3d",), ("",), (None,)], "q string").select(T.title_case(F.col("q"))).collect()
+    assert [r[0] for r in got] == ["O'Neil-Smith 3D", "", None]
