@@ -199,14 +199,38 @@ def t25(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(splitter(recursive, 800, 120)(F.col("text"))).alias("chunk_index", "piece"))
 
 
-@query("T27_window_chunks")
+def last_in(part: str, sign: str) -> str:
+    """SQL: the place before the last ``sign`` in ``part``, from 0; null without one."""
+    return f"CASE WHEN contains({part}, {sign}) THEN length({part}) - length({sign}) - instr(reverse({part}), reverse({sign})) + 1 END"
+
+
+def walk_sql(text: str, stop: str, size: int, overlap: int, go_on: str) -> str:
+    """SQL of a splitter that walks over ``text``: ``stop`` gives a piece's end from x (the text) and spot."""
+    step = f"SELECT doc_id, x, i, spot, {stop} AS stop FROM s"
+    return (
+        f"WITH RECURSIVE t AS (SELECT doc_id, {text} AS x FROM documents), w AS (SELECT doc_id, x, i, spot, stop FROM (WITH s AS (SELECT doc_id, x, 0::bigint AS i, 0::bigint AS spot FROM t WHERE length(x) > {size}) {step}) "
+        f"UNION ALL SELECT doc_id, x, i, spot, stop FROM (WITH s AS (SELECT doc_id, x, i + 1 AS i, greatest(spot + 1, stop - {overlap}) AS spot FROM w WHERE greatest(spot + 1, stop - {overlap}) < {go_on}) {step})), "
+        "p AS (SELECT doc_id, i, regexp_replace(substr(x, spot + 1, stop - spot), '^\\s+|\\s+$', '', 'g') AS piece FROM w "
+        f"UNION ALL SELECT doc_id, 0, x FROM t WHERE length(x) <= {size} AND regexp_matches(x, '\\S'))"
+    )
+
+
+SPACE_STOP = f"CASE WHEN spot + 1500 < length(x) AND {last_in('substr(x, spot + 1, 1500)', repr(' '))} > 750 THEN spot + {last_in('substr(x, spot + 1, 1500)', repr(' '))} ELSE spot + 1500 END"
+
+
+@query("T27_window_chunks", walk_sql("trim(regexp_replace(text, '\\s+', ' ', 'g'))", SPACE_STOP, 1500, 200, "length(x) - 200") + " SELECT doc_id, i AS chunk_index, piece FROM p")
 def t27(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(splitter(windows, 1500, 200)(F.col("text"))).alias("chunk_index", "piece"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(splitter(windows, 1500, 200)(F.col("text"))).alias("chunk_index", "piece"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "piece")
+
 
+SENTENCE_STOP = "CASE WHEN spot + 800 < length(x) THEN coalesce(" + ", ".join(f"spot + 400 + length({e}) + {last_in('substr(x, spot + 401, 400)', e)}" for e in ("'. '", "'! '", "'? '", "chr(10)", "' '")) + ", spot + 800) ELSE spot + 800 END"
 
-@query("T28_sentence_chunks")
+
+@query("T28_sentence_chunks", walk_sql("text", SENTENCE_STOP, 800, 150, "length(x)") + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, piece FROM p WHERE piece <> ''")
 def t28(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(splitter(sentences, 800, 150)(F.col("text"))).alias("chunk_index", "piece"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(splitter(sentences, 800, 150)(F.col("text"))).alias("chunk_index", "piece"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "piece")
 
 
 @query("T45_part_chunks")
