@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, html, language, neighbours, packing, pii, sharding, simhash, toxicity
+from . import bitpack, decontaminate, divergence, fertility, html, language, neighbours, packing, pii, sharding, simhash, sql, toxicity, variants
 from .common import read
 
 
@@ -52,5 +52,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_pii": op10_pii}
-ORACLE_SQL: dict[str, str] = {}
+def op11_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(read(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_html": op2_html, "op3_packing": op3_packing, "op9_bitpack": op9_bitpack, "op4_decontaminate": op4_decontaminate, "op5_sharding": op5_sharding, "op6_neighbours": op6_neighbours, "op7_language": op7_language, "op8_simhash": op8_simhash, "op10_pii": op10_pii, "op11_fertility": op11_fertility, "op12_divergence": op12_divergence, "op13_variants": op13_variants}
+ORACLE_SQL: dict[str, str] = {"op12_divergence": sql.DIVERGENCE, "op13_variants": sql.VARIANTS}
