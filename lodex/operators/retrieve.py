@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BM25_B, BM25_K1, CHALLENGER_DISCOUNT, DEDUP_PREFIX, LEAST_WEIGHT, RRF_K, STOPWORDS
 from ..functions.text import normalize, runs_of
-from ..scratch import folder
+from ..scratch import delete, folder
 
 
 def doubles(vector: Column) -> Column:
@@ -64,55 +64,106 @@ def postings(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
 
 
 class TermIndex:
-    """Three stored tables of a collection: postings (term, id, tf, dl) in files by hash of the term
-    and sorted by it, document frequencies (term, df), and one row of statistics (n, avgdl). A query
-    reads its own terms' postings; nothing is counted again."""
-
-    def __init__(self, spark: SparkSession, path: str, k1: float = BM25_K1, b: float = BM25_B, idf: bool = True):
-        self.path, self.k1, self.b, self.idf = path, k1, b, idf
-        self.terms = spark.read.parquet(f"{path}/postings")
+    """Three stored tables of a collection. blocks (term, block, most, postings [(id, tf, dl)]): a block is
+    the term's postings in one small group of documents, the same group for every term; ``most`` is the
+    greatest weight in it but for the term's idf. Files are cut by ranges of (term, block), so a term's
+    postings are found by the files' statistics and a common term lies in many of them. frequency
+    (term, df), and one row of statistics. Nothing is counted again by a query."""
+
+    #: Documents in a block, blocks that a pruned search reads at first, terms of a query that it is made for.
+    BLOCK, FIRST, SHORT = 128, 4, 32
+
+    def __init__(self, spark: SparkSession, path: str, idf: bool = True):
+        self.spark, self.path, self.idf = spark, path, idf
+        self.blocks = spark.read.parquet(f"{path}/blocks")
         self.frequency = spark.read.parquet(f"{path}/frequency")
         row = spark.read.parquet(f"{path}/statistics").first()
-        self.n, self.avgdl = row.n, row.avgdl or 1.0
+        self.n, self.avgdl, self.k1, self.b = row.n, row.avgdl or 1.0, row.k1, row.b
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> TermIndex:
         return cls(spark, path, **options)
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str | None = None, **options) -> TermIndex:
+    def build(cls, docs: DataFrame, path: str | None = None, k1: float = BM25_K1, b: float = BM25_B, **options) -> TermIndex:
         """docs (id, text). Texts are shuffled once, by id; counts and lengths follow without another
         exchange. Without a path the index lies in a folder that goes with the application."""
         spark = docs.sparkSession
         path = path or folder(spark, "terms")
         counted = postings(docs.select("id", "text").repartition("id"))
-        counted = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
-        counted.select("term", "id", "tf", "dl").repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/frequency")
-        lengths = stored.groupBy("id").agg(F.first("dl").alias("dl"))
-        lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("id"))).write.mode("overwrite").parquet(f"{path}/counted")
+        counted = spark.read.parquet(f"{path}/counted")
+        lengths = counted.groupBy("id").agg(F.first("dl").alias("dl"))
+        lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).withColumn("k1", F.lit(float(k1))).withColumn("b", F.lit(float(b))).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        row = spark.read.parquet(f"{path}/statistics").first()
+        block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-row.n // cls.BLOCK)))).alias("block")
+        grouped = counted.groupBy("term", block).agg(F.max(saturation(k1, b, row.avgdl or 1.0)).alias("most"), F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("postings"))
+        grouped.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+        stored = spark.read.parquet(f"{path}/blocks")
+        stored.groupBy("term").agg(F.sum(F.size("postings")).alias("df")).write.mode("overwrite").parquet(f"{path}/frequency")
+        delete(spark, f"{path}/counted")
         return cls(spark, path, **options)
 
+    def _postings(self, blocks: DataFrame, *keep: str) -> DataFrame:
+        return blocks.select(*keep, "term", F.inline("postings"))
+
     def weights(self) -> DataFrame:
         """(id, term, w): BM25 weights of every posting."""
-        return self.terms.join(self.frequency, "term").select("id", "term", self.weight().alias("w"))
+        return self._postings(self.blocks).join(self.frequency, "term").select("id", "term", self.weight().alias("w"))
+
+    def idf_of(self, df: Column) -> Column:
+        return F.log(1 + (F.lit(self.n) - df + 0.5) / (df + 0.5)) if self.idf else F.lit(1.0)
 
     def weight(self) -> Column:
-        tf = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.lit(self.avgdl)))
-        return tf * F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) if self.idf else tf
+        return saturation(self.k1, self.b, self.avgdl) * self.idf_of(F.col("df"))
 
     def top(self, queries: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-        """R2. queries (query_id, text) -> query_id, id, score, rank. The terms of few queries are a
-        filter of the scan; those of many join the postings by term."""
+        """R2. queries (query_id, text) -> query_id, id, score, rank. Queries of a few words read the
+        blocks that can hold a hit, others all postings of their terms; the rows are the same. The terms
+        of few queries are a filter of the scan; those of many join by term."""
         wanted = postings(queries, "query_id").select(F.col("id").alias("query_id"), "term")
+        longest = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        return self.top_pruned(wanted, k, decimals) if longest <= self.SHORT else self.top_of_all(wanted, k, decimals)
+
+    def _held(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The blocks of the wanted terms, as far as a filter of the scan can tell, and the terms with idf."""
         few = [r.term for r in wanted.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        terms, frequency = self.terms, self.frequency
+        blocks, frequency = self.blocks, self.frequency
         if len(few) <= PUSHED_TERMS:
-            terms, frequency = terms.where(F.col("term").isin(few)), frequency.where(F.col("term").isin(few))
-        hits = terms.join(wanted.join(frequency, "term"), "term").select("query_id", "id", self.weight().alias("w"))
-        scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), decimals).alias("score"))
-        return ranked(scored, ["query_id"], "score", "id", k)
+            blocks, frequency = blocks.where(F.col("term").isin(few)), frequency.where(F.col("term").isin(few))
+        return blocks, wanted.join(frequency, "term").select("query_id", "term", "df")
+
+    def _scores(self, held: DataFrame, decimals: int) -> DataFrame:
+        """held (query_id, df, term, postings) -> query_id, id, score."""
+        hits = self._postings(held, "query_id", "df").select("query_id", "id", self.weight().alias("w"))
+        return hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), decimals).alias("score"))
+
+    def top_of_all(self, wanted: DataFrame, k: int, decimals: int = 9) -> DataFrame:
+        blocks, terms = self._held(wanted)
+        return ranked(self._scores(blocks.join(terms, "term"), decimals), ["query_id"], "score", "id", k)
+
+    def read_plan(self, blocks: DataFrame, terms: DataFrame, k: int, decimals: int) -> tuple[DataFrame, DataFrame]:
+        """The best k rows of each query's FIRST blocks by bound, and the (query, block) pairs that can
+        still hold one of the best k. A block's bound is the sum of its terms' greatest weights; all of a
+        document's postings lie in one block, so scores of a block are whole."""
+        bounds = blocks.select("term", "block", "most").join(terms, "term").groupBy("query_id", "block").agg(F.sum(F.col("most") * self.idf_of(F.col("df"))).alias("bound"))
+        bounds = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))
+        first = bounds.where(F.col("place") <= self.FIRST).select("query_id", "block")
+        best = ranked(self._scores(blocks.join(terms, "term").join(first, ["query_id", "block"]), decimals), ["query_id"], "score", "id", k)
+        least = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        rest = bounds.where(F.col("place") > self.FIRST).join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-decimals))
+        return best, rest.select("query_id", "block")
+
+    def top_pruned(self, wanted: DataFrame, k: int, decimals: int = 9) -> DataFrame:
+        blocks, terms = self._held(wanted)
+        best, rest = self.read_plan(blocks, terms, k, decimals)
+        more = ranked(self._scores(blocks.join(terms, "term").join(rest, ["query_id", "block"]), decimals), ["query_id"], "score", "id", k)
+        return ranked(best.drop("rank").unionByName(more.drop("rank")), ["query_id"], "score", "id", k)
+
+
+def saturation(k1: float, b: float, avgdl: float) -> Column:
+    """BM25's part of a posting without the idf."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
 
 
 def rrf(lists: dict[str, tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.encode import Embed, encode_query, hashed_embedding
 from ..functions.text import expand_f, variants
 from ..operators import fuzzy, rank, retrieve
 from ..operators.retrieve import TermIndex
+from ..operators.vectors import VectorIndex
 from ..sources.readers import Config
 from ..sources.store import Store
 
@@ -19,14 +20,14 @@ from ..sources.store import Store
 class Collection:
     """Points of a store's collection with its term index; either kind of retrieval may be absent."""
 
-    def __init__(self, points: DataFrame, terms: TermIndex | None = None):
-        self.points, self.terms = points, terms
+    def __init__(self, points: DataFrame, terms: TermIndex | None = None, vectors: VectorIndex | None = None):
+        self.points, self.terms, self.vectors = points, terms, vectors
         self.has_dense = "embedding" in points.columns
 
     @classmethod
     def of(cls, store: Store, name: str) -> Collection:
         points = store.read(name)
-        return cls(points, store.terms(name) if "text" in points.columns else None)
+        return cls(points, store.terms(name) if "text" in points.columns else None, store.vectors(name) if "embedding" in points.columns else None)
 
     def hybrid(self, queries: DataFrame, limit: int, k: int = 60) -> DataFrame:
         """Both lists over-fetched to twice the limit and fused; whichever exists otherwise."""
@@ -34,8 +35,9 @@ class Collection:
         if self.terms:
             lists["sparse"] = (self.terms.top(queries.select("query_id", "text"), 2 * limit), 1.0)
         if self.has_dense:
+            asked = queries.select("query_id", "qvec")
             dense = self.points.where("embedding is not null").select("id", F.col("embedding").alias("vec"))
-            lists["dense"] = (retrieve.dense_top(dense, queries.select("query_id", "qvec"), 2 * limit), 1.0)
+            lists["dense"] = (self.vectors.top(asked, 2 * limit) if self.vectors else retrieve.dense_top(dense, asked, 2 * limit), 1.0)
         if not lists:
             return self.points.select(F.lit(None).cast("string").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         return retrieve.ranked(retrieve.rrf(lists, k), ["query_id"], "score", "id", limit)

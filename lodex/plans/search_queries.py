@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.constants import COLLECTION_WEIGHTS, INTENTS, STUDENT_BODY_SIGNALS, TIMETABLE_SIGNALS
 from ..operators import crawl, feedback, quality, rank, retrieve
 from ..operators.retrieve import TermIndex, ranked
+from ..operators.vectors import VectorIndex
 from ..scratch import changed
 from ..sources import store
 from ..streaming import feedback as streams
@@ -70,6 +71,34 @@ def r2(spark, d):
     return index(spark, d).top(text_queries(spark, d), 20, 4).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+TITLE = f"coalesce({S.plain("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '')"
+
+
+def short_queries(spark, d) -> DataFrame:
+    """A few words each: the headings of the pages whose id is divisible by EVERY."""
+    return table(spark, d, "pages").where(F.col("page_id") % EVERY == 0).select(F.col("page_id").alias("query_id"), F.coalesce(dom.h1(F.col("html")), F.lit("")).alias("text"))
+
+
+@query("R2_block_topk", f"WITH {S.POSTINGS}, qs AS (SELECT page_id AS query_id, {TITLE} AS text FROM pages WHERE page_id % {EVERY} = 0), {S.bm25('qs')} SELECT query_id, id, score, rank FROM {S.ranks('bm', 20)}")
+def r2_blocks(spark, d):
+    return index(spark, d).top(short_queries(spark, d), 20, 4).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_vectors: dict[tuple, VectorIndex] = {}
+
+
+def vector_index(spark, d) -> VectorIndex:
+    key = (spark.sparkContext.applicationId, d, changed(spark, f"{d}/embeddings.parquet"))
+    if key not in _vectors:
+        _vectors[key] = VectorIndex.build(points(spark, d))
+    return _vectors[key]
+
+
+@query("R1_ivf_topk", f"SELECT query_id, id, score, rank FROM {dense_sql(50, 10)}")
+def r1_cells(spark, d):
+    return vector_index(spark, d).top(vector_queries(spark, d, EVERY), 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("V3_bm25_weights", f"WITH {S.POSTINGS} SELECT id, term, round({S.BM25_WEIGHT}, 6) AS w FROM posts JOIN lens USING (id) JOIN dfs USING (term) CROSS JOIN stats")
 def v3(spark, d):
     return index(spark, d).weights().select("id", "term", F.round("w", 6).alias("w"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import md5_bucket, normalize, point_id, words_of
 from ..operators.retrieve import TermIndex
+from ..operators.vectors import VectorIndex
 
 
 class Store:
@@ -48,6 +49,14 @@ class Store:
         p, fs = self._fs(f"{path}/statistics/_SUCCESS")
         return TermIndex.open(self.spark, path) if fs.exists(p) else TermIndex.build(self.read(name).select("id", "text"), path)
 
+    def vectors(self, name: str, build: bool = False) -> VectorIndex | None:
+        """The collection's vector index, stored beside its version: if it was built, or builds it."""
+        path = f"{self.root}/{name}/{self._version(name)}-vectors"
+        p, fs = self._fs(f"{path}/cells/_SUCCESS")
+        if fs.exists(p):
+            return VectorIndex(self.spark, path)
+        return VectorIndex.build(self.read(name).where("embedding is not null").select("id", F.col("embedding").alias("vec")), path) if build else None
+
     def dimension(self, name: str) -> int | None:
         """V7: the length of the collection's vectors; null without any."""
         points = self.read(name)
