@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.splitters import recursive, splitter, windows
-from ..functions.text import context_header, point_id, stride_chunks
+from ..functions.text import context_header, held, point_id, stride_chunks
 
 CHUNK = "url string, text string, title string, h1 string, section_heading string, section_index int, chunk_index int, type string, metadata map<string,string>"
 
@@ -50,9 +50,11 @@ def window_chunks(pages: DataFrame, size: int = 1200, overlap: int = 150, least:
 def page_chunks(pages: DataFrame, split: Callable[[Column], Column], excerpt: int = 1200) -> DataFrame:
     """T30, T23. pages (url, title, content, pdfs array<struct<url,filename,text>>): content chunks,
     the first one enriched by the PDFs' excerpts, and one child row for each PDF."""
-    cut = pages.select("url", "title", "pdfs", F.size(split(F.col("content"))).alias("chunk_total"), F.posexplode(split(F.col("content"))).alias("chunk_index", "text"))
     extra = F.array_join(F.transform("pdfs", lambda p: F.concat(F.lit("[PDF: "), p.filename, F.lit("] "), F.substring(p.text, 1, excerpt))), "\n")
-    own = cut.select("url", "title", F.when((F.col("chunk_index") == 0) & (F.size("pdfs") > 0), F.concat_ws("\n", "text", extra)).otherwise(F.col("text")).alias("text"), "chunk_index", "chunk_total", F.lit(None).cast("string").alias("parent_url"), F.lit("website").alias("type"))
+    # the excerpts and the pieces are made once, and only the first piece takes the excerpts along
+    cut = held(pages.select("url", "title", F.when(F.size("pdfs") > 0, extra).alias("extra"), split(F.col("content")).alias("pieces")), parts=F.col("pieces"))
+    cut = cut.select("url", "title", F.size("parts").alias("chunk_total"), F.posexplode(F.transform("parts", lambda p, i: F.when((i == 0) & F.col("extra").isNotNull(), F.concat_ws("\n", p, "extra")).otherwise(p))).alias("chunk_index", "text"))
+    own = cut.select("url", "title", "text", "chunk_index", "chunk_total", F.lit(None).cast("string").alias("parent_url"), F.lit("website").alias("type"))
     child = pages.select(F.col("url").alias("parent_url"), F.explode("pdfs").alias("p")).select(F.col("p.url").alias("url"), F.col("p.filename").alias("title"), F.substring("p.text", 1, excerpt).alias("text"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_total"), "parent_url", F.lit("pdf").alias("type"))
     return own.unionByName(child)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import STOPWORDS
@@ -18,11 +18,33 @@ def vocabulary(spark: SparkSession, *synonyms: dict[str, list[str]]) -> DataFram
     return table.select(F.explode(F.when(F.col("whole"), F.array("n")).otherwise(F.split("n", " "))).alias("word")).where("word <> ''").distinct()
 
 
+def deletions(word: Column, most: int) -> Column:
+    """The word and every word that up to ``most`` deletions make of it, each once."""
+    def one_less(w: Column) -> Column:
+        return F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array())
+
+    found = [F.array(word)]
+    for _ in range(most):
+        found.append(F.array_distinct(F.flatten(F.transform(found[-1], one_less))))
+    return F.array_distinct(F.concat(*found))
+
+
+def near_words(a: DataFrame, b: DataFrame, most: int = 2) -> DataFrame:
+    """(a, b, distance) of distinct words at a Levenshtein distance up to ``most``. Both sides are
+    indexed by what up to ``most`` deletions leave of them, and joined by equality: words as near as
+    that share one such rest. The distance is then computed for the pairs that meet. Long words have
+    many rests, of which only the hashes are joined; the distance settles what meets by chance."""
+    left = a.select("a", F.explode(F.transform(deletions(F.col("a"), most), lambda w: F.xxhash64(w))).alias("rest"))
+    right = b.select("b", F.explode(F.transform(deletions(F.col("b"), most), lambda w: F.xxhash64(w))).alias("rest"))
+    met = left.join(right, "rest").where(F.abs(F.length("a") - F.length("b")) <= most).select("a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", most)).where("distance >= 0")
+
+
 def nearest_words(words: DataFrame, vocab: DataFrame, most: int = 2) -> DataFrame:
     """T4, T5: for each word the vocabulary word at the smallest distance up to ``most``, ties by
-    the word. The lengths' difference is checked before the distance, which stops at ``most``."""
-    near = (F.abs(F.length("w") - F.length("word")) <= most) & (F.levenshtein("w", "word", most) >= 0)
-    return words.select("w").distinct().join(vocab, near).groupBy("w").agg(F.min(F.struct(F.levenshtein("w", "word").alias("distance"), F.col("word").alias("fix"))).alias("m")).select("w", "m.distance", "m.fix")
+    the word."""
+    near = near_words(words.select(F.col("w").alias("a")).distinct(), vocab.select(F.col("word").alias("b")).distinct(), most)
+    return near.groupBy(F.col("a").alias("w")).agg(F.min(F.struct("distance", F.col("b").alias("fix"))).alias("m")).select("w", "m.distance", "m.fix")
 
 
 def correct(queries: DataFrame, vocab: DataFrame, most: int = 2, least: int = 4) -> DataFrame:

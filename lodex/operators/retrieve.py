@@ -35,11 +35,11 @@ def ranked(df: DataFrame, by: list[str], score: str, id_: str, k: int | None = N
 QUERY_BLOCK, PUSHED_TERMS = 4_096, 1_000
 
 
-def dense_scores(points: DataFrame, queries: DataFrame, decimals: int = 9) -> DataFrame:
-    """points (id, vec), queries (query_id, qvec), one block of them -> query_id, id, score."""
+def dense_scores(points: DataFrame, queries: DataFrame, decimals: int = 9, keep: tuple[str, ...] = ()) -> DataFrame:
+    """points (id, vec, keep), queries (query_id, qvec), one block of them -> query_id, id, score, keep."""
     norm = queries.select("query_id", doubles(F.col("qvec")).alias("qvec")).withColumn("qn", F.sqrt(dot(F.col("qvec"), F.col("qvec"))))
-    rows = points.select("id", doubles(F.col("vec")).alias("vec")).withColumn("pn", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    scored = rows.crossJoin(F.broadcast(norm)).select("query_id", "id", F.round(dot(F.col("vec"), F.col("qvec")) / F.nullif(F.col("pn") * F.col("qn"), F.lit(0.0)), decimals).alias("score"))
+    rows = points.select("id", doubles(F.col("vec")).alias("vec"), *keep).withColumn("pn", F.sqrt(dot(F.col("vec"), F.col("vec"))))
+    scored = rows.crossJoin(F.broadcast(norm)).select("query_id", "id", F.round(dot(F.col("vec"), F.col("qvec")) / F.nullif(F.col("pn") * F.col("qn"), F.lit(0.0)), decimals).alias("score"), *keep)
     return scored.where("score is not null")
 
 
@@ -216,8 +216,10 @@ def dedup_max(hits: DataFrame, decimals: int = 9) -> DataFrame:
 
 def siblings(first: DataFrame, lectures: DataFrame, most: int = 10) -> DataFrame:
     """R13. first (query_id, id, program, day); up to ``most`` other lectures of the same programme
-    and day, in id order, as one text."""
-    other = lectures.select(F.col("id").alias("other"), "program", "day", F.col("text").alias("other_text"))
-    near = first.join(other, ["program", "day"]).where("other <> id")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("other"))).where(F.col("n") <= most)
-    return near.groupBy("query_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "other_text"))), lambda x: x.other_text), "; ").alias("context"))
+    and day, in id order, as one text. Only the first most + 1 of a programme and day are joined, one
+    of which may be the lecture itself; tasks cut their own before they are shuffled."""
+    group = ["program", "day"]
+    few = lectures.select(*group, F.struct("id", "text").alias("x")).withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("x.id"))).where(F.col("n") <= most + 1)
+    held = few.groupBy(*group).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    near = first.join(held, group).withColumn("xs", F.slice(F.filter("xs", lambda x: x.id != F.col("id")), 1, most)).where(F.size("xs") > 0)
+    return near.select("query_id", "id", F.array_join(F.transform("xs", lambda x: x.text), "; ").alias("context"))

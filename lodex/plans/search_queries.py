@@ -13,7 +13,7 @@ from ..functions.constants import COLLECTION_WEIGHTS, INTENTS, STUDENT_BODY_SIGN
 from ..operators import crawl, feedback, quality, rank, retrieve
 from ..operators.retrieve import TermIndex, ranked
 from ..operators.vectors import VectorIndex
-from ..scratch import changed
+from ..scratch import changed, folder
 from ..sources import store
 from ..streaming import feedback as streams
 from . import sql as S
@@ -213,10 +213,9 @@ def weighted_hits(spark, d) -> DataFrame:
     weight = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.7).when(F.col("lang") == "fr", 0.3).otherwise(0.04)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("collection"), weight.alias("weight"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string"))).alias("url"))
     rows = points(spark, d).join(docs, "id")
-    of = rows.select("id", "collection", "weight", "url")
     parts = []
     for block in retrieve.query_blocks(vector_queries(spark, d, EVERY)):
-        near = retrieve.dense_scores(rows, block).join(of, "id").withColumnRenamed("query_id", "q")
+        near = retrieve.dense_scores(rows, block, keep=("collection", "weight", "url")).withColumnRenamed("query_id", "q")
         near = near.withColumn("query_id", F.floor(F.col("q") / (2 * EVERY))).withColumn("variant", (F.col("q") / EVERY % 2).cast("int")).drop("q")
         parts.append(ranked(near, ["query_id", "variant", "collection"], "score", "id", 60))
     return reduce(DataFrame.unionByName, parts)
@@ -242,10 +241,10 @@ def r9(spark, d):
 
 @query(
     "R7_quota",
-    f"WITH {HITS}, o AS (SELECT query_id, collection AS source, id, score FROM hits WHERE variant = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS r FROM o), k AS (SELECT * FROM n WHERE r <= CASE source WHEN 'en' THEN 33 WHEN 'de' THEN 6 WHEN 'fr' THEN 10 ELSE 0 END) SELECT query_id, source, id, score, rank FROM {S.ranks('k', 50)}",
+    f"WITH {HITS}, o AS (SELECT query_id * 2 + variant AS query_id, collection AS source, id, score FROM hits), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS r FROM o), k AS (SELECT * FROM n WHERE r <= CASE source WHEN 'en' THEN 33 WHEN 'de' THEN 6 WHEN 'fr' THEN 10 ELSE 0 END) SELECT query_id, source, id, score, rank FROM {S.ranks('k', 50)}",
 )
 def r7(spark, d):
-    hits = weighted_hits(spark, d).where("variant = 0").select("query_id", F.col("collection").alias("source"), "id", "score")
+    hits = weighted_hits(spark, d).select((F.col("query_id") * 2 + F.col("variant")).alias("query_id"), F.col("collection").alias("source"), "id", "score")
     return retrieve.quota(hits, {"en": 0.50, "de": 0.10, "fr": 0.15}, 50).select("query_id", "source", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -491,7 +490,11 @@ def w10(spark, d):
 @query("K9_merge_counts", f"WITH {CLICK} SELECT query, sum(n)::bigint AS n FROM (SELECT query, count(*) AS n FROM ev WHERE event_id % 2 = 0 GROUP BY query UNION ALL SELECT query, count(*) FROM ev WHERE event_id % 2 = 1 GROUP BY query) GROUP BY query")
 def k9(spark, d):
     parts = [_events(spark, d).where(F.col("event_id") % 2 == k).groupBy("query").agg(F.count(F.lit(1)).alias("n")) for k in (0, 1)]
-    return feedback.merged_counts(*parts, ["query"], ["n"])
+    kept = store.Store(spark, folder(spark, "counts"))
+    kept.recreate("counts", parts[0], key="query")
+    number, _ = kept.state("counts")
+    kept.upsert("counts", feedback.merged_counts(kept.read("counts"), parts[1], ["query"], ["n"]), "query", base=number)
+    return kept.read("counts").select("query", "n")
 
 
 @query("A12_lecture_counts", "SELECT coalesce(user_id::varchar, 'all') AS program, count(*) AS n FROM events GROUP BY ROLLUP (user_id)")
@@ -568,7 +571,10 @@ def k3(spark, d):
     new = docs.where(F.col("doc_id") % 3 == 0).select(F.col("doc_id").alias("id"), F.concat("lang", F.lit("!")).alias("v"), F.lit(2).alias("ord"))
     stale = new.withColumn("v", F.lit("stale")).withColumn("ord", F.lit(1))
     fresh = docs.where(F.col("doc_id") < 10).select((F.col("doc_id") + 1000000).alias("id"), F.lit("new").alias("v"), F.lit(1).alias("ord"))
-    return store.upserted(old, new.unionByName(stale).unionByName(fresh)).select("id", "v")
+    kept = store.Store(spark, folder(spark, "upserts"))
+    kept.recreate("c", old)
+    kept.upsert("c", new.unionByName(stale).unionByName(fresh))
+    return kept.read("c").select("id", "v")
 
 
 @query("K5_scroll", "SELECT doc_id, source FROM documents WHERE lang = 'de' AND contains(text, 'die') ORDER BY doc_id LIMIT 10")
@@ -603,24 +609,56 @@ def _stream(spark, d) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _name(prefix: str) -> str:
-    import uuid
+def _clicks(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat(F.lit("Q"), F.col("user_id").cast("string")).alias("query"), F.get_json_object("props", "$.k").alias("url"), F.when(F.col("event_type") == "click", "short_click").otherwise("long_click").alias("type"))
 
-    return f"{prefix}_{uuid.uuid4().hex}"
+
+def _merged(spark, start, rows, columns: list[str]) -> DataFrame:
+    """The counters that a stream has merged into a store of its own."""
+    path = folder(spark, "counters")
+    kept = store.Store(spark, f"{path}/store")
+    start(rows, kept, "counters", f"{path}/checkpoint").awaitTermination()
+    return kept.read("counters").select(*columns)
 
 
 @query("ST1_stream_clicks", f"WITH {CLICK} SELECT lower(query) AS query, url, count(*) FILTER (WHERE event_type = 'click') AS short_clicks, count(*) FILTER (WHERE event_type <> 'click') AS long_clicks FROM ev GROUP BY ALL")
 def st1(spark, d):
-    rows = _stream(spark, d).select(F.concat(F.lit("Q"), F.col("user_id").cast("string")).alias("query"), F.get_json_object("props", "$.k").alias("url"), F.when(F.col("event_type") == "click", "short_click").otherwise("long_click").alias("type"))
-    return streams.drain(feedback.click_counts(rows), _name("st1"), "complete")
+    return _merged(spark, streams.count_clicks, _clicks(_stream(spark, d)), ["query", "url", "short_clicks", "long_clicks"])
+
+
+@query("ST2_stream_queries", "SELECT lower(trim(event_type || ' ' || user_id)) AS query, count(*) AS search_count FROM events GROUP BY 1")
+def st2_stream(spark, d):
+    asked = _stream(spark, d).select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("query"))
+    return _merged(spark, streams.count_queries, asked, ["query", "search_count"])
+
+
+#: SQL: milliseconds of the watermark that the stream ends with.
+def mark(late: str) -> str:
+    return f"(SELECT epoch_ms(max(ts) - INTERVAL {late}) FROM events)"
+
+
+MINUTE_END = "(({} // 60000 + 1) * 60000)"
 
 
-@query("ST3_stream_long_click", f"WITH {CLICK}, {kinds_sql(10800)}, l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM kd) SELECT user_id, event_id, kind FROM l WHERE nx IS NOT NULL")
+@query(
+    "ST3_stream_long_click",
+    f"WITH taken AS (SELECT user_id, event_id, ts, epoch_ms(ts) AS ms FROM events WHERE {MINUTE_END.format('epoch_ms(ts)')} <= {mark('10 MINUTE')}), l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM taken) "
+    f"SELECT user_id, event_id, CASE WHEN nx > ts + INTERVAL 10800 SECOND AND nx <= ts + INTERVAL 86400 SECOND THEN 'long_click' ELSE 'short_click' END AS kind FROM l WHERE nx IS NOT NULL OR {MINUTE_END.format('(ms + 86400000)')} <= {mark('10 MINUTE')}",
+)
 def st3(spark, d):
-    return streams.drain(streams.long_clicks(_stream(spark, d), 10_800), _name("st3"))
+    return streams.run_to_files(streams.long_clicks(_stream(spark, d), 10_800, idle=86_400))
+
+
+@query(
+    "ST_sessions",
+    f"WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g), "
+    f"x AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, nr) SELECT user_id, start, \"end\", n FROM x WHERE epoch_ms(\"end\") <= {mark('2 HOUR')}",
+)
+def st_sessions(spark, d):
+    rows = streams.run_to_files(streams.sessions(_stream(spark, d), "6 hours"))
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("STX_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("STX_window_counts", f"SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) WHERE epoch_ms(start + INTERVAL 1 HOUR) <= {mark('2 HOUR')}")
 def stx(spark, d):
-    rows = _stream(spark, d).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return streams.drain(rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n"), _name("stx"), "complete")
+    return streams.run_to_files(streams.window_counts(_stream(spark, d))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

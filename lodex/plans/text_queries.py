@@ -53,8 +53,7 @@ def _part_words(spark, d):
 def t4(spark, d):
     v = _part_words(spark, d)
     a, b = v.select(F.col("word").alias("a")), v.select(F.col("word").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2) & (F.levenshtein("a", "b", 2) >= 0)
-    return a.join(b, near).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"))
+    return fuzzy.near_words(a, b).where("a < b").select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query("T5_fuzzy_vocab_join", f"WITH v AS ({WORDS}), w AS (SELECT DISTINCT substr(word, 2) || 'x' AS w FROM v WHERE length(word) >= 4), c AS (SELECT w, word, levenshtein(w, word) AS distance FROM w JOIN v ON abs(length(w) - length(word)) <= 2 WHERE levenshtein(w, word) <= 2) SELECT w, distance, word AS fix FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY distance, word) AS n FROM c) WHERE n = 1")

@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+from ..functions.encode import Embed, encode
 from ..functions.text import md5_bucket, normalize, point_id, words_of
 from ..operators.retrieve import TermIndex
 from ..operators.vectors import VectorIndex
+from ..scratch import delete, planned_bytes
+
+
+class Conflict(RuntimeError):
+    """Another writer committed the version that this one was about to."""
 
 
 class Store:
-    """K1-K5. A collection is a folder; a write goes to a new version folder, and then a pointer, an
-    empty file named by a rising number and the version, is created beside it in one step. The
-    pointer with the greatest number counts, so readers never see a half-written collection, and a
-    crash leaves the old one. The version before stays for readers that have it open; older ones go."""
+    """K1-K5. A collection is a folder. Its versions are small files named by a rising number alone, each
+    stating the folders that make up the version: base folders by bucket of the key, and deltas, which
+    hold upserted rows and tombstones. A commit moves a finished file to the next number and fails if
+    that number is there, so of two writers that read one state the second gets ``Conflict`` and no
+    write is lost; readers never see half a version, and a crash leaves the old one.
+
+    Upserts and deletes write their own rows only. Reads lay the deltas over the base, the newest row
+    of a key counts; ``compact`` rewrites the buckets that deltas touch, and runs when there are
+    ``MOST_DELTAS``. The version before stays for readers that have it open; older folders go."""
+
+    MOST_DELTAS, BUCKET_BYTES, MOST_BUCKETS = 8, 128 << 20, 4096
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -25,10 +41,12 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    # versions
+
     def _pointers(self, name: str) -> list[str]:
-        """Names of the pointers, the current one last."""
+        """Names of the versions, the current one last."""
         p, fs = self._fs(f"{self.root}/{name}/_versions")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(n for s in fs.listStatus(p) if (n := s.getPath().getName()).isdigit()) if fs.exists(p) else []
 
     def exists(self, name: str) -> bool:
         return bool(self._pointers(name))
@@ -37,16 +55,88 @@ class Store:
         p, fs = self._fs(self.root)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if self.exists(s.getPath().getName())) if fs.exists(p) else []
 
+    def _manifest(self, name: str, number: str) -> dict:
+        p, fs = self._fs(f"{self.root}/{name}/_versions/{number}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def state(self, name: str) -> tuple[int, dict]:
+        """The current version's number and manifest; what is based on it is committed with this number."""
+        found = self._pointers(name)
+        return (int(found[-1]), self._manifest(name, found[-1])) if found else (-1, {})
+
+    def _commit(self, name: str, number: int, manifest: dict) -> None:
+        """Write beside, then rename without overwriting."""
+        jvm = self.spark.sparkContext._jvm
+        beside, fs = self._fs(f"{self.root}/{name}/_versions/_{uuid.uuid4().hex}")
+        stream = fs.create(beside)
+        stream.write(json.dumps(manifest).encode())
+        stream.close()
+        to, _ = self._fs(f"{self.root}/{name}/_versions/{number:012d}")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(beside).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(fs.makeQualified(beside), fs.makeQualified(to), none)
+        except Exception as e:
+            fs.delete(beside, False)
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"version {number} of {name} was written by another at the same time") from None
+            raise
+        self._clean(name)
+
+    def _folders(self, manifest: dict) -> set[str]:
+        return {f for f, _ in manifest["base"]} | set(manifest["deltas"])
+
+    def _clean(self, name: str) -> None:
+        """Drop what the two latest versions don't name."""
+        found = self._pointers(name)
+        old, last = found[:-2], found[-2:]
+        if not old:
+            return
+        held = set().union(*(self._folders(self._manifest(name, n)) for n in last))
+        for n in old:
+            for path in [*(self._folders(self._manifest(name, n)) - held), f"v{int(n)}-terms", f"v{int(n)}-vectors", f"_versions/{n}"]:
+                q, fs = self._fs(f"{self.root}/{name}/{path}")
+                fs.delete(q, True)
+
     def _version(self, name: str) -> str:
-        return self._pointers(name)[-1].split("-")[1]
+        return f"v{self.state(name)[0]}"
+
+    # reading
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self._version(name)}")
+        return self._read(name, self.state(name)[1])
+
+    def _read(self, name: str, manifest: dict) -> DataFrame:
+        base = self._base(name, manifest["base"], manifest["schema"])
+        if not manifest["deltas"]:
+            return base
+        keys, columns = manifest["key"], StructType.fromJson(manifest["schema"]).names
+        newest = self._newest(name, manifest)
+        kept = base.join(newest.select(*keys), keys, "left_anti").select(*columns)
+        return kept.unionByName(newest.where("not _gone").select(*columns))
+
+    def _base(self, name: str, base: list, schema: dict) -> DataFrame:
+        """The rows of the base; columns that came later are null in older folders."""
+        schema = StructType.fromJson(schema)
+        paths = [f"{self.root}/{name}/{folder}/_bucket={b}" for folder, buckets in base for b in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _newest(self, name: str, manifest: dict) -> DataFrame:
+        """The last row of each key that deltas name, and whether it is a tombstone."""
+        schema = StructType.fromJson(manifest["schema"]).add("_gone", BooleanType()).add("_bucket", IntegerType())
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{d}").withColumn("_seq", F.lit(i)) for i, d in enumerate(manifest["deltas"])]
+        rows = reduce(DataFrame.unionByName, parts)
+        last = Window.partitionBy(*manifest["key"]).orderBy(F.desc("_seq"))
+        return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_seq")
 
     def terms(self, name: str) -> TermIndex:
         """The collection's term index, stored beside its version when first asked for."""
         path = f"{self.root}/{name}/{self._version(name)}-terms"
-        p, fs = self._fs(f"{path}/statistics/_SUCCESS")
+        p, fs = self._fs(f"{path}/frequency/_SUCCESS")
         return TermIndex.open(self.spark, path) if fs.exists(p) else TermIndex.build(self.read(name).select("id", "text"), path)
 
     def vectors(self, name: str, build: bool = False) -> VectorIndex | None:
@@ -63,27 +153,98 @@ class Store:
         row = points.where("embedding is not null").select(F.size("embedding").alias("n")).first() if "embedding" in points.columns else None
         return row.n if row else None
 
-    def recreate(self, name: str, points: DataFrame, dim: int | None = None) -> int:
-        """K1, K2: replace the collection; with ``dim`` every vector must have this length."""
+    # writing
+
+    def _bucket(self, keys: list[str], buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int") if keys else F.lit(0)
+
+    def _write(self, name: str, rows: DataFrame, keys: list[str], buckets: int) -> tuple[str, list[int]]:
+        """Rows by bucket to a new folder; one file a bucket where its size allows."""
+        folder = uuid.uuid4().hex
+        path = f"{self.root}/{name}/{folder}"
+        placed = rows.withColumn("_bucket", self._bucket(keys, buckets))
+        (placed.repartition(buckets, "_bucket") if keys else placed).write.partitionBy("_bucket").parquet(path)
+        p, fs = self._fs(path)
+        return folder, sorted(int(n.partition("=")[2]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("_bucket="))
+
+    def recreate(self, name: str, points: DataFrame, dim: int | None = None, key: str | list[str] | None = None, meta: dict | None = None, base: int | None = None) -> int:
+        """K1, K2: replace the collection; with ``dim`` every vector must have this length. key: what
+        upserts go by, ``id`` if there; base: the version that the rows were made from, the current one
+        if not given."""
         if dim is not None and "embedding" in points.columns:
             checked = F.when(F.col("embedding").isNull() | (F.size("embedding") == dim), F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors of {name} must have {dim} components")))
             points = points.withColumn("embedding", checked)
-        version = uuid.uuid4().hex
-        points.write.parquet(f"{self.root}/{name}/{version}")
-        before = self._pointers(name)
-        number = int(before[-1].split("-")[0]) + 1 if before else 0
-        p, fs = self._fs(f"{self.root}/{name}/_versions/{number:012d}-{version}")
-        if not fs.createNewFile(p):
-            raise RuntimeError(f"{name} was written by another at the same time")
-        for old in before[:-1]:
-            for path in (f"{old.split('-')[1]}", f"{old.split('-')[1]}-terms", f"_versions/{old}"):
-                q, _ = self._fs(f"{self.root}/{name}/{path}")
-                fs.delete(q, True)
+        number = self.state(name)[0] if base is None else base
+        keys = [key] if isinstance(key, str) else key or (["id"] if "id" in points.columns else [])
+        size = planned_bytes(points)
+        buckets = (max(4, min(self.MOST_BUCKETS, -(-size // self.BUCKET_BYTES))) if size else 16) if keys else 1
+        folder = self._write(name, points, keys, buckets)
+        self._commit(name, number + 1, {"key": keys, "buckets": buckets, "schema": _nullable(points.schema).jsonValue(), "base": [folder], "deltas": [], "meta": meta or {}})
         return self.read(name).count()
 
-    def upsert(self, name: str, points: DataFrame, key: str = "id") -> int:
-        """K3: rows of ``points`` replace those of equal key."""
-        return self.recreate(name, upserted(self.read(name), points, key) if self.exists(name) else points)
+    def upsert(self, name: str, points: DataFrame, key: str | list[str] = "id", meta: dict | None = None, base: int | None = None) -> int:
+        """K3: rows of ``points`` replace those of equal key; of equal keys within ``points`` the last by
+        ``ord`` if there. Writes these rows only, as a delta; the first write makes the collection."""
+        keys = [key] if isinstance(key, str) else key
+        manifest = self.state(name)[1]
+        if not manifest:
+            return self.recreate(name, last_rows(points, keys), key=keys, meta=meta, base=base)
+        if keys != manifest["key"]:
+            raise ValueError(f"{name} is kept by {manifest['key']}, not {keys}")
+        return self._delta(name, manifest, last_rows(points, keys).withColumn("_gone", F.lit(False)), meta, base)
+
+    def delete(self, name: str, keys: DataFrame) -> int:
+        """Tombstones for the keys."""
+        manifest = self.state(name)[1]
+        rows = keys.select(*manifest["key"]).distinct()
+        for field in StructType.fromJson(manifest["schema"]):
+            if field.name not in rows.columns:
+                rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+        return self._delta(name, manifest, rows.withColumn("_gone", F.lit(True)), None, None)
+
+    def _delta(self, name: str, manifest: dict, rows: DataFrame, meta: dict | None, base: int | None) -> int:
+        """Write rows and commit them on top of ``base``; without it on top of whatever is current by
+        then, since a delta doesn't depend on the rows below it."""
+        keys, buckets = manifest["key"], manifest["buckets"]
+        folder, _ = self._write(name, rows, keys, buckets)
+        for attempt in range(10):
+            number, manifest = self.state(name)
+            if (manifest["key"], manifest["buckets"]) != (keys, buckets):
+                raise Conflict(f"{name} was made anew by another at the same time")
+            schema = StructType.fromJson(manifest["schema"])
+            for field in _nullable(rows.schema):
+                if field.name not in schema.names and field.name != "_gone":
+                    schema = schema.add(field)
+            made = manifest | {"schema": schema.jsonValue(), "deltas": [*manifest["deltas"], folder], "meta": manifest["meta"] | (meta or {})}
+            try:
+                self._commit(name, (number if base is None else base) + 1, made)
+                break
+            except Conflict:
+                if base is not None or attempt == 9:
+                    delete(self.spark, f"{self.root}/{name}/{folder}")
+                    raise
+        if len(made["deltas"]) >= self.MOST_DELTAS:
+            try:
+                self.compact(name)
+            except Conflict:
+                pass  # another writer is further; the next upsert compacts
+        return self.read(name).count()
+
+    def compact(self, name: str) -> list[int]:
+        """Rewrite the buckets that deltas touch; the others' folders stay as they are. Returns them."""
+        number, manifest = self.state(name)
+        if not manifest.get("deltas"):
+            return []
+        touched = set()
+        for d in manifest["deltas"]:
+            p, fs = self._fs(f"{self.root}/{name}/{d}")
+            touched |= {int(n.partition("=")[2]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("_bucket=")}
+        old = [[f, [b for b in buckets if b in touched]] for f, buckets in manifest["base"]]
+        rows = self._read(name, manifest | {"base": old})
+        folder, made = self._write(name, rows, manifest["key"], manifest["buckets"])
+        rest = [[f, left] for f, buckets in manifest["base"] if (left := [b for b in buckets if b not in touched])]
+        self._commit(name, number + 1, manifest | {"base": [*rest, [folder, made]], "deltas": []})
+        return sorted(touched)
 
     def drop(self, name: str) -> None:
         p, fs = self._fs(f"{self.root}/{name}")
@@ -102,10 +263,19 @@ class Store:
         return self.recreate(new, with_hashed_sparse(self.read(old)))
 
 
+def _nullable(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, f.dataType, True) for f in schema])
+
+
+def last_rows(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Of equal keys the last row by ``ord`` if there."""
+    order = "ord" if "ord" in points.columns else keys[0]
+    return points.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """K3: of equal keys the newer row; of equal keys within ``new`` the last by ``ord`` if there."""
-    order = "ord" if "ord" in new.columns else key
-    last = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    """K3 without a store: of equal keys the newer row."""
+    last = last_rows(new, [key])
     return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
@@ -118,15 +288,26 @@ def scroll(points: DataFrame, equal: dict[str, object], contains: dict[str, str]
     return points.orderBy(points.columns[0]).limit(limit)
 
 
-def coalesced(df: DataFrame, source: str) -> DataFrame:
-    """One shape from records that name their fields differently."""
+def coalesced(df: DataFrame, source: str, embed: Embed | None = None) -> DataFrame:
+    """One shape from records that name their fields differently. With ``embed``, records without
+    a vector of their own get that of their title and content, as do all where there is none."""
     def first(*names: str) -> Column:
         held = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns]
         return F.coalesce(*held, F.lit(None).cast("string"))
 
     title, content, url = F.coalesce(first("title", "modul", "lecture_info"), F.lit("Unbenannt")), F.coalesce(first("content", "text", "full_text", "description"), F.lit("")), F.coalesce(first("url"), F.lit(""))
     key = F.concat_ws("|", F.lit(source), url, title, content)
-    return df.select(point_id(key).alias("id"), title.alias("title"), content.alias("content"), url.alias("url"), F.lit(source).alias("source"))
+    own = [F.col("embedding").cast("array<float>").alias("embedding")] if "embedding" in df.columns else [F.lit(None).cast("array<float>").alias("embedding")] if embed else []
+    out = df.select(point_id(key).alias("id"), title.alias("title"), content.alias("content"), url.alias("url"), F.lit(source).alias("source"), *own)
+    return backfilled(out, embed) if embed else out
+
+
+def backfilled(points: DataFrame, embed: Embed, least: int = 1) -> DataFrame:
+    """Rows whose embedding is null or empty get one from title and content; the others never reach
+    the encoder."""
+    missing = F.col("embedding").isNull() | (F.size("embedding") < least)
+    made = points.where(missing).withColumn("embedding", encode(F.concat_ws(" ", "title", "content"), embed).cast("array<float>"))
+    return points.where(~missing).unionByName(made)
 
 
 def hashed_terms(points: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
