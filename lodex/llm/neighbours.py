@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLES, PROBES, SURE, K, SEED = 40, 4, 0.8, 10, 17
-#: Rows of a shard at most, and fewer where cores would be idle.
-SHARD_ROWS, FEW_ROWS = 65_536, 4_096
+#: Rows of a shard at most; small tables are cut into shards of FEW_ROWS, FEW_SHARDS at most.
+SHARD_ROWS, FEW_ROWS, FEW_SHARDS = 65_536, 4_096, 8
 #: Queries that are answered together.
 QUERY_BLOCK = 64
 
@@ -240,8 +240,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, tables: int = TABLE
     """query_id, rank, vec_id, score: the k nearest rows found of ``vectors`` (id, vec) to each row
     for which ``is_query`` holds, itself left out."""
     given = vectors.where("id is not null").where(valid(F.col("vec"))).select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), is_query.alias("q"))
-    n, cores = given.count(), vectors.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, -(-n // SHARD_ROWS), min(cores, -(-n // FEW_ROWS)))
+    # by the rows alone, so that a table has the same neighbours on any cluster
+    n = given.count()
+    shards = max(1, -(-n // SHARD_ROWS), min(FEW_SHARDS, -(-n // FEW_ROWS)))
     rows = given.select("id", "vec").distinct()
     rows = rows.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vec")
     queries = given.where("q").groupBy("id").agg(F.min("vec").alias("vec"))

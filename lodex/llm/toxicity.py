@@ -37,7 +37,9 @@ PREFIXES = (4, 5)
 MAX_ROWS = 20_000
 #: Texts that must have a column, share that must have a column of a pair, and the chi-squared values beyond
 #: chance: of a column alone, and of one among millions of pairs.
-LEAST_ROWS, PAIR_SHARE, ALONE, TOGETHER = 4, 0.05, 12, 40
+LEAST_ROWS, PAIR_SHARE, ALONE, TOGETHER = 4, 0.005, 12, 40
+#: Columns whose pairs with all others are counted at once, and texts laid out at once; they bound memory, not results.
+PAIR_BLOCK, PAIR_TEXTS = 512, 1024
 THRESHOLD = 0.7
 
 
@@ -124,11 +126,22 @@ def chi_squared(toxic: np.ndarray, every: np.ndarray, n: int, p: float) -> np.nd
     return np.where(np.isfinite(chi), chi, 0)
 
 
+def met(texts: list[np.ndarray], low: int, high: int, n: int) -> np.ndarray:
+    """How many texts have each of the columns low to high beside each of low to n."""
+    out = np.zeros((high - low, n - low), np.float32)
+    for i in range(0, len(texts), PAIR_TEXTS):
+        x = np.zeros((len(texts[i : i + PAIR_TEXTS]), n - low), np.float32)
+        for k, at in enumerate(texts[i : i + PAIR_TEXTS]):
+            x[k, at[at >= low] - low] = 1
+        out += x[:, : high - low].T @ x
+    return out
+
+
 def choose(rows: list[np.ndarray], labels: np.ndarray, bits: int, least_rows: int = LEAST_ROWS, pair_share: float = PAIR_SHARE) -> np.ndarray:
     """Columns that tell the labels apart beyond chance, alone or together with another one. Alone:
     those that ``least_rows`` texts have. In pairs: all pairs of columns that a share ``pair_share`` of
-    the texts have (fewer texts can't show an interaction); as there are so many pairs, chance
-    reaches farther there."""
+    the texts have, if they speak for label 1; as there are so many pairs, chance reaches farther there.
+    Pairs are first counted among the texts of label 1, and only those frequent enough among the rest."""
     every, toxic = np.zeros(1 << bits), np.zeros(1 << bits)
     for at, y in zip(rows, labels):
         every[at] += 1
@@ -137,25 +150,30 @@ def choose(rows: list[np.ndarray], labels: np.ndarray, bits: int, least_rows: in
     n, p = len(rows), float(labels.mean())
     telling = (chi_squared(toxic, every, n, p) > ALONE) & (every >= least_rows)
     common = np.flatnonzero(every >= max(least_rows, pair_share * n))
+    common = common[np.argsort(-every[common], kind="stable")]
     place = np.full(1 << bits, -1, np.int32)
     place[common] = np.arange(len(common))
-    both, both_toxic = np.zeros((len(common), len(common)), np.float32), np.zeros((len(common), len(common)), np.float32)
-    for i in range(0, n, 1024):
-        x = np.zeros((len(rows[i : i + 1024]), len(common)), np.float32)
-        for k, at in enumerate(rows[i : i + 1024]):
-            own = place[at]
-            x[k, own[own >= 0]] = 1
-        both += x.T @ x
-        x = x[labels[i : i + 1024] > 0]
-        both_toxic += x.T @ x
-    for k, c in enumerate(common):
-        chi = chi_squared(both_toxic[k].astype(np.float64), both[k].astype(np.float64), n, p)
+    own = [(found := place[at])[found >= 0] for at in rows]
+    toxic_texts = [at for at, y in zip(own, labels) if y]
+    alone = chi_squared(toxic[common], every[common], n, p)
+    texts_of = np.zeros((len(common), -(-n // 64) * 8), np.uint8)  # a bit for each text
+    for i, at in enumerate(own):
+        texts_of[at, i >> 3] |= np.uint8(1 << (i & 7))
+    texts_of = texts_of.view(np.uint64)
+    # a pair's value can't be greater than with no text of label 0
+    t = np.arange(n + 1)
+    least = max(least_rows, int(np.argmax(chi_squared(t, t, n, p) > TOGETHER)))
+    for low in range(0, len(common), PAIR_BLOCK):
+        high = min(len(common), low + PAIR_BLOCK)
+        both_toxic = met(toxic_texts, low, high, len(common))
+        a, c = np.nonzero(both_toxic >= least)
+        a, c = a[c >= a], c[c >= a]  # each pair once, from the commoner column
+        both = np.concatenate([np.empty(0), *(np.bitwise_count(texts_of[low + a[i : i + 4096]] & texts_of[low + c[i : i + 4096]]).sum(axis=1) for i in range(0, len(a), 4096))])
+        both, both_toxic = both.astype(np.float64), both_toxic[a, c].astype(np.float64)
         # beyond what either of the two shows alone
-        alone = np.maximum(chi_squared(toxic[c], every[c], n, p), chi_squared(toxic[common], every[common], n, p))
-        found = (chi > TOGETHER + 2 * alone) & (both[k] >= least_rows)
-        if found.any():
-            telling[c] = True
-            telling[common[found]] = True
+        found = (chi_squared(both_toxic, both, n, p) > TOGETHER + 2 * np.maximum(alone[low + a], alone[low + c])) & (both_toxic > both * p)
+        telling[common[low + a[found]]] = True
+        telling[common[low + c[found]]] = True
     return np.flatnonzero(telling)
 
 

@@ -302,3 +302,57 @@ def test_hashes_of_neighbours_are_those_of_words():
 def test_variants_of_odd_rows(spark, odd, none):
     assert rows(variants.group_variants(odd).toPandas()) == rows(in_duckdb(sql.VARIANTS, odd))
     assert variants.group_variants(none).count() == 0
+
+
+# --- op1 and op6: what must not depend on shares of the texts or on the cluster
+
+
+def test_pairs_of_rare_words_are_learned():
+    from lodex.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(8000):
+        own = set(rng.integers(100, 400, 12).tolist())
+        a, b = i % 100 < 2, i % 100 in (1, 2)  # each in 2 % of the texts, both in 1 %
+        own |= ({1} if a else set()) | ({2} if b else set())
+        rows.append(np.array(sorted(own)))
+        # alone either of them is as often toxic as any text
+        labels.append(float(a and b) if a and b else float(rng.random() < 0.12))
+    kept = set(toxicity.choose(rows, np.array(labels), 10).tolist())
+    assert {1, 2} <= kept and len(kept) < 40
+    assert toxicity.PAIR_SHARE <= 0.01
+
+
+def test_pairs_are_those_of_all_counts(monkeypatch):
+    from lodex.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(60) < 0.15) for _ in range(600)]
+    labels = np.array([float({3, 7} <= set(r) or {11, 40} <= set(r) or rng.random() < 0.05) for r in rows])
+    got = set(toxicity.choose(rows, labels, 6).tolist())
+    n, p, want = len(rows), labels.mean(), set()
+    has = np.array([[c in set(r) for c in range(60)] for r in rows])
+    chi = lambda m: float(toxicity.chi_squared(np.array([labels[m].sum()]), np.array([m.sum()]), n, p)[0])
+    for a in range(60):
+        if chi(has[:, a]) > toxicity.ALONE and has[:, a].sum() >= toxicity.LEAST_ROWS:
+            want.add(a)
+        for b in range(a + 1, 60):
+            m = has[:, a] & has[:, b]
+            if m.sum() >= toxicity.LEAST_ROWS and labels[m].sum() > m.sum() * p and chi(m) > toxicity.TOGETHER + 2 * max(chi(has[:, a]), chi(has[:, b])):
+                want |= {a, b}
+    assert got == want and {3, 7, 11, 40} <= got
+
+
+def test_neighbours_of_many_shards(spark, monkeypatch):
+    from lodex.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "FEW_ROWS", 500)
+    rng = np.random.default_rng(9)
+    xs = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(xs)], "id long, vec array<double>")
+    got = {(r.query_id, r.vec_id) for r in neighbours.search(df, F.col("id") % 50 == 0).collect()}  # six shards
+    d = ((xs[::50, None] - xs[None]) ** 2).sum(axis=2)
+    want = {(50 * q, int(v)) for q in range(60) for v in [x for x in np.argsort(d[q]) if x != 50 * q][:10]}
+    assert len(got & want) / len(want) >= 0.9 and len(got) == 600
