@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dom
 from ..functions import text as T
 from ..functions.constants import MODULE_SYNONYMS, NOISE_PATTERNS, POST_PATTERNS, PROGRAM_SYNONYMS, SERVICE_SYNONYMS
-from ..functions.splitters import recursive, sentences, splitter, windows
+from ..functions.splitters import recursive, sentences, splitter, windows, with_pieces
 from ..operators import chunk, crawl, fuzzy, timetable
 from . import sql as S
 from .registry import query, table
@@ -193,9 +193,28 @@ def t29(spark, d):
     return chunk.chunk_documents(docs, split=chunk.stride).select("url", F.col("chunk_index").cast("long").alias("chunk_index"), "section_heading", "text")
 
 
-@query("T25_recursive_chunks")
+#: SQL of the recursive splitter. calls: a text with the coarsest separator that occurs in it, and in turn each part of
+#: it that is too long, with the finer ones. spans: runs of the other parts, their lengths with separators summed up.
+#: cuts: from part a the last part b that fits; then the first part a that leaves room and keeps the overlap.
+RECURSIVE = """WITH RECURSIVE calls AS (
+  SELECT doc_id, '' AS path, text AS x, CASE WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10) WHEN contains(text, chr(10)) THEN chr(10) WHEN contains(text, ' ') THEN ' ' ELSE '' END AS sep FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, path || lpad(i::varchar, 8, '0'), part, CASE WHEN length(sep) = 2 AND contains(part, chr(10)) THEN chr(10) WHEN sep <> ' ' AND contains(part, ' ') THEN ' ' ELSE '' END
+  FROM (SELECT doc_id, path, sep, unnest(string_split(x, sep)) AS part, unnest(range(1, len(string_split(x, sep)) + 1)) AS i FROM calls WHERE sep <> '') WHERE length(part) > {size}),
+parts AS (SELECT doc_id, path, sep, unnest(string_split(x, sep)) AS part, unnest(range(1, len(string_split(x, sep)) + 1)) AS i FROM calls),
+runs AS (SELECT *, sum(CASE WHEN length(part) > {size} AND sep <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, path ORDER BY i) AS nr FROM parts WHERE part <> ''),
+sums AS (SELECT *, sum(length(part) + length(sep)) OVER (PARTITION BY doc_id, path, nr ORDER BY i) AS c FROM runs WHERE NOT (length(part) > {size} AND sep <> '')),
+spans AS (SELECT doc_id, path, nr, any_value(sep) AS sep, list(part ORDER BY i) AS ps, list(i ORDER BY i) AS nos, list(c::bigint ORDER BY i) AS cs FROM sums GROUP BY doc_id, path, nr),
+cuts AS (
+  SELECT doc_id, path, nr, sep, ps, nos, cs, 1::bigint AS a, len(list_filter(cs, lambda c: c <= {size} + length(sep)))::bigint AS b FROM spans
+  UNION ALL SELECT doc_id, path, nr, sep, ps, nos, cs, a, len(list_filter(cs, lambda c: c <= {size} + length(sep) + CASE WHEN a > 1 THEN cs[a - 1] ELSE 0 END))::bigint
+  FROM (SELECT * REPLACE (least(b + 1, 1 + len(list_filter(list_prepend(0, cs), lambda c: c < cs[b] - length(sep) - least({overlap}, {size} - length(ps[b + 1]) - length(sep)))))::bigint AS a) FROM cuts WHERE b < len(ps))),
+pieces AS (SELECT doc_id, path || lpad(nos[b]::varchar, 8, '0') AS place, regexp_replace(list_reduce(ps[a:b], lambda u, w: u || sep || w), '^\\s+|\\s+$', '', 'g') AS piece FROM cuts)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS chunk_index, piece FROM pieces WHERE piece <> ''"""
+
+
+@query("T25_recursive_chunks", RECURSIVE.format(size=800, overlap=120))
 def t25(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(splitter(recursive, 800, 120)(F.col("text"))).alias("chunk_index", "piece"))
+    return with_pieces(table(spark, d, "documents").select("doc_id", "text"), "text", recursive, 800, 120).select("doc_id", "chunk_index", "piece")
 
 
 def last_in(part: str, sign: str) -> str:
@@ -203,11 +222,11 @@ def last_in(part: str, sign: str) -> str:
     return f"CASE WHEN contains({part}, {sign}) THEN length({part}) - length({sign}) - instr(reverse({part}), reverse({sign})) + 1 END"
 
 
-def walk_sql(text: str, stop: str, size: int, overlap: int, go_on: str) -> str:
+def walk_sql(text: str, stop: str, size: int, overlap: int, go_on: str, source: str = "documents") -> str:
     """SQL of a splitter that walks over ``text``: ``stop`` gives a piece's end from x (the text) and spot."""
     step = f"SELECT doc_id, x, i, spot, {stop} AS stop FROM s"
     return (
-        f"WITH RECURSIVE t AS (SELECT doc_id, {text} AS x FROM documents), w AS (SELECT doc_id, x, i, spot, stop FROM (WITH s AS (SELECT doc_id, x, 0::bigint AS i, 0::bigint AS spot FROM t WHERE length(x) > {size}) {step}) "
+        f"WITH RECURSIVE t AS (SELECT doc_id, {text} AS x FROM {source}), w AS (SELECT doc_id, x, i, spot, stop FROM (WITH s AS (SELECT doc_id, x, 0::bigint AS i, 0::bigint AS spot FROM t WHERE length(x) > {size}) {step}) "
         f"UNION ALL SELECT doc_id, x, i, spot, stop FROM (WITH s AS (SELECT doc_id, x, i + 1 AS i, greatest(spot + 1, stop - {overlap}) AS spot FROM w WHERE greatest(spot + 1, stop - {overlap}) < {go_on}) {step})), "
         "p AS (SELECT doc_id, i, regexp_replace(substr(x, spot + 1, stop - spot), '^\\s+|\\s+$', '', 'g') AS piece FROM w "
         f"UNION ALL SELECT doc_id, 0, x FROM t WHERE length(x) <= {size} AND regexp_matches(x, '\\S'))"
@@ -232,9 +251,19 @@ def t28(spark, d):
     return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "piece")
 
 
-@query("T45_part_chunks")
+PART_STOP = f"CASE WHEN spot + 1200 < length(x) AND {last_in('substr(x, spot + 1, 1200)', repr(' '))} > 600 THEN spot + {last_in('substr(x, spot + 1, 1200)', repr(' '))} ELSE spot + 1200 END"
+PAGE_TEXT = f"(SELECT row_number() OVER () AS doc_id, url, {S.plain('html')} AS x, {S.plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages)"
+
+
+@query(
+    "T45_part_chunks",
+    walk_sql("x", PART_STOP, 1200, 150, "length(x) - 150", "(SELECT * FROM pg WHERE length(x) >= 200)").replace("WITH RECURSIVE t AS", f"WITH RECURSIVE pg AS {PAGE_TEXT}, t AS", 1)
+    + ", k AS (SELECT p.doc_id, p.i, p.piece, g.url, g.title, count(*) OVER (PARTITION BY p.doc_id) AS chunk_total FROM p JOIN pg g USING (doc_id)) "
+    "SELECT url, CASE WHEN chunk_total > 1 THEN title || ' (Part ' || (i + 1) || ')' ELSE title END AS title, piece AS text, i AS chunk_index, chunk_total, string_split(regexp_replace(coalesce(regexp_extract(url, '^https?://([^/?#:]+)', 1), ''), '^www\\.', ''), '.')[1] AS source, ('0x' || substr(md5(url || '_' || i), 1, 12))::bigint AS id FROM k",
+)
 def t45(spark, d):
-    return chunk.window_chunks(table(spark, d, "pages").select("url", dom.title(F.col("html")).alias("title"), dom.plain(F.col("html")).alias("text")))
+    rows = chunk.window_chunks(table(spark, d, "pages").select("url", dom.title(F.col("html")).alias("title"), dom.plain(F.col("html")).alias("text")))
+    return rows.withColumn("chunk_index", F.col("chunk_index").cast("long")).withColumn("chunk_total", F.col("chunk_total").cast("long"))
 
 
 DAY = "['Sonntag','Montag','Dienstag','Mittwoch','Donnerstag','Freitag','Samstag'][dayofweek(ts) + 1]"
