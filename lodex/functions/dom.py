@@ -6,10 +6,10 @@ from __future__ import annotations
 import json
 import re
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import BINARY_EXTENSIONS
@@ -182,17 +182,42 @@ def page_record(html: Column) -> Column:
     return run(html)
 
 
-def pdf_links_of(html: str | None, base: str) -> list[str]:
-    """Links to PDF files by href, then by data-href, absolute, each once."""
-    found = [m[2] for kind in ("href", "data-href") for m in re.finditer(rf"<a\b[^>]*?\s({kind})=[\"']([^\"']+?\.pdf)[\"']", html or "", re.I)]
-    return list(dict.fromkeys(urljoin(base, f) for f in found))
+LD_FIELDS = ("name", "description", "articleBody", "jobTitle", "startDate", "endDate", "location.name")
 
 
-def table_rows_of(html: str | None) -> list[list[str]]:
-    """The cells of a page's first table."""
-    table = re.search(r"(?is)<table\b.*?</table>", html or "")
-    rows = re.findall(r"(?is)<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|\Z)", table[0]) if table else []
-    return [[squeeze(re.sub(r"<[^>]*>", " ", c)) for c in re.findall(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]>|<t[dh]\b|\Z)", r)] for r in rows]
+def json_ld_items(rows: DataFrame, html: str, least: int = 40) -> DataFrame:
+    """T15 as a plan: ``rows`` beside heading and text of each describing JSON-LD object of their
+    ``html``; objects may stand alone, in an array or in a graph. What isn't JSON is passed over."""
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
+    values = rows.withColumn("_v", F.explode(F.transform(blocks, lambda b: F.try_parse_json(b)))).where("_v is not null")
+    graph = F.coalesce(F.try_variant_get("_v", "$['@graph']", "array<variant>"), F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))
+    items = values.select(*rows.columns, F.explode(graph).alias("_v"))
+    fields = [F.nullif(F.try_variant_get("_v", f"$.{f}", "string"), F.lit("")) for f in LD_FIELDS]
+    text = F.trim(F.regexp_replace(F.concat_ws(" ", *fields), r"\s+", " "))
+    return items.select(*rows.columns, F.coalesce(fields[0], F.lit("Strukturierte Daten")).alias("heading"), text.alias("text")).where(F.length("text") >= least)
+
+
+def pdf_links(html: Column, base: Column) -> Column:
+    """Links to PDF files by href, then by data-href, absolute by the page's URL, each once.
+    Steps up (..) are left as they are."""
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(rf"(?i)<a\b[^>]*?\s{kind}=[\"']([^\"']+?\.pdf)[\"']"), 1) for kind in ("href", "data-href")])
+    scheme, origin = F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*:", 0), F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    folder = F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*.*/|[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*$)", 0)
+    folder = F.when(folder.endswith("/") & (F.length(folder) > F.length(origin)), folder).otherwise(F.concat(origin, F.lit("/")))
+
+    def absolute(link: Column) -> Column:
+        return F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link)).otherwise(F.concat(folder, link))
+
+    return F.array_distinct(F.transform(F.coalesce(found, F.array().cast("array<string>")), absolute))
+
+
+def table_rows(html: Column) -> Column:
+    """The cells of a page's first table, as an array of arrays."""
+    body = F.regexp_extract(html, r"(?is)<table\b.*?</table>", 0)
+    rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|\z)"), 1)
+    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]>|<t[dh]\b|\z)"), 1)
+    plain_cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
+    return F.transform(rows, lambda r: F.transform(cells(r), plain_cell))
 
 
 def host_label(url: str) -> str:

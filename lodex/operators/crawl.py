@@ -6,19 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BINARY_EXTENSIONS
-
-
-def bfs(seeds: DataFrame, links: DataFrame, depth: int, max_pages: int | None = None, cut_every: int = 4) -> DataFrame:
-    """S1. (url, depth) of the pages reached from seeds (url) over links (src, dst): one join and one
-    anti-join for each depth; the frontier is cut off its lineage every few depths."""
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for d in range(1, depth + 1):
-        frontier = links.join(frontier, links.src == frontier.url, "left_semi").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
-        if d % cut_every == 0 and seeds.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            frontier = frontier.checkpoint()
-            seen = seen.checkpoint()
-        seen = seen.unionByName(frontier)
+from ..scratch import finished, folder
+
+
+def walk(seeds: DataFrame, links: DataFrame, path: str, depth: int | None = None) -> DataFrame:
+    """S1. (url, depth) of the pages reached from seeds (url) over links (src, dst), breadth first.
+    Every round's frontier is written below ``path`` and read from there: one join with the last
+    round and one anti-join with all rounds, no lineage beyond a round. The walk ends when a round
+    reaches nothing new, or at ``depth``; a walk that was broken off goes on from the rounds that are
+    there, with the seeds it began with."""
+    spark = seeds.sparkSession
+    rounds = finished(spark, path)
+    if not rounds:
+        seeds.select("url").distinct().write.parquet(f"{path}/depth=0")
+        rounds = [0]
+    while (depth is None or rounds[-1] < depth) and not spark.read.parquet(f"{path}/depth={rounds[-1]}").isEmpty():
+        d = rounds[-1] + 1
+        last = spark.read.parquet(f"{path}/depth={d - 1}")
+        seen = spark.read.schema("url string").parquet(*[f"{path}/depth={r}" for r in rounds])
+        found = links.join(last, links.src == last.url, "left_semi").select(F.col("dst").alias("url")).distinct()
+        found.join(seen, "url", "left_anti").write.mode("overwrite").parquet(f"{path}/depth={d}")
+        rounds.append(d)
+    return spark.read.option("basePath", path).schema("url string, depth int").parquet(*[f"{path}/depth={r}" for r in rounds])
+
+
+def bfs(seeds: DataFrame, links: DataFrame, depth: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """S1 in a folder that goes with the application; ``max_pages``: those reached first."""
+    seen = walk(seeds, links, f"{folder(seeds.sparkSession, 'crawl')}/rounds", depth)
     return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
 
 
@@ -56,16 +70,33 @@ def fetchable(url: Column, deny: tuple[str, ...] = ()) -> Column:
     return ok & ~url.rlike("|".join(deny)) if deny else ok
 
 
+SITEMAP = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
+
+
+def parsed_sitemaps(sitemaps: DataFrame) -> DataFrame:
+    """(sitemap, pages, nested) of (sitemap, xml), parsed as XML; what isn't XML is searched for its
+    locations. A location that ends in .xml counts as nested wherever it stands."""
+    rows = sitemaps.select("sitemap", F.from_xml("xml", SITEMAP, {"mode": "PERMISSIVE"}).alias("x"), F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1), lambda u: F.trim(u)).alias("raw"))
+    own = F.concat(*[F.transform(F.coalesce(f"x.{c}", F.array().cast("array<struct<loc:string>>")), lambda u: F.trim(u.loc)) for c in ("url", "sitemap")])
+    rows = rows.select("sitemap", F.array_compact(F.when(F.size(own) > 0, own).otherwise(F.coalesce("raw", F.array().cast("array<string>")))).alias("locs"))
+    is_map = lambda u: F.lower(u).endswith(".xml")
+    return rows.select("sitemap", F.filter("locs", lambda u: ~is_map(u) & (u != "")).alias("pages"), F.filter("locs", is_map).alias("nested"))
+
+
+def sitemap_pages(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:
+    """S7. The distinct pages of the sitemaps reached from roots (sitemap) through nested indexes, as
+    deep as they go; sitemaps (sitemap, xml) are the stored files."""
+    rows = parsed_sitemaps(sitemaps)
+    links = rows.select(F.col("sitemap").alias("src"), F.explode("nested").alias("dst"))
+    reached = bfs(roots.select(F.col("sitemap").alias("url")), links).select(F.col("url").alias("sitemap"))
+    return rows.join(reached, "sitemap", "left_semi").select(F.explode("pages").alias("url")).distinct()
+
+
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     """S7. sitemaps (sitemap, xml) to the distinct sorted page URLs; nested indexes are entries
     that end in .xml and are returned apart by nested_sitemaps."""
-    return _locs(sitemaps).where(~F.lower("url").endswith(".xml")).select("url").distinct().orderBy("url")
+    return parsed_sitemaps(sitemaps).select(F.explode("pages").alias("url")).distinct().orderBy("url")
 
 
 def nested_sitemaps(sitemaps: DataFrame) -> DataFrame:
-    return _locs(sitemaps).where(F.lower("url").endswith(".xml")).select("url").distinct().orderBy("url")
-
-
-def _locs(sitemaps: DataFrame) -> DataFrame:
-    found = F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), 1)
-    return sitemaps.select(F.explode(found).alias("url")).where("url <> ''")
+    return parsed_sitemaps(sitemaps).select(F.explode("nested").alias("url")).distinct()

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions.constants import MODULE_SYNONYMS, PROGRAM_SYNONYMS
 from ..operators import chunk, feedback, fuzzy, present, rank
 from ..sources import readers, store
+from ..streaming import feedback as streams
 from . import sql as S
 from .registry import query, table
 from .search import Collection
@@ -163,19 +164,83 @@ def t35(spark, d):
     return present.student_body_record(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("content")), "asta")
 
 
-@query("T20_pdf_links", "SELECT n_nationkey, 'https://x.example/d/a' || n_nationkey || '.pdf,https://x.example/' || n_nationkey || '.PDF,https://x.example/b.pdf' AS links FROM nation")
+BARE = "regexp_replace(url, '[?#].*$', '')"
+ORIGIN = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')"
+PDF_FOLDER = f"CASE WHEN regexp_matches({BARE}, '^[a-zA-Z]+://[^/]*$') THEN {BARE} || '/' ELSE regexp_replace({BARE}, '[^/]*$', '') END"
+
+
+@query("T20_pdf_links", f"SELECT page_id, {PDF_FOLDER} || 'a' || page_id || '.pdf,' || {ORIGIN} || '/' || page_id || '.PDF,' || {ORIGIN} || '/b.pdf' AS links FROM pages")
 def t20(spark, d):
-    key = F.col("n_nationkey").cast("string")
-    html = F.concat(F.lit("<a data-href='/b.pdf'>x</a><a class=k href='a"), key, F.lit(".pdf'>1</a><a href=\"/"), key, F.lit(".PDF\">2</a><a href='a"), key, F.lit(".pdf'>again</a><a href='/page'>3</a>"))
-    links = F.udf(lambda h: ",".join(dom.pdf_links_of(h, "https://x.example/d/")), "string", useArrow=True)
-    return table(spark, d, "nation").select("n_nationkey", links(html).alias("links"))
+    """Whole pages, with links to files at their end."""
+    key = F.col("page_id").cast("string")
+    html = F.concat("html", F.lit("<a data-href='/b.pdf'>x</a><a class=k href='a"), key, F.lit(".pdf'>1</a><a href=\"/"), key, F.lit(".PDF\">2</a><a href='a"), key, F.lit(".pdf'>again</a><a href='/page'>3</a>"))
+    return table(spark, d, "pages").select("page_id", F.array_join(dom.pdf_links(html, F.col("url")), ",").alias("links"))
 
 
-@query("T17_html_tables", "SELECT n_nationkey, '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS md FROM nation")
+@query("T17_html_tables", "SELECT page_id, '| Key | Name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || page_id || ' | ' || url || ' |' AS md FROM pages")
 def t17(spark, d):
-    html = F.concat(F.lit("<p>x</p><table class=t><tr><th> Key <th><b>Name</b></tr><tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td>"), "n_name", F.lit("</td></tr></table><table><tr><td>no</td></tr></table>"))
-    cells = F.udf(dom.table_rows_of, "array<array<string>>", useArrow=True)
-    return table(spark, d, "nation").select("n_nationkey", cells(html).alias("rows")).select("n_nationkey", T.markdown_table(F.col("rows")).alias("md"))
+    html = F.concat("html", F.lit("<p>x</p><table class=t><tr><th> Key <th><b>Name</b></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), "url", F.lit("</td></tr></table><table><tr><td>no</td></tr></table>"))
+    return table(spark, d, "pages").select("page_id", T.markdown_table(dom.table_rows(html)).alias("md"))
+
+
+@query(
+    "T15_json_ld",
+    "SELECT doc_id, source AS heading, trim(regexp_replace(source || ' ' || text || ' ' || lang, '\\s+', ' ', 'g')) AS text FROM documents WHERE lang <> 'es' AND source IS NOT NULL AND text IS NOT NULL AND length(trim(regexp_replace(source || ' ' || text || ' ' || lang, '\\s+', ' ', 'g'))) >= 40",
+)
+def t15(spark, d):
+    """Documents as JSON-LD: an object, one of an array beside another that is too short, in a graph, and
+    broken in Spanish ones."""
+    docs = table(spark, d, "documents").where("source is not null and text is not null and lang is not null")
+    one = F.struct(F.col("source").alias("name"), F.col("text").alias("description"), F.struct(F.col("lang").alias("name")).alias("location"))
+    many = F.to_json(F.array(one, F.struct(F.lit("kurz").alias("name"), F.lit("zu kurz").alias("description"), F.struct(F.lit("").alias("name")).alias("location"))))
+    whole = F.when(F.col("lang") == "de", many).when(F.col("lang") == "fr", F.to_json(F.struct(F.array(one).alias("@graph")))).when(F.col("lang") == "es", F.lit('{"name": ')).otherwise(F.to_json(one))
+    pages = docs.select("doc_id", F.concat(F.lit("<p>x</p><script type='application/ld+json'>"), whole, F.lit("</script><script>var a = 1;</script>")).alias("html"))
+    return dom.json_ld_items(pages, "html").select("doc_id", "heading", "text")
+
+
+# --- files -----------------------------------------------------------------------------------
+
+FIFTY = "SELECT doc_id // 50 AS part, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents WHERE text IS NOT NULL GROUP BY 1"
+
+
+def fifties(spark: SparkSession, d: str) -> DataFrame:
+    """The documents by fifty, as one text each."""
+    parts = table(spark, d, "documents").where("text is not null").groupBy(F.floor(F.col("doc_id") / 50).alias("part")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang"))).alias("rows"))
+    return parts
+
+
+@query("S9_folder", f"SELECT md5(content || chr(10)) AS content, length(content) + 1 AS n FROM ({FIFTY}) WHERE length(content) >= 50")
+def s9(spark, d):
+    """A folder of text files, one for fifty documents, through the loader of folders."""
+    path = scratch.folder(spark, "files")
+    fifties(spark, d).select(F.array_join(F.transform("rows", lambda r: r.text), "\n").alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(f"{path}/in")
+    rows = readers.load(spark, readers.Source("docs", "folder", "c", options={"path": f"{path}/in"}))
+    return rows.select(F.md5("content").alias("content"), F.length("content").cast("long").alias("n"))
+
+
+@query("S17_json_document", "SELECT doc_id, text, lang FROM documents WHERE text IS NOT NULL")
+def s17(spark, d):
+    """JSON documents over several lines, an array of fifty records in each file."""
+    path = scratch.folder(spark, "json")
+    fifties(spark, d).select(F.to_json("rows", {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(f"{path}/in")
+    return readers.json_document(spark, f"{path}/in", "doc_id long, text string, lang string")
+
+
+@query("K8_report", "SELECT 'lang' AS section, lang AS key, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source")
+def k8(spark, d):
+    path = scratch.folder(spark, "report")
+    docs = table(spark, d, "documents")
+    store.write_report({c: docs.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")) for c in ("lang", "source")}, path)
+    return spark.read.schema("key string, n long, section string").json([f"{path}/lang", f"{path}/source"]).select(F.regexp_extract(F.col("_metadata.file_path"), "/([a-z]+)/[^/]*$", 1).alias("section"), "key", "n")
+
+
+@query("ST4_feedback_lines", "SELECT event_id, user_id, event_type AS summary, value AS rating FROM events")
+def st4(spark, d):
+    """ST4, ST5: a stream of answers' ratings appended as JSON lines, read as those are."""
+    path = scratch.folder(spark, "feedback")
+    rows = spark.readStream.schema(streams.EVENT).option("pathGlobFilter", "events*.parquet").parquet(d)
+    streams.append(rows.select("event_id", "user_id", F.col("event_type").alias("summary"), F.col("value").alias("rating")), f"{path}/lines", f"{path}/checkpoint").awaitTermination()
+    return readers.json_lines(spark, f"{path}/lines", "event_id long, user_id long, summary string, rating double", strict=True)
 
 
 # --- shown results ---------------------------------------------------------------------------

@@ -592,13 +592,24 @@ def k10(spark, d):
 GRAPH = "n AS (SELECT count(*) AS n FROM pages), e AS (SELECT DISTINCT l.url AS src, r.url AS dst FROM (SELECT url, unnest([(page_id * 7 + 3) % n, (page_id + 11) % n]) AS t FROM pages CROSS JOIN n) l JOIN pages r ON r.page_id = l.t)"
 
 
-@query("S1_bfs", f"WITH RECURSIVE {GRAPH}, w(url, depth) AS (SELECT url, 0 FROM pages WHERE page_id = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 6) SELECT url, min(depth) AS depth FROM w GROUP BY url")
-def s1(spark, d):
+def page_links(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The first page, and two links of each page."""
     p = table(spark, d, "pages").select("page_id", "url")
     n = F.lit(p.count())
     to = F.explode(F.array((F.col("page_id") * 7 + 3) % n, (F.col("page_id") + 11) % n))
     links = p.select(F.col("url").alias("src"), to.alias("to")).join(p.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst").distinct()
-    return crawl.bfs(p.where("page_id = 0").select("url"), links, 6)
+    return p.where("page_id = 0").select("url"), links
+
+
+@query("S1_bfs", f"WITH RECURSIVE {GRAPH}, w(url, depth) AS (SELECT url, 0 FROM pages WHERE page_id = 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 6) SELECT url, min(depth) AS depth FROM w GROUP BY url")
+def s1(spark, d):
+    return crawl.bfs(*page_links(spark, d), 6)
+
+
+@query("S1_walk", f"WITH RECURSIVE {GRAPH}, w(url) AS (SELECT url FROM pages WHERE page_id = 0 UNION SELECT e.dst FROM w JOIN e ON e.src = w.url) SELECT url FROM w")
+def s1_walk(spark, d):
+    """To the end, however deep."""
+    return crawl.bfs(*page_links(spark, d)).select("url")
 
 
 # --- streaming -------------------------------------------------------------------------------

@@ -356,10 +356,23 @@ def v6(spark, d):
     return table(spark, d, "documents").select("doc_id", T.point_id(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("id"))
 
 
-@query("T18_markdown_table", "SELECT n_nationkey, '| key | name | region |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |  |' AS md FROM nation")
+@query("T18_markdown_table", "SELECT page_id, '| key | url | region |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || page_id || ' | ' || url || ' |  |' AS md FROM pages")
 def t18(spark, d):
-    rows = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("region")), F.array(F.col("n_nationkey").cast("string"), F.col("n_name")))
-    return table(spark, d, "nation").select("n_nationkey", T.markdown_table(rows).alias("md"))
+    rows = F.array(F.array(F.lit("key"), F.lit("url"), F.lit("region")), F.array(F.col("page_id").cast("string"), F.col("url")))
+    return table(spark, d, "pages").select("page_id", T.markdown_table(rows).alias("md"))
+
+
+@query(
+    "S7_nested",
+    "WITH RECURSIVE r AS (SELECT 0 AS k UNION ALL SELECT 2 * k + x FROM r CROSS JOIN (VALUES (1), (2)) t(x) WHERE k % 5 <> 3 AND 2 * k + x <= (SELECT max(page_id) // 100 FROM pages)) SELECT DISTINCT url FROM pages JOIN r ON page_id // 100 = k",
+)
+def s7_nested(spark, d):
+    """Sitemaps of a hundred pages; each names two further ones, but for some."""
+    p = table(spark, d, "pages").select(F.floor(F.col("page_id") / 100).cast("long").alias("k"), F.concat(F.lit("<url><loc>\n"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>")).alias("x"))
+    name = lambda k: F.concat(F.lit("http://x.example/s"), k.cast("string"), F.lit(".xml"))
+    further = F.when(F.col("k") % 5 != 3, F.concat(*[x for i in (1, 2) for x in (F.lit("<sitemap><loc>"), name(2 * F.col("k") + i), F.lit("</loc></sitemap>"))])).otherwise("")
+    files = p.groupBy("k").agg(F.array_join(F.collect_list("x"), "").alias("own")).select(name(F.col("k")).alias("sitemap"), F.concat(F.lit("<urlset>"), "own", further, F.lit("</urlset>")).alias("xml"))
+    return crawl.sitemap_pages(spark.range(1).select(name(F.col("id")).alias("sitemap")), files)
 
 
 @query("T42_highlight", "SELECT doc_id, regexp_replace(text, '(?i)(ation|the)', '<mark>\\1</mark>', 'g') AS marked FROM documents")

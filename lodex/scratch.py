@@ -50,3 +50,14 @@ def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size, 0 if it doesn't know; reads no data."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 50 else 0
+
+
+def finished(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders <name>=<number> below ``path`` whose write was committed, without gaps."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {int(s.getPath().getName().partition("=")[2]): s.getPath() for s in files.listStatus(p) if "=" in s.getPath().getName()} if files.exists(p) else {}
+    out = []
+    while len(out) in found and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found[len(out)], "_SUCCESS")):
+        out.append(len(out))
+    return out

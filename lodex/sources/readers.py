@@ -87,7 +87,7 @@ def binary_texts(spark: SparkSession, path: str, extractors: dict[str, Extractor
 def folder(spark: SparkSession, path: str, least: int = 50, pattern: str = "*.{txt,md}", extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """Text files below ``path``, and files whose ending has an extractor, with more than
     ``least`` characters; the title is the file's name with _ and - as spaces."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("content"))
     if extractors:
         rows = rows.unionByName(binary_texts(spark, path, extractors))

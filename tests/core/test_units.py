@@ -127,8 +127,13 @@ def test_page_records(spark):
     assert dom.sections_of(None)["sections"] == []
     assert [x["heading"] for x in dom.sections_of("<h1>A</h1><h2>B</h2><p>" + "wort " * 9, empty_headings=True)["sections"]] == ["A", "B"]
     assert [r and r.title for r in column(spark, [HTML, "<p>kurz"], lambda x: dom.simple_record(x, least=50))] == ["Kopf", None]
-    assert dom.pdf_links_of('<a href="/a.pdf">x</a><a class=b href="b.pdf"></a><a href="/a.pdf"></a><a data-href="c.pdf">', "https://h.example/d/") == ["https://h.example/a.pdf", "https://h.example/d/b.pdf", "https://h.example/d/c.pdf"]
-    assert dom.table_rows_of("<table><tr><th>a<th>b</tr><tr><td> 1 </td></tr></table>") == [["a", "b"], ["1"]]
+    html = '<a href="/a.pdf">x</a><a class=b href="b.pdf"></a><a href="/a.pdf"></a><a data-href="c.pdf"><a href="//o.example/d.pdf"><a href="HTTP://p.example/e.PDF">'
+    for base, folder in (("https://h.example/d/", "https://h.example/d/"), ("https://h.example/d/x?y=/z#/w", "https://h.example/d/"), ("https://h.example", "https://h.example/"), ("https://h.example?q=1", "https://h.example/")):
+        got = spark.range(1).select(dom.pdf_links(F.lit(html), F.lit(base)).alias("l")).first().l
+        assert got == ["https://h.example/a.pdf", f"{folder}b.pdf", "https://o.example/d.pdf", "HTTP://p.example/e.PDF", f"{folder}c.pdf"], base
+    tables = ["<table><tr><th>a<th> <b>b</b></tr><tr><td> 1 </td></tr></table><table><tr><td>no</td></tr></table>", "none", None]
+    got = spark.createDataFrame([(t,) for t in tables], "h string").select(dom.table_rows(F.col("h")).alias("r")).collect()
+    assert [r.r for r in got] == [[["a", "b"], ["1"]], [], None]
 
 
 def test_links(spark):
@@ -316,7 +321,7 @@ def test_splitters_always_get_on(split, overlap):
     from lodex.functions import splitters
 
     text = "word and more words. " * 20
-    pieces = getattr(splitters, split)(text, 40, overlap)
+    pieces = list(getattr(splitters, split)(text, 40, overlap))
     assert 0 < len(pieces) <= len(text) and all(p in text for p in pieces)
 
 
