@@ -37,9 +37,9 @@ PREFIXES = (4, 5)
 MAX_ROWS = 20_000
 #: Texts that must have a column, share that must have a column of a pair, and the chi-squared values beyond
 #: chance: of a column alone, and of one among millions of pairs.
-LEAST_ROWS, PAIR_SHARE, ALONE, TOGETHER = 4, 0.005, 12, 40
+LEAST_ROWS, PAIR_SHARE, ALONE, TOGETHER = 4, 0.01, 12, 40
 #: Columns whose pairs with all others are counted at once, and texts laid out at once; they bound memory, not results.
-PAIR_BLOCK, PAIR_TEXTS = 512, 1024
+PAIR_BLOCK, PAIR_TEXTS = 64, 512
 THRESHOLD = 0.7
 
 
