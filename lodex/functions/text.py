@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -84,31 +85,47 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lexical_f(query: Column, tokens: Column, hay: Column) -> Column:
     """Q1. Columns that are there, see held(): ``query`` is normalised, ``tokens`` are its tokens, ``hay``
     is haystack()."""
-    found = F.filter(F.array_distinct(tokens), lambda t: hay.contains(t))
-    long = F.filter(tokens, lambda t: F.length(t) >= 6)
-    long_found = F.filter(long, lambda t: hay.contains(t))
-    score = 0.7 * share(F.size(found), F.size(tokens)) + F.when((F.length(query) >= 6) & hay.contains(query), 0.2).otherwise(0.0) + 0.1 * share(F.size(long_found), F.size(long))
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+
+    def score(there: Column) -> Column:
+        found = F.array_distinct(F.filter(tokens, lambda t, i: F.get(there, i)))
+        long, long_found = F.filter(tokens, lambda t: F.length(t) >= 6), F.filter(tokens, lambda t, i: (F.length(t) >= 6) & F.get(there, i))
+        return 0.7 * share(F.size(found), F.size(tokens)) + F.when((F.length(query) >= 6) & hay.contains(query), 0.2).otherwise(0.0) + 0.1 * share(F.size(long_found), F.size(long))
+
+    whole = let(F.transform(tokens, lambda t: hay.contains(t)), score)
+    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)))
 
 
 def lexical_b(query: Column, tokens: Column, hay: Column) -> Column:
-    """Q2: unigram, bigram and trigram coverage, phrase and long tokens."""
-
-    def covered(grams: Column) -> Column:
-        return share(F.size(F.filter(grams, lambda g: hay.contains(g))), F.size(grams))
-
-    long = F.filter(tokens, lambda t: F.length(t) >= 6)
-    score = (
-        0.55 * share(F.size(F.filter(F.array_distinct(tokens), lambda t: hay.contains(t))), F.size(tokens))
-        + 0.25 * covered(ngrams(tokens, 2))
-        + 0.15 * covered(ngrams(tokens, 3))
-        + F.when((F.length(query) >= 6) & hay.contains(query), 0.3).otherwise(0.0)
-        + 0.1 * share(F.size(F.filter(long, lambda t: hay.contains(t))), F.size(long))
-    )
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+    """Q2: unigram, bigram and trigram coverage, phrase and long tokens. A gram can be there only if
+    its parts are, so bigrams are looked for where both tokens were found, and trigrams where both
+    bigrams were."""
+    n = F.size(tokens)
+
+    def grams(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(k)]))).otherwise(F.array().cast("array<string>"))
+
+    def found_in(made: Column, parts: Column) -> Column:
+        return F.transform(made, lambda g, i: F.get(parts, i) & F.get(parts, i + 1) & hay.contains(g))
+
+    def covered(made: Column, there: Column) -> Column:
+        return share(F.size(F.array_distinct(F.filter(made, lambda g, i: F.get(there, i)))), F.size(F.array_distinct(made)))
+
+    def score(there: Column) -> Column:
+        found = F.array_distinct(F.filter(tokens, lambda t, i: F.get(there, i)))
+        long, long_found = F.filter(tokens, lambda t: F.length(t) >= 6), F.filter(tokens, lambda t, i: (F.length(t) >= 6) & F.get(there, i))
+        of_grams = let(grams(2), lambda two: let(found_in(two, there), lambda two_there: 0.25 * covered(two, two_there) + let(grams(3), lambda three: let(found_in(three, two_there), lambda three_there: 0.15 * covered(three, three_there)))))
+        return 0.55 * share(F.size(found), n) + of_grams + F.when((F.length(query) >= 6) & hay.contains(query), 0.3).otherwise(0.0) + 0.1 * share(F.size(long_found), F.size(long))
+
+    whole = let(F.transform(tokens, lambda t: hay.contains(t)), score)
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)))
 
 
 def strict_match(tokens: Column, quoted: Column, hay: Column) -> Column:
