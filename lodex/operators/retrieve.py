@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.constants import BM25_B, BM25_K1, CHALLENGER_DISCOUNT, DEDUP_PREFIX, LEAST_WEIGHT, RRF_K, STOPWORDS
 from ..functions.text import normalize, runs_of
@@ -70,8 +72,9 @@ class TermIndex:
     postings are found by the files' statistics and a common term lies in many of them. frequency
     (term, df), and one row of statistics. Nothing is counted again by a query."""
 
-    #: Documents in a block, blocks that a pruned search reads at first, terms of a query that it is made for.
-    BLOCK, FIRST, SHORT = 128, 4, 32
+    #: Documents in a block, blocks that a pruned search reads at first, terms of a query that it is made for, and
+    #: postings up to which a few queries simply read them all. They decide what is read, not what is found.
+    BLOCK, FIRST, SHORT, DIRECT = 128, 4, 32, 1 << 20
 
     def __init__(self, spark: SparkSession, path: str, idf: bool = True):
         self.spark, self.path, self.idf = spark, path, idf
@@ -118,12 +121,25 @@ class TermIndex:
         return saturation(self.k1, self.b, self.avgdl) * self.idf_of(F.col("df"))
 
     def top(self, queries: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-        """R2. queries (query_id, text) -> query_id, id, score, rank. Queries of a few words read the
-        blocks that can hold a hit, others all postings of their terms; the rows are the same. The terms
-        of few queries are a filter of the scan; those of many join by term."""
-        wanted = postings(queries, "query_id").select(F.col("id").alias("query_id"), "term")
-        longest = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        return self.top_pruned(wanted, k, decimals) if longest <= self.SHORT else self.top_of_all(wanted, k, decimals)
+        """R2. queries (query_id, text) -> query_id, id, score, rank. Queries of a few words whose terms
+        are common read the blocks that can hold a hit, others all postings of their terms; the rows are
+        the same. The terms of few queries are looked up first and filter the scan, so one search is two
+        small jobs and one over its own postings; those of many join by term."""
+        wanted = self.wanted(queries)
+        few = wanted.limit(PUSHED_TERMS + 1).collect()
+        if len(few) > PUSHED_TERMS:
+            longest = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            return self.top_pruned(wanted, k, decimals) if longest <= self.SHORT else self.top_of_all(wanted, k, decimals)
+        own = F.col("term").isin(sorted({r.term for r in few}))
+        df = {r.term: r.df for r in self.frequency.where(own).collect()}
+        terms = self.spark.createDataFrame([(r.query_id, r.term, df[r.term]) for r in few if r.term in df], StructType([wanted.schema["query_id"], wanted.schema["term"], StructField("df", LongType())]))
+        longest = max(Counter(r.query_id for r in few).values(), default=0)
+        search = self._pruned if longest <= self.SHORT and sum(df.values()) > self.DIRECT else self._of_all
+        return search(self.blocks.where(own), terms, k, decimals)
+
+    @staticmethod
+    def wanted(queries: DataFrame) -> DataFrame:
+        return postings(queries, "query_id").select(F.col("id").alias("query_id"), "term")
 
     def _held(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The blocks of the wanted terms, as far as a filter of the scan can tell, and the terms with idf."""
@@ -139,7 +155,9 @@ class TermIndex:
         return hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), decimals).alias("score"))
 
     def top_of_all(self, wanted: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-        blocks, terms = self._held(wanted)
+        return self._of_all(*self._held(wanted), k, decimals)
+
+    def _of_all(self, blocks: DataFrame, terms: DataFrame, k: int, decimals: int) -> DataFrame:
         return ranked(self._scores(blocks.join(terms, "term"), decimals), ["query_id"], "score", "id", k)
 
     def read_plan(self, blocks: DataFrame, terms: DataFrame, k: int, decimals: int) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +173,9 @@ class TermIndex:
         return best, rest.select("query_id", "block")
 
     def top_pruned(self, wanted: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-        blocks, terms = self._held(wanted)
+        return self._pruned(*self._held(wanted), k, decimals)
+
+    def _pruned(self, blocks: DataFrame, terms: DataFrame, k: int, decimals: int) -> DataFrame:
         best, rest = self.read_plan(blocks, terms, k, decimals)
         more = ranked(self._scores(blocks.join(terms, "term").join(rest, ["query_id", "block"]), decimals), ["query_id"], "score", "id", k)
         return ranked(best.drop("rank").unionByName(more.drop("rank")), ["query_id"], "score", "id", k)

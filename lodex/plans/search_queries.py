@@ -81,7 +81,8 @@ def short_queries(spark, d) -> DataFrame:
 
 @query("R2_block_topk", f"WITH {S.POSTINGS}, qs AS (SELECT page_id AS query_id, {TITLE} AS text FROM pages WHERE page_id % {EVERY} = 0), {S.bm25('qs')} SELECT query_id, id, score, rank FROM {S.ranks('bm', 20)}")
 def r2_blocks(spark, d):
-    return index(spark, d).top(short_queries(spark, d), 20, 4).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    own = index(spark, d)
+    return own.top_pruned(own.wanted(short_queries(spark, d)), 20, 4).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _vectors: dict[tuple, VectorIndex] = {}
