@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import folder
-from .retrieve import doubles, dot, ranked
+from .meet import Vectors, meet_cells
+from .retrieve import doubles, dot, ranked, unit_rows
 
 #: Rows that centroids are fitted on at most (by a hash of the id; every row is indexed), cells at most,
-#: rows a file, and (query, cell) pairs sent to the rows at once.
-SAMPLE, CELLS, FILE_ROWS, PAIRS = 65_536, 4_096, 1 << 20, 1 << 19
+#: and rows a file.
+SAMPLE, CELLS, FILE_ROWS = 65_536, 4_096, 1 << 20
 #: Cells are kept that miss the k-th best score by rounding alone.
 SLACK = 1e-7
 
@@ -95,24 +96,42 @@ class VectorIndex:
         """For one block of queries: the best k rows of each query's nearest cells, and the (query, cell)
         pairs that are left to read."""
         bound = self.bounds(queries)
+        seen, begun = self._begun(queries, k)
+        keys = ["query_id", "cell"]
+        first = ranked(self.scored(bound.join(begun, keys), decimals), ["query_id"], "score", "id", k)
+        return first, bound.join(self._rest(seen, first, k, decimals), keys)
+
+    def _begun(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """(query_id, cell, near, first), and the pairs of the nearest cells, which hold k rows between them."""
+        bound = self.bounds(queries).select("query_id", "cell", "n", "near")
         seen = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("near"), "cell").rowsBetween(Window.unboundedPreceding, -1))
         bound = bound.withColumn("first", F.coalesce(seen, F.lit(0)) < k)
-        first = ranked(self.scored(bound.where("first"), decimals), ["query_id"], "score", "id", k)
+        return bound, bound.where("first").select("query_id", "cell")
+
+    @staticmethod
+    def _rest(bound: DataFrame, first: DataFrame, k: int, decimals: int) -> DataFrame:
+        """(query_id, cell, least): the other pairs that can hold one of the best k."""
         least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
         rest = bound.where("not first").join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("near") >= F.col("least") - 10.0**-decimals))
-        return first, rest
+        return rest.select("query_id", "cell", "least")
+
+    def near(self, queries: DataFrame, pairs: DataFrame, k: int, decimals: int) -> DataFrame:
+        """The best k rows of each (query_id, cell, least) pair, as products of matrices: a cell's rows meet the
+        queries that want it. queries (query_id, vec, norm)."""
+        cells = pairs.groupBy("query_id").agg(F.collect_list(F.struct("cell", "least")).alias("cells"))
+        asked = queries.join(cells, "query_id").select("query_id", "vec", "norm", F.inline("cells"))
+        return meet_cells(self.rows, asked, k, decimals, Vectors).withColumn("score", F.round("score", decimals))
 
     def top(self, queries: DataFrame, k: int, decimals: int = 9) -> DataFrame:
         """R1. queries (query_id, qvec) -> query_id, id, score, rank; equal to ``dense_top``."""
-        n, cells = queries.count(), max(1, self.cells.count())
-        blocks = max(1, -(-n * cells // PAIRS))
-        out = None
-        for i in range(blocks):
-            block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-            first, rest = self.plan(block, k, decimals)
-            both = ranked(first.drop("rank").unionByName(ranked(self.scored(rest, decimals), ["query_id"], "score", "id", k).drop("rank")), ["query_id"], "score", "id", k)
-            out = both if out is None else out.unionByName(both)
-        return out
+        vectors = unit_rows(queries, "query_id", "qvec").where("norm > 0")
+        bound, first = self._begun(queries, k)
+        begun = ranked(self.near(vectors, first.withColumn("least", F.lit(None).cast("double")), k, decimals), ["query_id"], "score", "id", k)
+        at = folder(self.spark, "begun")
+        begun.write.mode("overwrite").parquet(at)
+        begun = self.spark.read.schema(begun.schema).parquet(at)
+        more = self.near(vectors, self._rest(bound, begun, k, decimals), k, decimals)
+        return ranked(begun.drop("rank").unionByName(more), ["query_id"], "score", "id", k)
 
 
 def distance(a: Column, b: Column) -> Column:

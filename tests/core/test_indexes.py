@@ -117,3 +117,39 @@ def test_nothing_here_reads_the_training_data_package():
 @pytest.fixture(autouse=True, scope="module")
 def shipped(spark):
     ship(spark)
+
+
+def test_many_long_queries_meet_all_documents_in_parts(spark, texts, monkeypatch):
+    from lodex.operators import meet
+
+    monkeypatch.setattr(meet, "PART_ENTRIES", 5_000)
+    index = TermIndex.build(texts, blocks=False)
+    every = texts.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", "text", F.lit("never seen")).alias("text"))
+    assert index.entries > 6 * 5_000
+    got = index.top(every, 7, 4)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    whole = TermIndex.build(texts)
+    assert sorted(got.collect()) == sorted(whole.top_of_all(whole.wanted(every), 7, 4).collect())
+    assert index.top(every.limit(0), 7).count() == 0
+    # copies beyond k: the smallest ids
+    same = spark.createDataFrame([(i, "alpha beta") for i in range(300)], "id long, text string")
+    hits = TermIndex.build(same, blocks=False).top(spark.createDataFrame([(1, "alpha")], "query_id long, text string"), 5).collect()
+    assert sorted(r.id for r in hits) == [0, 1, 2, 3, 4] and len({r.score for r in hits}) == 1
+
+
+def test_dense_parts_give_what_single_scores_give(spark, monkeypatch):
+    from lodex.operators import meet
+
+    monkeypatch.setattr(meet, "PART_ROWS", 60)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8)) for i in range(400)] + [(500 + i, rng.normal(size=3)) for i in range(9)]
+    rows += [(600, None), (601, np.zeros(8)), (602, [float("nan")] * 8), *[(700 + i, rows[3][1]) for i in range(30)]]
+    points = vectors(spark, rows).withColumn("kind", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")))
+    queries = points.where("id % 50 < 4").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    show = lambda df: sorted(map(str, df.collect()))
+    scores = retrieve.dense_scores(points, queries, keep=("kind",))
+    assert show(retrieve.dense_top(points, queries, 6)) == show(retrieve.ranked(scores, ["query_id"], "score", "id", 6).select("query_id", "id", "score", "rank"))
+    near = retrieve.ranked(retrieve.dense_near(points, queries, 6, group="kind", keep=("kind",)), ["query_id", "kind"], "score", "id", 6)
+    assert show(near.select("query_id", "id", "kind", "score")) == show(retrieve.ranked(scores, ["query_id", "kind"], "score", "id", 6).select("query_id", "id", "kind", "score"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
