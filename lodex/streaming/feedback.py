@@ -139,6 +139,20 @@ def window_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hour
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def all_window_counts(events: DataFrame, path: str, window: str = "1 hour") -> DataFrame:
+    """The same of all events, however late and with the windows that are still open: each batch writes its own counts,
+    a batch that runs again over its first ones, and the sums are read."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        counts = df.groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+        counts.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+
+    events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = events.sparkSession
+    rows = spark.read.schema("start timestamp, event_type string, n long, epoch long").parquet(f"{path}/rows")
+    return rows.groupBy("start", "event_type").agg(F.sum("n").alias("n"))
+
+
 def to_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """An append-only Parquet sink; the files of a batch count only once the batch is committed."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

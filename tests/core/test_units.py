@@ -1,6 +1,7 @@
 """Core operators against short specifications in plain Python, on hand-written rows."""
 
 import json
+import random
 import re
 import unicodedata
 
@@ -452,3 +453,35 @@ def test_timetable_service(spark):
 def test_title_case(spark):
     got = spark.createDataFrame([("o'neil-SMITH 3d",), ("",), (None,)], "q string").select(T.title_case(F.col("q"))).collect()
     assert [r[0] for r in got] == ["O'Neil-Smith 3D", "", None]
+
+
+def test_lexical_scores_look_words_up(spark):
+    rng = random.Random(4)
+    words = ["plan", "planung", "aa", "ab", "x.y", "größe", "prüfung", "in", "straße", "abab"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 9))), " ".join(rng.choices(words, k=rng.randint(0, 25)))) for _ in range(120)]
+    df = T.held(spark.createDataFrame(rows, "q string, text string"), n=T.normalize("q"), t=T.tokenize("q"), h=T.haystack("text", F.lit("u")))
+    got = df.select("n", "t", "h", T.lexical_b(F.col("n"), F.col("t"), F.col("h")).alias("s")).collect()
+    for n, t, h, s in got:
+        grams = [{" ".join(g) for g in zip(*[t[i:] for i in range(k)])} for k in (1, 2, 3)]
+        long = [x for x in t if len(x) >= 6]
+        share = lambda a, b: a / b if b else 0.0
+        want = 0.55 * share(sum(g in h for g in grams[0]), len(t)) + 0.25 * share(sum(g in h for g in grams[1]), len(grams[1])) + 0.15 * share(sum(g in h for g in grams[2]), len(grams[2]))
+        want += (0.3 if len(n) >= 6 and n in h else 0) + 0.1 * share(sum(x in h for x in long), len(long))
+        assert abs(s - (min(1.0, want) if t else 0.0)) < 1e-12
+    assert "ArrowEvalPython" in df.select(T.lexical_b(F.col("n"), F.col("t"), F.col("h")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_capitals_of_single_letters(spark):
+    assert column(spark, ["Straße größe", ""], T.upper_signs) == ["STRAßE GRÖßE", ""]
+
+
+def test_all_windows_are_counted(spark, tmp_path):
+    from lodex.streaming import feedback as streams
+
+    # the last windows are within two hours of the newest event, and one event is a day late
+    at = ["2024-01-02 10:05:00", "2024-01-02 10:59:59", "2024-01-02 11:00:00", "2024-01-01 09:00:00"]
+    for i, ts in enumerate(at):
+        spark.createDataFrame([(ts, "click")], "ts string, event_type string").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sorted((str(r.start), r.n) for r in streams.all_window_counts(stream, f"file://{tmp_path}/out").collect())
+    assert got == [("2024-01-01 09:00:00", 1), ("2024-01-02 10:00:00", 2), ("2024-01-02 11:00:00", 1)]
