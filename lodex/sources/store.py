@@ -159,25 +159,25 @@ class Store:
         return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int") if keys else F.lit(0)
 
     def _write(self, name: str, rows: DataFrame, keys: list[str], buckets: int) -> tuple[str, list[int]]:
-        """Rows by bucket to a new folder; one file a bucket where its size allows."""
+        """Rows by bucket to a new folder; a task has one bucket, a hash would give it several."""
         folder = uuid.uuid4().hex
         path = f"{self.root}/{name}/{folder}"
         placed = rows.withColumn("_bucket", self._bucket(keys, buckets))
-        (placed.repartition(buckets, "_bucket") if keys else placed).write.partitionBy("_bucket").parquet(path)
+        (placed.repartitionById(buckets, "_bucket") if keys else placed).write.partitionBy("_bucket").parquet(path)
         p, fs = self._fs(path)
         return folder, sorted(int(n.partition("=")[2]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("_bucket="))
 
-    def recreate(self, name: str, points: DataFrame, dim: int | None = None, key: str | list[str] | None = None, meta: dict | None = None, base: int | None = None) -> int:
+    def recreate(self, name: str, points: DataFrame, dim: int | None = None, key: str | list[str] | None = None, meta: dict | None = None, base: int | None = None, least: int = 4) -> int:
         """K1, K2: replace the collection; with ``dim`` every vector must have this length. key: what
         upserts go by, ``id`` if there; base: the version that the rows were made from, the current one
-        if not given."""
+        if not given; least: buckets at least, for rows whose size can't be told."""
         if dim is not None and "embedding" in points.columns:
             checked = F.when(F.col("embedding").isNull() | (F.size("embedding") == dim), F.col("embedding")).otherwise(F.raise_error(F.lit(f"vectors of {name} must have {dim} components")))
             points = points.withColumn("embedding", checked)
         number = self.state(name)[0] if base is None else base
         keys = [key] if isinstance(key, str) else key or (["id"] if "id" in points.columns else [])
         size = planned_bytes(points)
-        buckets = (max(4, min(self.MOST_BUCKETS, -(-size // self.BUCKET_BYTES))) if size else 16) if keys else 1
+        buckets = min(self.MOST_BUCKETS, max(least, -(-size // self.BUCKET_BYTES) if size else 16)) if keys else 1
         folder = self._write(name, points, keys, buckets)
         self._commit(name, number + 1, {"key": keys, "buckets": buckets, "schema": _nullable(points.schema).jsonValue(), "base": [folder], "deltas": [], "meta": meta or {}})
         return self.read(name).count()
@@ -260,7 +260,8 @@ class Store:
 
     def migrate(self, old: str, new: str) -> int:
         """Copy with hashed sparse vectors made anew."""
-        return self.recreate(new, with_hashed_sparse(self.read(old)))
+        # the size of a join can't be told; the vectors at most double the rows
+        return self.recreate(new, with_hashed_sparse(self.read(old)), least=2 * self.state(old)[1].get("buckets", 2))
 
 
 def _nullable(schema: StructType) -> StructType:

@@ -208,3 +208,17 @@ def test_siblings_take_eleven_of_a_group(spark):
     got = {r.id: r.context.split("; ") for r in out.collect()}
     assert got[0] == [f"t{i:03}" for i in range(1, 11)] and got[5] == [f"t{i:03}" for i in range(11) if i != 5] and got[200] == [f"t{i:03}" for i in range(10)] and 900 not in got
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_writes_one_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "BUCKET_BYTES", 512)
+    kept = Store(spark, f"file://{tmp_path}/s")
+    spark.range(2000).select("id", F.concat(F.lit("t"), "id").alias("text")).write.parquet(f"{tmp_path}/rows")
+    kept.recreate("old", spark.read.parquet(f"{tmp_path}/rows"))
+    manifest = kept.state("old")[1]
+    buckets = manifest["base"][0][1]
+    tasks = {b: {f.split("-")[1] for f in os.listdir(f"{tmp_path}/s/old/{manifest['base'][0][0]}/_bucket={b}") if f.startswith("part-")} for b in buckets}
+    assert len(buckets) > 20 and all(len(t) == 1 for t in tasks.values()) and len(set.union(*tasks.values())) == len(buckets)
+    # a migrated collection is dealt as finely as the old one
+    assert kept.migrate("old", "new") == 2000
+    assert kept.state("new")[1]["buckets"] >= 2 * manifest["buckets"]
