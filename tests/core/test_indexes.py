@@ -153,3 +153,28 @@ def test_dense_parts_give_what_single_scores_give(spark, monkeypatch):
     assert show(near.select("query_id", "id", "kind", "score")) == show(retrieve.ranked(scores, ["query_id", "kind"], "score", "id", 6).select("query_id", "id", "kind", "score"))
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_single_precision_leaves_what_doubles_find(spark):
+    """Random rows, near and equal copies, groups: the best k are those of all scores in double precision, and few are scored."""
+    import pyarrow as pa
+
+    from lodex.operators import meet
+
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(9000, 24))
+    rows[2000:3000], rows[5000:5300] = rows[7], rows[8] + 1e-9 * rng.normal(size=(300, 24))
+    table = lambda v: pa.table({"id": np.arange(len(v)), "vec": pa.array(list(v), pa.list_(pa.float64())), "norm": np.sqrt((v * v).sum(1)), "g": np.sort(np.arange(len(v)) % 3)})
+    asked = table(rows[::300]).to_batches()[0]
+    made = meet.Vectors(table(rows))
+    assert made.unit is not None and made.unit.dtype == np.float32
+    none = np.full(asked.num_rows, np.nan)
+    for group in (None, "g"):
+        edges = meet._edges(table(rows), group)
+        want = meet._best_of(made.scores(asked), edges, 7, 9, none)
+        got = made.best(asked, edges, 7, 9, none)
+        assert set(zip(*map(np.ndarray.tolist, got[:2]))) == set(zip(*map(np.ndarray.tolist, want[:2]))) and len(got[0]) == len(want[0]) > 200
+    who, at = meet._reaching(np.array([[1.0, 3.0] * 40, [5.0, 0.0] * 40]), np.array([3.0, 6.0]))
+    assert sorted(at) == list(range(1, 80, 2)) and set(who) == {0}
+    # vectors of no common length or of other dimensions are scored in double, as before
+    assert meet.Vectors(table(np.vstack([rows[:5], np.zeros(24)]))).unit is None
