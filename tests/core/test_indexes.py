@@ -178,3 +178,15 @@ def test_single_precision_leaves_what_doubles_find(spark):
     assert sorted(at) == list(range(1, 80, 2)) and set(who) == {0}
     # vectors of no common length or of other dimensions are scored in double, as before
     assert meet.Vectors(table(np.vstack([rows[:5], np.zeros(24)]))).unit is None
+
+
+def test_terms_are_counted_where_texts_are_read(spark):
+    """Counts equal those by groups, also for an id of several rows, and only repeated ids move texts."""
+    texts = [(1, "Bär bär die x1 x1 \ufb01x"), (2, None), (3, "der und"), (4, "caf\u0065\u0301 \u00dc12 a"), (5, " ".join(f"w{i % 90}" for i in range(4000)))]
+    for rows in (texts, [*texts, (1, "bär neu")]):
+        docs = spark.createDataFrame(rows, "id long, text string")
+        got = retrieve.counted(docs)
+        want = retrieve.postings(docs)
+        assert sorted(got.select("id", F.inline("postings")).collect()) == sorted(want.collect())
+        assert {r.id: r.dl for r in got.collect()} == {r.id: r.dl for r in want.groupBy("id").agg(F.sum("tf").alias("dl")).collect()}
+        assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (len(rows) > len(texts))
