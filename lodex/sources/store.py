@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from functools import reduce
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+from ..functions.constants import HASH_BUCKETS
 from ..functions.encode import Embed, encode
-from ..functions.text import md5_bucket, normalize, point_id, words_of
-from ..operators.retrieve import TermIndex
+from ..functions.text import point_id
+from ..operators.retrieve import TermIndex, counted
 from ..operators.vectors import VectorIndex
 from ..scratch import delete, planned_bytes
 
@@ -311,16 +313,20 @@ def backfilled(points: DataFrame, embed: Embed, least: int = 1) -> DataFrame:
     return points.where(~missing).unionByName(made)
 
 
-def hashed_terms(points: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """V4: (key, index, value), the token counts of each row by md5 bucket. Terms are counted before
-    they are hashed."""
-    counted = points.select(key, F.explode(words_of(normalize(text), ())).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(key, md5_bucket(F.col("term")).alias("index")).agg(F.sum("n").alias("value"))
+def _bucket(term: str) -> int:
+    return int.from_bytes(hashlib.md5(term.encode()).digest(), "big") % HASH_BUCKETS
+
+
+def hashed_terms(points: DataFrame, key: str = "id", text: str = "text", unique: bool = False) -> DataFrame:
+    """V4: (key, index, value), the token counts of each row by md5 bucket. A task hashes the distinct terms of
+    some hundred texts at once, and nothing is shuffled."""
+    held = counted(points.select(F.col(key).alias("id"), F.col(text).alias("text")), (), _bucket, unique)
+    return held.select(F.col("id").alias(key), F.inline("postings")).select(key, F.col("term").alias("index"), F.col("tf").cast("long").alias("value"))
 
 
 def with_hashed_sparse(points: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Rows, by unique ``key``, with sparse_indices in order and sparse_values; empty without tokens."""
-    pairs = hashed_terms(points, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("_s"))
+    pairs = hashed_terms(points, key, text, unique=True).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("_s"))
     rows = points.join(pairs, key, "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<index:bigint,value:bigint>>")))
     rows = rows.withColumn("sparse_indices", F.transform("_s", lambda x: x.index)).withColumn("sparse_values", F.transform("_s", lambda x: x.value.cast("float")))
     return rows.select(*points.columns, "sparse_indices", "sparse_values")

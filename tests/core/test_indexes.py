@@ -190,3 +190,14 @@ def test_terms_are_counted_where_texts_are_read(spark):
         assert sorted(got.select("id", F.inline("postings")).collect()) == sorted(want.collect())
         assert {r.id: r.dl for r in got.collect()} == {r.id: r.dl for r in want.groupBy("id").agg(F.sum("tf").alias("dl")).collect()}
         assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (len(rows) > len(texts))
+
+
+def test_hashed_terms_move_no_rows(spark):
+    from lodex.functions.text import md5_bucket
+    from lodex.sources.store import hashed_terms
+
+    docs = spark.createDataFrame([(1, "Die Maus und die Maus ab12"), (2, None), (3, " ".join(f"t{i}" for i in range(9000)))], "id long, text string")
+    got = hashed_terms(docs)
+    want = docs.select("id", F.explode(F.split(F.lower("text"), " ")).alias("term")).groupBy("id", md5_bucket(F.col("term")).alias("index")).agg(F.count(F.lit(1)).alias("value"))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
