@@ -201,3 +201,12 @@ def test_hashed_terms_move_no_rows(spark):
     want = docs.select("id", F.explode(F.split(F.lower("text"), " ")).alias("term")).groupBy("id", md5_bucket(F.col("term")).alias("index")).agg(F.count(F.lit(1)).alias("value"))
     assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_leave_a_task_by_slices():
+    import pandas as pd
+
+    from lodex.functions.splitters import SLICE, by_slices
+
+    parts = list(by_slices(iter([pd.Series(["ab"] * 200), pd.Series([], dtype=object)]), lambda s: s.map(len)))
+    assert max(map(len, parts)) == SLICE and sum(map(len, parts)) == 200 and len(parts) == 5
