@@ -96,6 +96,20 @@ def test_blocks_give_what_all_postings_give_and_fewer_are_read(spark, texts):
     assert sum(left.values()) + index.FIRST * len(live) < sum(live.values())
 
 
+def test_blocks_of_copies_keep_their_places_in_any_order_of_rows(spark, monkeypatch):
+    """The read plan is worked out twice; rows may come in another order, as after a shuffle."""
+    monkeypatch.setattr(TermIndex, "BLOCK", 1)
+    words = [f"w{i}" for i in range(9)]
+    rows = [(i, " ".join(words)) for i in range(60)] + [(100 + i, " ".join([*words[: i % 8 + 1], *(f"x{j}" for j in range(40))])) for i in range(40)]
+    index = TermIndex.build(spark.createDataFrame(rows, "id long, text string"))
+    blocks, terms = index._held(spark.createDataFrame([(1, w) for w in words], "query_id long, term string"))
+    left, held = [], blocks.collect()
+    for seed in range(4):
+        mixed = spark.createDataFrame(random.Random(seed).sample(held, len(held)), blocks.schema).coalesce(1)
+        left.append(sorted(index.read_plan(mixed, F.broadcast(terms), 5, 4)[1].collect()))
+    assert left[0] and all(x == left[0] for x in left)
+
+
 def test_a_common_term_lies_in_many_rows(spark, texts):
     index = TermIndex.build(texts)
     got = index.blocks.where("term = 'w0'").select(F.size("postings").alias("n")).collect()
