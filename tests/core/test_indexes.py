@@ -3,6 +3,7 @@
 import ast
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -169,6 +170,34 @@ def test_dense_parts_give_what_single_scores_give(spark, monkeypatch):
     assert "MapInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
+def test_a_part_has_rows_of_one_group(spark, monkeypatch):
+    """Then k rows of a query leave a part, not k for each group; the best rows are those of all scores."""
+    from lodex.operators import meet
+
+    assert meet.shared_out([600, 150, 150, 100], 12) == [7, 2, 2, 1] and meet.shared_out([5, 0], 1) == [1, 1]
+    monkeypatch.setattr(meet, "PART_ROWS", 100)
+    assert meet.shared_out([601, 1], 4) == [7, 1]
+    rng = np.random.default_rng(9)
+    points = vectors(spark, [(i, rng.normal(size=8)) for i in range(1200)]).withColumn("kind", F.when(F.col("id") % 6 > 0, F.least(F.col("id") % 6, F.lit(3)).cast("string")))
+    queries = points.where("id % 60 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
+    near = retrieve.dense_near(points, queries, 5, group="kind", keep=("kind",)).cache()
+    assert near.count() <= 20 * 5 * 16 and near.select("query_id", "kind").distinct().count() == 20 * 4
+    best = retrieve.ranked(near, ["query_id", "kind"], "score", "id", 5)
+    want = retrieve.ranked(retrieve.dense_scores(points, queries, keep=("kind",)), ["query_id", "kind"], "score", "id", 5)
+    show = lambda df: sorted(map(str, df.select("query_id", "kind", "id", "score", "rank").collect()))
+    assert show(best) == show(want)
+    # groups too many for parts of their own
+    monkeypatch.setattr(retrieve, "FEW_GROUPS", 3)
+    assert show(retrieve.ranked(retrieve.dense_near(points, queries, 5, group="kind", keep=("kind",)), ["query_id", "kind"], "score", "id", 5)) == show(want)
+
+
+def test_the_merge_of_two_lists_moves_starts_of_texts_only(spark):
+    from lodex.plans.search_queries import r8
+
+    plan = r8(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Project \[doc_id#\d+L? AS id#\d+L?, substring\(text#\d+, 1, 80\) AS text", plan)
+
+
 def test_single_precision_leaves_what_doubles_find(spark):
     """Random rows, near and equal copies, groups: the best k are those of all scores in double precision, and few are scored."""
     import pyarrow as pa
