@@ -253,3 +253,39 @@ def test_pieces_leave_a_task_by_slices():
 
     parts = list(by_slices(iter([pd.Series(["ab"] * 200), pd.Series([], dtype=object)]), lambda s: s.map(len)))
     assert max(map(len, parts)) == SLICE and sum(map(len, parts)) == 200 and len(parts) == 5
+
+
+def test_terms_meet_by_clusters(spark, monkeypatch):
+    """Texts of two vocabularies lie apart, and products hold the terms of one of them; the best rows, ties among copies
+    too, are those of sums over all pairs. Parts come in whole waves of tasks."""
+    import pyarrow as pa
+
+    from lodex.operators import meet
+
+    rng = np.random.default_rng(12)
+    texts = [sorted({int(w) for w in 1000 * (i % 2) + 400 * rng.random(60) ** 2} | {5000 + i % 7}) for i in range(900)] + [[], [9999]]
+    texts[300:340] = [texts[8]] * 40
+    counts = [[float(1 + (i * t) % 3) for t in own] for i, own in enumerate(texts)]
+    counts[300:340] = [counts[8]] * 40
+    lists = lambda rows, kind: pa.array(rows, pa.list_(kind))
+    table = pa.table({"id": np.arange(902), "terms": lists(texts, pa.int64()), "counts": lists(counts, pa.float64())})
+    made, asked = meet.Terms(table, 1.2, 0.75, 50.0), [texts[8], texts[9], [], [77777], texts[41] + [2], texts[10]]
+    own = pa.table({"query_id": np.arange(6), "terms": lists(asked, pa.int64()), "counts": lists([[1.0 + t % 5 for t in q] for q in asked], pa.float64())}).to_batches()[0]
+    want = np.zeros((6, 902))
+    for d, (ts, cs) in enumerate(zip(texts, counts)):
+        weight = {t: c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sum(cs) / 50.0)) for t, c in zip(ts, cs)}
+        want[:, d] = [sum(weight.get(t, 0.0) * (1.0 + t % 5) for t in q) for q in asked]
+    assert np.allclose(made.scores(own), np.where(want > 0, want, -np.inf))
+    cells = sum(m.size for m in made.matrices)
+    assert len(made.edges) > 1 and 0 < cells < 0.7 * 902 * len({t for t, place in zip(made.terms, made.place.max(axis=1)) if place >= 0})
+    for edges in ([(0, 902)], [(0, 305), (305, 902)]):
+        who, where, values = made.best(own, edges, 25, 4, np.full(6, np.nan))
+        best = {(q, int(d)) for q in range(6) for a, b in edges for d in [a + i for i in np.lexsort((np.arange(b - a), -np.round(want[q, a:b], 4)))[:25]] if want[q, d] > 0}
+        assert set(zip(who.tolist(), where.tolist())) == best and len(who) == len(best)
+        assert np.allclose(values, want[who, where])
+    for tf in (np.array([2.5, 1.0, 3.0]), np.array([2.0, 1e18, 3.0]), np.array([2.0, 1.0, 3.0])):
+        got = meet._by_term(np.array([1, 0, 1]), np.array([5, 8, 2]), tf, 2, 9)
+        assert [x.tolist() for x in got] == [[0, 1, 1], [8, 2, 5], [tf[1], tf[2], tf[0]]]
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(meet, "PART_ROWS", 100)
+    assert [meet.parts_for(spark.range(1), n) for n in (1, 100 * cores, 100 * cores + 1)] == [1, cores, 2 * cores]
