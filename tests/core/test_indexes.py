@@ -289,3 +289,33 @@ def test_terms_meet_by_clusters(spark, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     monkeypatch.setattr(meet, "PART_ROWS", 100)
     assert [meet.parts_for(spark.range(1), n) for n in (1, 100 * cores, 100 * cores + 1)] == [1, cores, 2 * cores]
+
+
+def test_many_short_queries_shuffle_no_postings_of_pairs(spark, texts):
+    """A plan by stored blocks moves the postings of every (query, block) pair; here only a part's best rows are moved."""
+    index = TermIndex.build(texts)
+    asked = spark.createDataFrame([(i, f"w{i % 50} w{i * 7 % 400} w0") for i in range(300)], "query_id long, text string")
+    found = index.top_pruned(index.wanted(asked), 5)
+    assert "inline(postings" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(found.collect()) == sorted(index.top_of_all(index.wanted(asked), 5).collect())
+
+
+def test_blocks_of_a_part_are_left_out_and_nothing_is_lost(monkeypatch):
+    import pyarrow as pa
+
+    from lodex.operators import meet
+
+    rng = random.Random(3)
+    docs = [sorted(set(rng.choices(range(300), [1 / (i + 1) for i in range(300)], k=rng.randint(3, 40)))) for _ in range(3000)]
+    table = pa.table({"terms": pa.array(docs), "counts": pa.array([[float(rng.randint(1, 6)) for _ in d] for d in docs])})
+    asked = [[0, 250], [1, 2, 3], [299], [5, 7, 100, 280], [9999]]
+    queries = pa.record_batch({"terms": pa.array(asked), "counts": pa.array([[1.0 + t % 9 for t in q] for q in asked])})
+    read, scored = [], meet.Blocks._scored
+    monkeypatch.setattr(meet.Blocks, "_scored", lambda self, pairs, idf, blocks: read.append(len(blocks)) or scored(self, pairs, idf, blocks))
+    least = np.full(len(asked), np.nan)
+    for k in (1, 5, 5000):
+        got, want = ((made := kind(table, 1.2, 0.75, 20.0)).best(queries, [(0, made.n)], k, 9, least) for kind in (meet.Blocks, meet.Terms))
+        got, want = (sorted(zip(x[0].tolist(), x[1].tolist(), np.round(x[2], 9).tolist())) for x in (got, want))
+        assert got == want and len(got)
+        if k == 1:
+            assert sum(read) < 0.7 * 4 * -(-3000 // meet.BLOCK)
