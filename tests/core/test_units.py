@@ -485,3 +485,35 @@ def test_all_windows_are_counted(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = sorted((str(r.start), r.n) for r in streams.all_window_counts(stream, f"file://{tmp_path}/out").collect())
     assert got == [("2024-01-01 09:00:00", 1), ("2024-01-02 10:00:00", 2), ("2024-01-02 11:00:00", 1)]
+
+
+def test_texts_of_hits_move_once(spark, sf):
+    """A hit's document and its query's text are shuffled to the document's task; steps by query come when texts are gone."""
+    from lodex.plans import search_queries as s
+
+    plans = {f.__name__: f(spark, sf)._jdf.queryExecution().executedPlan().toString() for f in (s.q7, s.q2, s.q3, s.flagship)}
+    for name, plan in plans.items():
+        lines = plan.splitlines()
+        moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        assert not any("Window" in line and re.search(r"\btext#|\bquery#|_hay#", line) for line in lines), name
+        assert sum(bool(re.search(r"[\[ ]text#\d+[,\]]", line)) for line in moved) <= 1, name
+        assert sum(bool(re.search(r"[\[ ]query#\d+[,\]]", line)) for line in moved) <= (2 if name == "q7" else 1), name
+
+
+def test_what_searches_shuffled_goes_when_hits_are_written(spark, tmp_path):
+    from lodex.scratch import written
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    out = written(spark.range(100).repartition(3, "id").groupBy(F.col("id") % 7).count(), "test")
+    assert out.count() == 7 and spark.conf.get(name, None) == before
+
+
+def test_substrings_of_words_and_neighbours_as_plain_search_finds_them():
+    rng = random.Random(5)
+    for _ in range(300):
+        hay = " ".join("".join(rng.choices("abä-/.", k=rng.randint(1, 6))) for _ in range(rng.randint(0, 30)))
+        made = T.Haystack(hay)
+        tokens = ["".join(rng.choices("abä", k=rng.randint(2, 4))) for _ in range(40)]
+        for a, b in zip(tokens, tokens[1:]):
+            assert made.has(a) == (a in hay) and made.has_two(a, b) == (f"{a} {b}" in hay)
