@@ -517,3 +517,11 @@ def test_substrings_of_words_and_neighbours_as_plain_search_finds_them():
         tokens = ["".join(rng.choices("abä", k=rng.randint(2, 4))) for _ in range(40)]
         for a, b in zip(tokens, tokens[1:]):
             assert made.has(a) == (a in hay) and made.has_two(a, b) == (f"{a} {b}" in hay)
+
+
+def test_signs_beyond_latin_letters_are_told_as_the_pattern_tells_them(spark):
+    signs = [chr(i) for i in (*range(1, 0x180), 0x2009, 0xFB01, 0x1F600)]
+    df = spark.createDataFrame([(s,) for s in [*signs, *(f"aé{s}ß " for s in signs), "", None]], "s string")
+    wrong = df.where(~T.other_signs(F.col("s")).eqNullSafe(F.col("s").rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")))
+    assert wrong.collect() == []
+    assert "RLIKE" not in df.select(T.nfkc("s"))._jdf.queryExecution().optimizedPlan().toString()
