@@ -525,3 +525,13 @@ def test_signs_beyond_latin_letters_are_told_as_the_pattern_tells_them(spark):
     wrong = df.where(~T.other_signs(F.col("s")).eqNullSafe(F.col("s").rlike(r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]")))
     assert wrong.collect() == []
     assert "RLIKE" not in df.select(T.nfkc("s"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_evaluation_moves_no_texts_beyond_its_first_hits(spark, sf):
+    from lodex.plans import search_queries as s
+
+    def found(first):
+        return {r.query_id: r.n for r in s.hits(spark, sf, first=first).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    few, every = found(3), found(None)
+    assert set(few) == set(every) and max(every.values()) > 3 and all(few[q] == min(3, every[q]) for q in every)
